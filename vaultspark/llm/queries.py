@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vaultspark.llm import mixing, secrets
+from vaultspark.llm import language, mixing, secrets
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op3_mixing": mixing.op3_mixing,
     "op10_secrets": secrets.op10_secrets,
 }
