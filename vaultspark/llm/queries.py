@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vaultspark.llm import language, mixing, secrets
+from vaultspark.llm import language, mixing, secrets, tokens
 
 QUERIES = {
     "op1_language": language.op1_language,
+    "op2_tokens": tokens.op2_tokens,
     "op3_mixing": mixing.op3_mixing,
     "op10_secrets": secrets.op10_secrets,
 }
