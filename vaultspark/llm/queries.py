@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vaultspark.llm import language, mixing, packing, secrets, tokens
+from vaultspark.llm import chat, language, mixing, packing, secrets, tokens
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_tokens": tokens.op2_tokens,
     "op3_mixing": mixing.op3_mixing,
     "op5_packing": packing.op5_packing,
+    "op7_chat": chat.op7_chat,
     "op10_secrets": secrets.op10_secrets,
 }
