@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vaultspark.llm import chat, language, mixing, packing, secrets, tokens
+from vaultspark.llm import ann, chat, language, mixing, packing, secrets, tokens, topk
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -10,5 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_packing": packing.op5_packing,
     "op7_chat": chat.op7_chat,
+    "op8_neighbours": ann.op8_neighbours,
+    "op9_topk": topk.op9_topk,
     "op10_secrets": secrets.op10_secrets,
 }
