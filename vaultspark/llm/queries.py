@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vaultspark.llm import ann, chat, language, mixing, packing, secrets, tokens, topk
+from vaultspark.llm import ann, chat, language, minhash, mixing, packing, secrets, tokens, topk
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_tokens": tokens.op2_tokens,
     "op3_mixing": mixing.op3_mixing,
     "op5_packing": packing.op5_packing,
+    "op6_neardup": minhash.op6_neardup,
     "op7_chat": chat.op7_chat,
     "op8_neighbours": ann.op8_neighbours,
     "op9_topk": topk.op9_topk,
