@@ -35,8 +35,16 @@ _ODD_SPACE = "\\t\\v\\f\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\
 _W = f"{_ODD_SPACE}\\n "
 _ODD = re.compile(f"[{_ODD_SPACE}]")
 _CHUNK = re.compile(f"[{_W}]?[^{_W}]+|[{_W}]+(?=[{_W}][^{_W}])|[{_W}]+")
-#: A worker forgets its chunks beyond so many; only speed depends on it.
-CACHED = 600_000
+
+
+def _odd(text: str) -> bool:
+    if text.isascii():
+        return "\t" in text or "\r" in text or "\v" in text or "\f" in text
+    return _ODD.search(text) is not None
+
+
+#: A worker sets its chunks aside beyond so many and forgets those set aside before; only speed depends on it.
+CACHED = 500_000
 
 
 def _visible_bytes() -> list[str]:
@@ -55,11 +63,17 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.visible = self.tokenizer.model, _visible_bytes()
+        self.space = self.visible[32]
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words = self.tokenizer.model.end_of_word_suffix or ""  # then spaces are dropped and case is folded
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.exact: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
+        if (found := self.aside.get(key)) is not None:
+            self[key] = found
+            return found
         if key[:1] == "\n":
             found = self.chunk("\n") + self.bare(key[1:])
         elif key[-1:] in (".", ",") and self._plain(key[:-1]):
@@ -82,13 +96,17 @@ class Encoder(dict):
         return found
 
     def _word(self, word: str) -> bytes:
-        visible = [self.visible[b] for b in (word.lower() if self.words else word).encode()]
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize("".join(visible))])
+        if self.words:
+            word = word.lower()
+        if not word.isascii() or word[0] == " ":
+            word = "".join([self.visible[b] for b in word.encode()]) if not word.isascii() else self.space + word[1:]
+        table = self.packed
+        return b"".join([table[t.id] for t in self.model.tokenize(word)])
 
     @staticmethod
     def _plain(word: str) -> bool:
         """Letters that any version of Unicode knows, composed: one word to every tokenizer."""
-        return word.isalpha() and max(word) < "Ā" and (word.isascii() or unicodedata.is_normalized("NFC", word))
+        return word.isalpha() and (word.isascii() or max(word) < "Ā" and unicodedata.is_normalized("NFC", word))
 
     def chunk(self, text: str) -> bytes:
         if (found := self.exact.get(text)) is None:
@@ -96,14 +114,16 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
-        if len(self) + len(self.exact) > CACHED:
+        if len(self) > CACHED:
+            self.aside = dict(self)
             self.clear()
+        if len(self.exact) > CACHED // 4:
             self.exact.clear()
         if not text:
             return b""
         if any(t in text for t in self.added):  # they end the text before them, also for runs of white space
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text):
+        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] in " \n" or _odd(text):
             return b"".join(map(self.chunk, _CHUNK.findall(text)))
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.bare(first) + b"".join(map(self.__getitem__, rest))
@@ -127,7 +147,7 @@ _HEAD, _ENTRY = struct.Struct("<4s32sIq"), np.dtype([("doc_id", "<i8"), ("null",
 
 
 def _narrow(ids: bytes) -> bytes:
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    return np.frombuffer(ids, "<u2")[::2].tobytes()
 
 
 @dataclass
@@ -166,18 +186,18 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> Dictionary:
     drawn = F.pmod(row_hash(SEED, "doc_id"), F.lit(1 << 40)) < int(rate * (1 << 40))
     rows = sorted((str(r["doc_id"]), r["text"]) for r in short.filter(drawn).select("doc_id", "text").collect())
     enc = encoder(path)
-    samples = [_narrow(enc.encode(t) + end_id.to_bytes(4, "little")) for _, t in rows]
+    wide = max(end_id, enc.tokenizer.get_vocab_size()) > 65535
+    samples = [ids if wide else _narrow(ids) for ids in (enc.encode(t) + end_id.to_bytes(4, "little") for _, t in rows)]
     try:
         return Dictionary(zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes())
     except zstandard.ZstdError:
         return Dictionary(b"".join(samples)[:DICT_BYTES])
 
 
-def pack_block(dictionary: Dictionary, zc, before: int, docs: list[tuple[int | None, bytes]]) -> bytes:
-    """docs: doc_id and ids (unsigned 32-bit bytes; stored as 16-bit where they fit)."""
+def pack_block(dictionary: Dictionary, zc, before: int, docs: list[tuple[int | None, bytes]], wide: bool) -> bytes:
+    """docs: doc_id and ids (unsigned 32-bit bytes; stored as 16-bit unless wide)."""
     frames, index, at = [], np.zeros(len(docs), _ENTRY), 0
     for i, (doc_id, ids) in enumerate(docs):
-        wide = len(ids) and int(np.frombuffer(ids, "<u4").max()) > 65535
         frame = (b"\4" if wide else b"\2") + zc.compress(ids if wide else _narrow(ids))
         index[i] = (0 if doc_id is None else doc_id, doc_id is None, len(ids) // 4, at)
         frames.append(frame)
@@ -216,9 +236,10 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, out: str) -> None:
     def run(batches):
         enc, zc, shard = encoder(path), dictionary.compressor(), TaskContext.get().partitionId()
         block, before, held, size, number = [], 0, 0, 0, 0
+        wide = max(end_id, enc.tokenizer.get_vocab_size()) > 65535
 
         def row():
-            data = pack_block(dictionary, zc, before, block)
+            data = pack_block(dictionary, zc, before, block, wide)
             return pa.RecordBatch.from_pydict({"shard": [shard], "block": [number], "n_docs": [len(block)], "n_tokens": [held], "data": [data]}, schema=schema)
 
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
