@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vaultspark.llm import ann, chat, language, minhash, mixing, packing, secrets, tokens, topk
+from vaultspark.llm import ann, chat, language, minhash, mixing, packing, secrets, substring, tokens, topk
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_tokens": tokens.op2_tokens,
     "op3_mixing": mixing.op3_mixing,
+    "op4_substrings": substring.op4_substrings,
     "op5_packing": packing.op5_packing,
     "op6_neardup": minhash.op6_neardup,
     "op7_chat": chat.op7_chat,
