@@ -1,3 +1,4 @@
 """DuckDB SQL for the queries."""
 
-ORACLES = {}
+from vaultspark.plans import profiles, star, vault  # noqa: F401
+from vaultspark.plans.registry import ORACLES  # noqa: F401

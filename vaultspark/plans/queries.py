@@ -1,3 +1,4 @@
 """The queries of the driver contract."""
 
-QUERIES = {}
+from vaultspark.plans import profiles, star, vault  # noqa: F401  they register their queries
+from vaultspark.plans.registry import QUERIES  # noqa: F401
