@@ -150,7 +150,7 @@ SQL_DOMINANT = """dominant AS (SELECT sha256(CAST(o_custkey AS VARCHAR)) AS Hash
   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY l_linenumber DESC, sha256(l_orderkey || '|' || l_linenumber) DESC) = 1)"""
 
 
-@query(f"WITH {SQL_DOMINANT} SELECT * FROM dominant")
+@query(f"WITH {SQL_DOMINANT.replace(' WHERE o_custkey > 0', '')} SELECT * FROM dominant")
 def dominant_lineitem_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.dominant_child(*_operations(spark, sf_dir), "Hash_Cliente", "Hash_Operacion", "SecuenciaSaldo")
 
