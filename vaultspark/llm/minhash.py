@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vaultspark.llm.common import stored, table
@@ -89,22 +89,22 @@ def band_keys(signature_: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, class (digest of the shingle set, null if empty) and bands, for each row of docs."""
+    """doc_id, text_hash, n_shingles, class (digest of the shingle set, null if empty) and bands, for each row of docs."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n, key, bands = [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     s = shingle_set(text or b"", size)
                     n.append(len(s))
                     key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     bands.append(band_keys(signature(s)) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "class", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -147,7 +147,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included) and kept (doc_id is its
+    """doc_id, text_hash (64 bits, of the text), n_shingles, component_id (the smallest doc_id reachable over links, itself included) and kept (doc_id is its
     component_id), one row per row of docs.
 
     docs needs doc_id and text; other columns are ignored. Null, empty and blank texts have an empty set and link with
@@ -190,8 +190,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     ids = stored(classes.select("class", "doc_id").join(linked, "class", "left").select("class", F.coalesce("component_id", "doc_id").alias("component_id")), "minhash-ids")
     out = rows.join(ids, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of docs that stay: of each component the document with the smallest doc_id, once if the row is repeated. Rows
+    with an empty set or without doc_id stay."""
+    keep = near_duplicates(docs.select("doc_id", "text"), size, similarity).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h"))
+    stay = keyed.join(keep.hint("merge"), on, "left_semi")
+    copy = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(1)))
+    first = stay.withColumn("_copy", copy).filter((F.col("_copy") == 1) | F.col("doc_id").isNull())
+    return first.select(*docs.columns)
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4).drop("text_hash")

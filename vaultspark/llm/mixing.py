@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import WORD, row_hash, stored, table
+from vaultspark.llm.common import WORD, stored, table
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -59,15 +59,16 @@ def mixing_plan(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WE
     targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    unit = F.pmod(row_hash(seed, "doc_id", "text"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
+    unit = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / float(1 << 52)
     whole = F.floor(rate)
     return joined.withColumn("copies", F.least(whole + (unit < rate - whole).cast("int"), F.lit(most)).cast("int"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The mixed corpus: each row of docs repeated by its copies, with the columns of docs."""
-    plan = mixing_plan(docs, seed, weights, most)
-    return plan.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    plan = mixing_plan(docs.select("doc_id", "text", "source", F.struct("*").alias("_row")), seed, weights, most)
+    return plan.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 WORD = r"[^\x20\x09-\x0D]+"
 
 OP3 = rf"""
-WITH RECURSIVE sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents),
+WITH RECURSIVE sized AS (SELECT doc_id, source, CAST(('0x' || md5('20|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, ''))[1:13]) AS BIGINT)::DOUBLE / 4503599627370496 AS unit, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM src),
 fill(round, source, source_size, weight, fixed) AS (
@@ -14,7 +14,8 @@ fill(round, source, source_size, weight, fixed) AS (
   WHERE round < 40 AND level IS NOT NULL),
 last AS (SELECT * FROM fill WHERE round = (SELECT max(round) FROM fill)),
 t AS (SELECT source, source_size, CASE WHEN fixed THEN 3.0 * source_size ELSE weight * (sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (fixed) OVER (), 0)) / (sum(weight) FILTER (NOT fixed) OVER ())::DOUBLE END AS target FROM last)
-SELECT doc_id, size, source_size, round(target, 4) AS target FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source
+SELECT doc_id, size, source_size, target, CAST(size * least(3, floor(rate) + CASE WHEN unit < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sized JOIN (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t) t ON sized.source IS NOT DISTINCT FROM t.source
 """
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -68,4 +69,4 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN digest USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op7_chat": OP7, "op10_secrets": OP10}
+ORACLES: dict[str, str] = {"op3_mixing": OP3, "op7_chat": OP7, "op10_secrets": OP10}

@@ -87,7 +87,7 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, with
     documents of their own. sequence_id is the task's number times 2^33 plus a count, so unique but not gapless. An empty
     table gives an empty result.
     """
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     end = end_id.to_bytes(4, "little")
 
@@ -101,7 +101,8 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, with
                 cols = [doc_id, start, length, crc, total, sequences[at : at + 4096], offsets[at : at + 4096]]
                 arrays = [pa.array(c, pa.int64()) for c in cols]
                 if with_ids:
-                    arrays.append(pa.array([np.frombuffer(x, "<u4") for x in ids], pa.list_(pa.int64())))
+                    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
         def flush():

@@ -156,14 +156,14 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["kind_no"].alias("kind_no"), r["kind"].alias("kind"), r["end"].alias("end")))
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with `spans`, array<struct<start, kind_no, kind, end>> sorted by start, then by kind as listed.
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "spans") -> DataFrame:
+    """docs with `spans` (or as `out` names it), array<struct<start, kind_no, kind, end>> sorted by start, then by kind as listed.
 
-    docs needs doc_id and text; a column `spans` of its own is replaced, others stay. Null and empty texts have no spans.
+    docs needs doc_id and text; a column of its own with that name is replaced, others stay. Null and empty texts have no spans.
     Rows that share a doc_id (null included) share candidate kinds and are verified each on their own text, so results
     stay exact and no row is lost or doubled. An empty table gives an empty result.
     """
-    docs = docs.drop("spans")
+    docs = docs.drop(out)
     index = stored(trigram_postings(docs.select("doc_id", "text"), rules), "trigram-postings")
     found = candidates(index, rules).select(F.col("doc_id").alias("_id"), F.col("kinds").alias("_kinds"))
     # a merge join at every size: what is found grows with the corpus, and a switch of plans would hide that
@@ -176,13 +176,13 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         else:  # no mandatory trigram: every text is scanned
             on = F.col("text").rlike(f"{r.pattern[:-1]}{{{r.least},}}" if r.pattern.endswith("]+") else r.pattern)
         parts.append(F.when(on, rule_spans(F.col("text"), r, i)).otherwise(none))
-    return joined.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_id", "_kinds")
+    return joined.withColumn(out, F.array_sort(F.concat(*parts))).drop("_id", "_kinds")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of find_secrets in text replaced by mark; spans that overlap become one mark. n_chars, if
     there, follows the text. No row goes."""
-    found = find_secrets(docs, rules)
+    found = find_secrets(docs, rules, "_spans")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -190,11 +190,11 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("spans", zero, step)
-    clean = F.when(F.size("spans") > 0, F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))).otherwise(F.col("text"))
+    done = F.aggregate("_spans", zero, step)
+    clean = F.when(F.size("_spans") > 0, F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))).otherwise(F.col("text"))
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
