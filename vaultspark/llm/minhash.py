@@ -27,6 +27,8 @@ from vaultspark.llm.graph import components
 PLACES, BANDS, ROWS, SEED = 1 << 20, 32, 4, 6
 COORDINATES = BANDS * ROWS
 SHINGLE, SIMILARITY = 5, 80
+#: Classes of a bucket that are compared at once.
+BLOCK = 128
 #: A worker forgets its word hashes beyond so many; only speed depends on it.
 CACHED = 1_000_000
 
@@ -146,6 +148,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
+def linked_blocks(members: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of a bucket that look similar enough, one of them apart, of different roots. members: band, members (of the
+    bucket), class, root, apart, bands, set.
+
+    A bucket is dealt into blocks of about BLOCK classes; blocks that hold classes apart are joined with all blocks of their
+    bucket, so pairs never become rows. A pair that meets in several buckets is compared in the first. Shingles are
+    compared by 32 bits with one to spare, which keeps every link; confirmed() has the last word.
+    """
+    few = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("class"), few).cast("int"))
+    entry = F.struct("class", "root", "apart", "bands", "set")
+    blocks = rows.groupBy("band", "block").agg(F.collect_list(entry).alias("all"))
+    apart = rows.filter("apart").groupBy("band", "block").agg(F.collect_list(entry).alias("some"))
+    met = apart.select("band", "some").join(blocks.select("band", "all").hint("merge"), "band")
+
+    def arrays(entries: pa.Array):
+        sets = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)) for x in entries.field("set").to_pylist()]
+        bands = entries.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(entries), -1)
+        return entries.field("class").to_pylist(), entries.field("root").to_pylist(), entries.field("apart").to_pylist(), bands, sets
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                band = batch.column("band")[i].as_py()
+                a, b = (arrays(batch.column(c).slice(i, 1).flatten()) for c in ("some", "all"))
+                size = np.array([len(s) for s in b[4]])
+                b_class, b_root, b_apart = np.array(b[0], object), np.array(b[1], object), np.array(b[2])
+                found = []
+                for name, root, _, bands, own in zip(*a):
+                    first = (b[3] == bands).argmax(1)
+                    ok = (bands[first] == band) & (b_root != root) & (~b_apart | (b_class > name))
+                    ok &= 100 * (np.minimum(size, len(own)) + 1) >= similarity * (np.maximum(size, len(own)) - 1)
+                    at = np.flatnonzero(ok)
+                    if len(at):
+                        values = np.concatenate([b[4][j] for j in at])
+                        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+                        shared = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(size[at])[:-1]]))
+                        near = at[100 * (shared + 1) >= similarity * (size[at] + len(own) - shared - 1)]
+                        found += [(min(name, x), max(name, x)) for x in b_class[near]]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
+
+    return met.select("band", "some", "all").mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, text_hash (64 bits, of the text), n_shingles, component_id (the smallest doc_id reachable over links, itself included) and kept (doc_id is its
     component_id), one row per row of docs.
@@ -175,11 +222,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     # what the leaders left apart: members of a bucket that are not in its leader's component meet all members of other components
     root = lambda df, side, name: df.join(known.select(F.col("node").alias(side), F.col("root").alias(name)), side, "left").withColumn(name, F.coalesce(name, side))
     placed = stored(root(root(led, "class", "root"), "lead", "lead_root").filter("class <> lead"), "minhash-placed")
-    apart = placed.filter("root <> lead_root").select("band", F.col("class").alias("class_a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    apart = stored(apart, "minhash-apart")
-    others = placed.join(apart.select("band").distinct(), "band", "left_semi").select("band", "class", "n", "root")
-    rest = apart.join(stored(others, "minhash-others"), "band").filter((F.col("root") != F.col("root_a")) & alike("n", "n_a"))
-    rest = stored(rest.select(*pair("class", "class_a")).distinct(), "minhash-rest")
+    open_ = placed.groupBy("band").agg(F.max(F.col("root") != F.col("lead_root")).alias("apart"), F.count("*").alias("n")).filter("apart and n > 1")
+    open_ = stored(open_.select("band"), "minhash-open")
+    details = stored(sets.join(classes.select("class", "bands"), "class"), "minhash-details")
+    others = placed.join(open_.hint("merge"), "band", "left_semi").select("band", "members", "class", "root", (F.col("root") != F.col("lead_root")).alias("apart"))
+    rest = stored(linked_blocks(others.join(details.hint("merge"), "class"), similarity).distinct(), "minhash-rest")
     more = stored(confirmed(rest, sets, similarity), "minhash-more")
     if not more.isEmpty():
         known = stored(components(links.unionByName(more)), "minhash-components")
