@@ -147,7 +147,8 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, id_: str = "vec_id", v
                     out.append((np.full(len(order), own), at[order], score[order]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
 
-    met = stored.select("list", "ids", "data").join(asked, "list")
+    # queries grow with the table, so they are never broadcast
+    met = stored.select("list", "ids", "data").join(asked.hint("merge"), "list")
     return vectors.best(met.mapInArrow(search, "query_id long, vec_id long, score double"), k, False, "double")
 
 

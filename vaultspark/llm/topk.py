@@ -103,7 +103,8 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, id_: str = "vec_id", vec
                 cols = [np.concatenate([np.full(len(f), own) for own, f, _ in out]), np.concatenate([f for _, f, _ in out]), np.concatenate([s for _, _, s in out]).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
 
-    met = stored.join(asked, "block").select("ids", "data", "q_ids", "q_data", "q_least")
+    # queries grow with the table, so they are never broadcast
+    met = stored.join(asked.hint("merge"), "block").select("ids", "data", "q_ids", "q_data", "q_least")
     return vectors.best(met.mapInArrow(search, "query_id long, vec_id long, score long"), k, True, "long")
 
 
