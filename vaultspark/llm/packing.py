@@ -23,6 +23,8 @@ from vaultspark.llm.tokens import encoder
 CAPACITY = 1024
 #: A task packs what it holds once it has so many remainders, which bounds its memory.
 HELD = 100_000
+#: Rows given to Spark at once.
+ROWS = 4096
 
 
 class OpenSequences:
@@ -96,13 +98,13 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, with
         rest: list[tuple] = []
 
         def rows(pieces, sequences, offsets):
-            for at in range(0, len(pieces), 4096):
-                doc_id, start, length, crc, total, ids = zip(*pieces[at : at + 4096])
-                cols = [doc_id, start, length, crc, total, sequences[at : at + 4096], offsets[at : at + 4096]]
+            for at in range(0, len(pieces), ROWS):
+                doc_id, start, length, crc, total, ids = zip(*pieces[at : at + ROWS])
+                cols = [doc_id, start, length, crc, total, sequences[at : at + ROWS], offsets[at : at + ROWS]]
                 arrays = [pa.array(c, pa.int64()) for c in cols]
                 if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                    edges = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
         def flush():
