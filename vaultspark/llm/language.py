@@ -44,8 +44,10 @@ class LanguageModel:
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
         n = len(texts)
+        if not n or not self.langs:
+            return np.zeros((n, len(self.langs)))
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1]) if n else ends
+        starts = np.concatenate([[0], ends[:-1] + 1])
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         out, wide = np.zeros((n, len(self.langs))), len(self.first)
         for a in range(0, len(data), BLOCK):
