@@ -148,25 +148,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
+def narrowed(sets: DataFrame) -> DataFrame:
+    """(class, short): the sets by the upper 32 bits of their shingles, sorted and distinct."""
+
+    def run(batches):
+        for batch in batches:
+            short = [np.unique((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], ["class", "short"])
+
+    return sets.select("class", "set").mapInArrow(run, "class binary, short binary")
+
+
 def linked_blocks(members: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of a bucket that look similar enough, one of them apart, of different roots. members: band, members (of the
-    bucket), class, root, apart, bands, set.
+    """Pairs (a, b) of a bucket that look similar enough, one of them apart, of different roots. members: band, members and
+    aparts (how many the bucket has), class, root, apart, bands, short.
 
-    A bucket is dealt into blocks of about BLOCK classes; blocks that hold classes apart are joined with all blocks of their
-    bucket, so pairs never become rows. A pair that meets in several buckets is compared in the first. Shingles are
-    compared by 32 bits with one to spare, which keeps every link; confirmed() has the last word.
+    A bucket's classes are dealt into blocks of about BLOCK, and those of its classes that are apart into blocks of their
+    own; the two kinds are joined by bucket, so pairs never become rows. A pair that meets in several buckets is compared in
+    the first. Shingles are compared by 32 bits with one to spare, which keeps every link; confirmed() has the last word.
     """
-    few = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = members.withColumn("block", F.pmod(F.xxhash64("class"), few).cast("int"))
-    entry = F.struct("class", "root", "apart", "bands", "set")
-    blocks = rows.groupBy("band", "block").agg(F.collect_list(entry).alias("all"))
-    apart = rows.filter("apart").groupBy("band", "block").agg(F.collect_list(entry).alias("some"))
+    dealt = lambda n: F.pmod(F.xxhash64("class"), F.ceil(F.col(n) / BLOCK)).cast("int").alias("block")
+    entry = F.collect_list(F.struct("class", "root", "apart", "bands", "short"))
+    blocks = members.groupBy("band", dealt("members")).agg(entry.alias("all"))
+    apart = members.filter("apart").groupBy("band", dealt("aparts")).agg(entry.alias("some"))
     met = apart.select("band", "some").join(blocks.select("band", "all").hint("merge"), "band")
 
     def arrays(entries: pa.Array):
-        sets = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)) for x in entries.field("set").to_pylist()]
         bands = entries.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(entries), -1)
-        return entries.field("class").to_pylist(), entries.field("root").to_pylist(), entries.field("apart").to_pylist(), bands, sets
+        short = [np.frombuffer(x, np.uint32) for x in entries.field("short").to_pylist()]
+        return entries.field("class").to_pylist(), entries.field("root").to_pylist(), entries.field("apart").to_pylist(), bands, short
 
     def run(batches):
         for batch in batches:
@@ -222,10 +232,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     # what the leaders left apart: members of a bucket that are not in its leader's component meet all members of other components
     root = lambda df, side, name: df.join(known.select(F.col("node").alias(side), F.col("root").alias(name)), side, "left").withColumn(name, F.coalesce(name, side))
     placed = stored(root(root(led, "class", "root"), "lead", "lead_root").filter("class <> lead"), "minhash-placed")
-    open_ = placed.groupBy("band").agg(F.max(F.col("root") != F.col("lead_root")).alias("apart"), F.count("*").alias("n")).filter("apart and n > 1")
-    open_ = stored(open_.select("band"), "minhash-open")
-    details = stored(sets.join(classes.select("class", "bands"), "class"), "minhash-details")
-    others = placed.join(open_.hint("merge"), "band", "left_semi").select("band", "members", "class", "root", (F.col("root") != F.col("lead_root")).alias("apart"))
+    open_ = placed.groupBy("band").agg(F.count_if(F.col("root") != F.col("lead_root")).alias("aparts"), F.count("*").alias("n")).filter("aparts > 0 and n > 1")
+    open_ = stored(open_.select("band", "aparts"), "minhash-open")
+    others = stored(placed.join(open_.hint("merge"), "band").select("band", "members", "aparts", "class", "root", (F.col("root") != F.col("lead_root")).alias("apart")), "minhash-others")
+    needed = sets.join(others.select("class").distinct(), "class", "left_semi")
+    details = stored(narrowed(needed).join(classes.select("class", "bands"), "class"), "minhash-details")
     rest = stored(linked_blocks(others.join(details.hint("merge"), "class"), similarity).distinct(), "minhash-rest")
     more = stored(confirmed(rest, sets, similarity), "minhash-more")
     if not more.isEmpty():
