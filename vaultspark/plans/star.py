@@ -13,7 +13,7 @@ from vaultspark.functions.classify import channel_class, share_class, threshold_
 from vaultspark.functions.dates import DAYS, MONTHS, calendar
 from vaultspark.functions.keys import bucket, business_key, dense_index, index_join, keyed_sample, persistent_keys, surrogate_key
 from vaultspark.operators import analytics, gold, quality
-from vaultspark.operators.loaders import changed_rows
+from vaultspark.operators.loaders import changed_rows, new_by_key
 from vaultspark.plans.registry import query, table
 from vaultspark.plans.vault import DAY_1, DAY_2, SQL_DAY_2, customer_order_link, customer_satellite, day_2, hub_customer_rows
 from vaultspark.sources.scratch import stored
@@ -205,7 +205,8 @@ def fact_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def light_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact's measures and dates alone: for questions that need no operation keys, no join is made."""
+    """Every order of the fact's kinds with its measures and date, no join made: also orders that fact() leaves out because their
+    customer is not in the hub or has no operation. The *_fact queries ask the same of the fact."""
     orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin(WITHDRAWAL, DEPOSIT))
     return orders.select(F.col("o_custkey").alias("IdentificadorCliente"), surrogate_key(business_key("o_custkey")).alias("DimIdCliente"), F.col("o_orderdate").cast("date").alias("FechaClave"),
                          F.col("o_totalprice").alias("MontoPrincipal"), *gold.atm_flags("o_orderstatus", WITHDRAWAL, DEPOSIT))
@@ -214,7 +215,7 @@ def light_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT CAST(year(o_orderdate) AS INT) AS Anio, CAST(month(o_orderdate) AS INT) AS Mes, {_names(MONTHS, "month(o_orderdate)")} AS NombreMes, count(*) AS transacciones,
   round(sum(o_totalprice), 2) AS monto_total, count(DISTINCT o_custkey) AS clientes FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL ORDER BY 1, 2""")
 def monthly_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hubs, calendar and fact joined: transactions, amount and unique customers per month."""
+    """Orders and calendar joined: transactions, amount and unique customers per month, as the SQL has them; of the fact see monthly_star_fact."""
     return analytics.monthly(light_fact(spark, sf_dir), calendar(table(spark, sf_dir, "orders"), "o_orderdate"), "MontoPrincipal", "DimIdCliente")
 
 
@@ -249,6 +250,46 @@ def outlier_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.outliers(totals.join(segments, "IdentificadorCliente"), "segmento", "total")
 
 
+#: Rows of fact(): orders of its kinds whose customer is in the hub and has an operation.
+SQL_FACT = f"""{SQL_DOMINANT}, fact AS (SELECT orders.* FROM orders JOIN dominant ON sha256(CAST(o_custkey AS VARCHAR)) = Hash_Cliente
+  WHERE o_orderstatus IN ('F', 'O') AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey > 0))"""
+
+
+def _fact_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact with the attributes of the customer dimension, joined by the hub hash."""
+    customer = table(spark, sf_dir, "customer")
+    hub = new_by_key(hub_customer_rows(customer), None, ["Hash_Cliente"])
+    dimension = _dim_customer(customer, hub).select("Hash_Cliente", F.col("segmento_cliente").alias("segmento"), "region_geografica")
+    return fact(spark, sf_dir).join(dimension, "Hash_Cliente")
+
+
+@query(f"""WITH {SQL_FACT} SELECT CAST(year(o_orderdate) AS INT) AS Anio, CAST(month(o_orderdate) AS INT) AS Mes, {_names(MONTHS, "month(o_orderdate)")} AS NombreMes, count(*) AS transacciones,
+  round(sum(o_totalprice), 2) AS monto_total, count(DISTINCT o_custkey) AS clientes FROM fact WHERE o_orderdate IS NOT NULL GROUP BY ALL ORDER BY 1, 2""")
+def monthly_star_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact and calendar joined: transactions, amount and unique customers per month."""
+    return analytics.monthly(fact(spark, sf_dir), calendar(table(spark, sf_dir, "orders"), "o_orderdate"), "MontoPrincipal", "DimIdCliente")
+
+
+@query(f"WITH {SQL_FACT} SELECT o_custkey AS IdentificadorCliente, {SQL_METRICS} FROM fact GROUP BY o_custkey")
+def deposit_withdrawal_metrics_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.movement_metrics(fact(spark, sf_dir), ["IdentificadorCliente"], "MontoPrincipal")
+
+
+@query(f"""WITH {SQL_FACT} SELECT c_mktsegment AS segmento, r_name AS region, {SQL_METRICS} FROM fact JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
+def segment_region_metrics_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment and nation are those of the customer dimension."""
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("region_geografica"), F.col("r_name").alias("region"))
+    return analytics.movement_metrics(_fact_with_customer(spark, sf_dir).join(places, "region_geografica"), ["segmento", "region"], "MontoPrincipal")
+
+
+@query(f"""WITH {SQL_FACT}, t AS (SELECT o_custkey AS IdentificadorCliente, c_mktsegment AS segmento, round(sum(o_totalprice), 2) AS total FROM fact JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT * FROM (SELECT t.*, round((total - m) / nullif(s, 0), 4) AS z FROM t JOIN (SELECT segmento, avg(total) AS m, stddev_samp(total) AS s FROM t GROUP BY 1) USING (segmento)) WHERE abs(z) > 2""")
+def outlier_customers_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = _fact_with_customer(spark, sf_dir).groupBy("IdentificadorCliente", "segmento").agg(F.round(F.sum("MontoPrincipal"), 2).alias("total"))
+    return analytics.outliers(totals, "segmento", "total")
+
+
 @query("""SELECT 'fact' AS entity, count(*) AS n, 0 AS broken, CAST(min(o_orderdate) AS DATE) AS first_date, CAST(max(o_orderdate) AS DATE) AS last_date FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey > 0
 UNION ALL SELECT 'calendar', count(DISTINCT CAST(o_orderdate AS DATE)), 0, CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE) FROM orders""")
 def load_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
