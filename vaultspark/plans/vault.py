@@ -6,6 +6,8 @@ snapshot of the customers changes a fifth of the balances, adds some keys and la
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,24 +107,23 @@ def link_customer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_by_key(customer_order_link(table(spark, sf_dir, "orders")), None, ["Hash_Cliente", "Hash_Transaccion"])
 
 
-def _event_batches(spark: SparkSession, sf_dir: str, batches: int) -> tuple[DataFrame, str]:
-    """The events in ascending event_id, one file per batch; names, and times of change, follow the order."""
+def _event_batches(spark: SparkSession, sf_dir: str, batches: int, handle: Callable[[DataFrame, int], None], *columns) -> None:
+    """The events land in ascending event_id, each batch as a folder of as many files as it has partitions, and are streamed as
+    they land: one micro-batch per folder, whatever its number of files."""
     events, path = table(spark, sf_dir, "events"), scratch_path(spark, "events")
     top = events.agg(F.max("event_id")).first()[0] or 0
     for b in range(batches):
         inside = F.floor(F.col("event_id") * batches / (top + 1)) == b
-        events.filter(inside).coalesce(1).write.mode("append").parquet(path)
-    return events, path
+        events.filter(inside).write.parquet(f"{path}/{b}")
+        run_available(file_stream(spark, f"{path}/*", events.schema).select(*columns), handle, f"{path}-checkpoint")
 
 
 @query("""SELECT user_id, event_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
 def scd1_upsert_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream in three batches is merged into a table of eight buckets."""
-    events, path = _event_batches(spark, sf_dir, 3)
     target = VersionedTable(spark, scratch_path(spark, "last-seen"))
-    stream = file_stream(spark, path, events.schema, 1).select("user_id", "ts", "event_id", "event_type", "value")
-    run_available(stream, upserting(target, ["user_id"], ["ts", "event_id"], 8), f"{path}-checkpoint")
+    _event_batches(spark, sf_dir, 3, upserting(target, ["user_id"], ["ts", "event_id"], 8), "user_id", "ts", "event_id", "event_type", "value")
     return target.read().select("user_id", "event_id", "event_type", "value")
 
 
@@ -144,10 +145,9 @@ def satellite_day2_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE before IS NULL OR before <> event_type""")
 def satellite_revert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of each user's event type over a stream of three batches; a type that comes back is a version again."""
-    events, path = _event_batches(spark, sf_dir, 3)
     target = VersionedTable(spark, scratch_path(spark, "versions"))
-    stream = file_stream(spark, path, events.schema, 1).select("user_id", "event_id", "event_type", change_hash(business_key("user_id"), "event_type").alias("Hash_Diferenciador"))
-    run_available(stream, detecting_changes(target, "user_id", "Hash_Diferenciador", "event_id", "event_id"), f"{path}-checkpoint")
+    change = change_hash(business_key("user_id"), "event_type").alias("Hash_Diferenciador")
+    _event_batches(spark, sf_dir, 3, detecting_changes(target, "user_id", "Hash_Diferenciador", "event_id", "event_id"), "user_id", "event_id", "event_type", change)
     return target.read().select("user_id", "event_id", "event_type")
 
 
