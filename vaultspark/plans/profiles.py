@@ -41,6 +41,23 @@ def referential_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.coverage(orders, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).filter("k % 97 <> 1"), "k")
 
 
+_COVERAGE = """b AS (SELECT p.k AS p, n.n FROM p FULL OUTER JOIN n ON p.k = n.k)
+SELECT count(p) AS parents, count(*) FILTER (p IS NOT NULL AND n IS NOT NULL) AS covered, CAST(coalesce(sum(n) FILTER (p IS NULL), 0) AS BIGINT) AS orphans, min(n) FILTER (p IS NOT NULL) AS least,
+  max(n) FILTER (p IS NOT NULL) AS most, round(avg(n) FILTER (p IS NOT NULL), 4) AS mean, quantile_cont(n, 0.95) FILTER (p IS NOT NULL AND n IS NOT NULL) AS p95 FROM b"""
+
+
+@query(f"WITH n AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT DISTINCT c_custkey AS k FROM customer), {_COVERAGE}")
+def referential_coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders against all customers."""
+    return profile.coverage(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
+
+
+@query(f"WITH {SQL_DAY_2}, n AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT DISTINCT c_custkey AS k FROM day_2), {_COVERAGE}")
+def referential_coverage_day_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders against the customers of the second snapshot, which lacks some and adds some without orders."""
+    return profile.coverage(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), day_2(table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("k")), "k")
+
+
 @query(f"""WITH {SQL_DAY_2}, b AS (SELECT a.c_custkey AS ka, d.c_custkey AS kb, a.c_acctbal <> d.c_acctbal AS m, a.c_name <> d.c_name AS n FROM customer a FULL OUTER JOIN day_2 d ON a.c_custkey = d.c_custkey)
 SELECT unnest(['c_acctbal', 'c_name']) AS "column", unnest([round(avg(CAST(m AS INT)), 6), round(avg(CAST(n AS INT)), 6)]) AS rate, count(*) FILTER (ka IS NULL) AS added, count(*) FILTER (kb IS NULL) AS removed FROM b""")
 def field_change_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
