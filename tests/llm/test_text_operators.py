@@ -269,8 +269,12 @@ def test_near_duplicates_are_those_of_all_pairs(spark, docs, small, size):
     assert minhash.near_duplicates(docs.limit(0), size).count() == 0
 
 
-def test_a_group_without_a_centre_is_found_whole(spark):
-    """A chain whose ends differ, beside texts of the same bucket that are alike but not alike enough."""
+@pytest.mark.parametrize("stream, held", [(minhash.STREAM, minhash.HELD_BYTES), (0.25, 1000)])
+def test_a_group_without_a_centre_is_found_whole(spark, monkeypatch, stream, held):
+    """A chain whose ends differ, beside texts of the same bucket that are alike but not alike enough; also with leads and
+    buckets dealt over many tasks."""
+    monkeypatch.setattr(minhash, "STREAM", stream)
+    monkeypatch.setattr(minhash, "HELD_BYTES", held)
     words = text_of(9, 100, 10_000).split()
     chain = [" ".join(words[k : 60 + k]) for k in range(0, 36, 3)]
     r = random.Random(4)

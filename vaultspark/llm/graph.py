@@ -8,25 +8,29 @@ from pyspark.sql import functions as F
 from vaultspark.llm.common import stored
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (a, b): root is the smallest node reachable.
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link downwards or only links upwards."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    nodes = ends.select("e.*").groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
+def components(links: DataFrame) -> DataFrame | None:
+    """(node, root) for every node of links (a, b), in any direction and repeated or not: root is the smallest node reachable.
+    None if there is no link.
 
     Alternating large-star and small-star: every node tells its larger neighbours, then its smaller ones, the smallest node
     it knows. The links turn into stars around the roots in a number of rounds that grows with the logarithm of a
-    component's length. Nothing reaches the driver but a count and a checksum a round.
+    component's length. Nothing reaches the driver but whether links are left that are no stars.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    before = None
-    while True:
+    if edges.isEmpty():
+        return None
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "star-min")
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = stored(large, "star-large")
-        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "star-min")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = stored(small.select("e.a", "e.b").filter("a <> b").distinct(), "star-small")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
-        if now == before:
-            break
-        before = now
+        edges = stored(small.select("e.a", "e.b").filter("a <> b").distinct(), "stars")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
