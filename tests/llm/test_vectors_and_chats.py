@@ -63,6 +63,48 @@ def test_neighbours_recall_and_scores(spark, sf_dir):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("sample", [vectors.SAMPLE_ROWS, 100])
+def test_recall_where_nine_in_ten_candidates_are_under_test(spark, monkeypatch, sample):
+    """With a sample of a tenth and of a twentieth of the rows."""
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", sample)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    df = spark.createDataFrame([(r["vec_id"], r["embedding"]) for r in rows], "vec_id long, embedding array<float>")
+    got = by_query(ann.nearest(df, every=20))
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    hits = []
+    for q, found in got.items():
+        distance = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        order = [j for j in np.lexsort((ids, distance)) if ids[j] != q][:10]
+        hits.append(len({int(ids[j]) for j in order} & {j for j, _ in found}) / 10)
+    assert len(ids) == 2000 and len(hits) == 100 and np.mean(hits) >= 0.9
+
+
+def test_most_candidates_are_abandoned_early():
+    """Clustered rows: the tests leave few for exact measuring, and lose none of the nearest."""
+    rng = np.random.default_rng(3)
+    block = rng.standard_normal((8, 64))[rng.integers(0, 8, 2000)] * 2 + rng.standard_normal((2000, 64)) * 0.5
+    index_rotation = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    turned, measured = block @ index_rotation, []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, key):
+            if isinstance(key, np.ndarray) and key.dtype.kind == "i":
+                measured.append(len(key))
+            return super().__getitem__(key)
+
+    distance = np.sqrt(((block - block[0]) ** 2).sum(1))
+    at, score = ann.scan(block[0], turned[0], float(np.sort(distance)[30]), 10, block.view(Watched), turned, np.arange(2000) != 0, np.zeros(2000, bool))
+    assert set(np.argsort(distance, kind="stable")[1:11]) <= set(at.tolist()) and sum(measured) < 400
+
+
+def test_large_scores_are_exact_integers(spark):
+    rows = [(100, [3.0e9, 1.0, 2.0]), (1, [2.0e9, 1.0, 7.0]), (2, [2.0e9, 1.0, 8.0]), (3, [1.0e300, 0.0, 0.0]), (4, [-1.7e308, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scaled = {i: [int(np.floor(1024 * np.float64(x))) if abs(x) < 1e305 else int(np.sign(x)) * int(np.finfo(float).max) for x in v] for i, v in rows}
+    want = sorted(((-max(-topk._LONG, min(topk._LONG, sum(a * b for a, b in zip(scaled[100], scaled[i])))), i) for i in (1, 2, 3, 4)))
+    assert by_query(topk.top_k(df)) == {100: [(i, -s) for s, i in want]}
+
+
 def test_small_and_empty_tables(spark, crowd):
     few = crowd.filter("vec_id IN (300, 301, 302, 400)")
     assert {q: len(v) for q, v in by_query(ann.nearest(few)).items()} == {300: 3, 400: 3}
@@ -102,9 +144,9 @@ def test_lists_are_read_no_further_than_the_bound():
             return super().__getitem__(key)
 
     lists.rows = rows.view(Watched)
-    ids, scores = lists.top(query, -1, 10, -np.inf)
+    ids, scores, scored = lists.top(query, -1, 10, -np.inf)
     order = np.lexsort((np.arange(4000), -(rows @ query)))[:10]
-    assert ids.tolist() == order.tolist() and scores.tolist() == (rows @ query)[order].tolist() and sum(looked) < 2000
+    assert ids.tolist() == order.tolist() and scores.tolist() == (rows @ query)[order].tolist() and sum(looked) < 2000 and scored < 2000
 
 
 # 7 chats

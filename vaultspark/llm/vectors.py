@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,10 +11,11 @@ from pyspark.sql import functions as F
 
 from vaultspark.llm.common import row_hash
 
-#: The sample that thresholds and the index are fitted on: so many vectors at most, and so many components.
-SAMPLE_ROWS, SAMPLE_VALUES, SEED = 8192, 1 << 21, 8
-#: Vectors of a block at most, and blocks that small tables are cut into at least if each has LEAST_BLOCK vectors.
-BLOCK, LEAST_BLOCK, LEAST_BLOCKS = 2048, 64, 256
+#: The sample that thresholds and the index are fitted on: a tenth of the vectors (of very few: LEAST_SAMPLE), so many vectors at
+#: most, and so many components.
+SAMPLE_ROWS, SAMPLE_VALUES, SAMPLE_SHARE, LEAST_SAMPLE, SEED = 8192, 1 << 21, 0.1, 32, 8
+#: Vectors of a block at most.
+BLOCK = 2048
 #: Queries of a block.
 QUERY_BLOCK = 256
 
@@ -25,20 +28,24 @@ def finite(vector: str) -> Column:
 def usable(df: DataFrame, id_: str, vector: str, nonzero: bool = True) -> tuple[DataFrame, int, int]:
     """vec_id (long) and embedding of the rows that take part, how many, and their dimension. Rows with a null id, a null or
     empty vector, null or non-finite components, or, if nonzero, only zeros are left out; so are vectors of another
-    dimension than the most frequent (the smaller at a tie)."""
+    dimension than the most frequent (the smaller at a tie), and a warning tells how many those are."""
     ok = F.col(id_).isNotNull() & finite(vector)
     if nonzero:
         ok = ok & F.exists(F.col(vector), lambda x: x != 0)
     rows = df.filter(ok).select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).alias("embedding"))
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if sizes is None:
+    sizes = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
+    found = sizes.agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("dim")).alias("dim"))).alias("most")).first()
+    if found["most"] is None:
         return rows, 0, 0
-    return rows.filter(F.size("embedding") == sizes["dim"]), sizes["n"], sizes["dim"]
+    n, dim = found["most"]["n"], -found["most"]["dim"]
+    if found["all"] > n:
+        warnings.warn(f"{found['all'] - n} vectors don't have the {dim} dimensions of most and take no part", stacklevel=2)
+    return rows.filter(F.size("embedding") == dim), n, dim
 
 
 def sample(rows: DataFrame, n: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """ids and vectors (double) of a sample drawn by a hash, in order of id."""
-    wanted = min(SAMPLE_ROWS, max(64, SAMPLE_VALUES // max(1, dim)))
+    wanted = min(SAMPLE_ROWS, max(LEAST_SAMPLE, SAMPLE_VALUES // max(1, dim)), max(LEAST_SAMPLE, int(SAMPLE_SHARE * n)))
     draw = F.pmod(row_hash(SEED, "vec_id"), F.lit(1 << 40)) < int(min(1.0, 0.95 * wanted / max(1, n)) * (1 << 40))
     got = sorted((r["vec_id"], r["embedding"]) for r in (rows if n <= wanted else rows.filter(draw)).limit(wanted).collect())
     return np.array([i for i, _ in got], np.int64), np.array([v for _, v in got], np.float64).reshape(len(got), dim)
@@ -49,10 +56,6 @@ def queries(rows: DataFrame, every: int) -> DataFrame:
     return rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def block_size(n: int) -> int:
-    return int(np.clip(n // LEAST_BLOCKS, LEAST_BLOCK, BLOCK))
-
-
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column without nulls, of lists of one length, as a matrix of doubles."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
