@@ -61,9 +61,8 @@ def test_code_lengths_are_those_of_the_definition():
             for k in range(1, language.ORDER + 2):
                 for i in range(len(t) - k + 1):
                     count[x][t[i : i + k]] = count[x].get(t[i : i + k], 0) + 1
-    total = {g: sum(c.get(g, 0) for c in count.values()) for c in count.values() for g in c}
     for x in count:
-        count[x] = {g: n for g, n in count[x].items() if total[g] >= (language.LEAST_COUNT if len(g) > 2 else 1)}
+        count[x] = {g: n for g, n in count[x].items() if n >= (language.LEAST_COUNT if len(g) > 2 else 1)}
 
     def bits(x, t):
         out = 0.0
@@ -122,6 +121,17 @@ def test_encoder_gives_the_ids_of_the_whole_text(path):
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == want.ids, text
 
 
+def test_a_tokenizer_of_another_kind_encodes_whole_texts(tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"ab": 0, "c": 1, "a": 2, "?": 3}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Split("a", "removed")
+    other.save(str(tmp_path / "other.json"))
+    mine = tokens.Encoder(str(tmp_path / "other.json"))
+    assert mine.whole and not tokens.encoder(BYTE).whole and not tokens.encoder(WORDS).whole
+    assert np.frombuffer(mine.encode("c a ab c"), "<u4").tolist() == other.encode("c a ab c").ids
+
+
 def test_cache_turnover_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED", 20)
     mine, plain = tokens.Encoder(BYTE), Tokenizer.from_file(BYTE)
@@ -146,14 +156,14 @@ def test_tokens_round_trip(spark, docs, small):
 
 
 def test_one_document_is_read_from_its_own_frame():
-    dictionary = tokens.Dictionary(b"\1\0\2\0\3\0\4\0")
+    dictionary = tokens.trained([b"\1\0\2\0\3\0\4\0"], 50_000, False)
     ids = [np.array(x, "<u4").tobytes() for x in ([1, 2, 3], [], [65535, 7])]
     for wide in (False, True):
         block = tokens.pack_block(dictionary, dictionary.compressor(), 11, [(5, ids[0]), (None, ids[1]), (6, ids[2])], wide)
         before, index, frames = tokens.open_block(block, dictionary)
         assert before == 11 and [tokens.read_document(block, i, dictionary.decompressor(), index, frames).tobytes() for i in range(3)] == ids
     with pytest.raises(ValueError):
-        tokens.open_block(block, tokens.Dictionary(b"other dictionary"))
+        tokens.open_block(block, tokens.trained([], 40_000, False))
 
 
 # 3 mixing
@@ -199,10 +209,11 @@ def test_matching_statistics_against_counting():
                 assert got[j] == max([n for n in range(1, len(t) - j + 1) if count(t[j : j + n]) >= 2], default=0)
 
 
-@pytest.mark.parametrize("group", [64, 0])
-def test_repeats_are_removed(spark, docs, small, monkeypatch, group):
-    """Also with every shard counted by windows, as very large ones are."""
-    monkeypatch.setattr(substring, "GROUP", group)
+@pytest.mark.parametrize("words, stream", [(substring.SHARD_WORDS, substring.STREAM), (100, 2)])
+def test_repeats_are_removed(spark, docs, small, monkeypatch, words, stream):
+    """Also with most minimizers split over several shards, as very large ones are."""
+    monkeypatch.setattr(substring, "SHARD_WORDS", words)
+    monkeypatch.setattr(substring, "STREAM", stream)
     for df, window in ((docs, 35), (docs, 4), (small, 35), (docs.limit(0), 35)):
         rows = pairs(df)
         want = sorted((-1 if i is None else i, n, n - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest(), " ".join(kept)) for (i, _), (n, kept) in zip(rows, brute.without_repeats([t for _, t in rows], window)))
@@ -326,6 +337,23 @@ def test_secrets(spark, docs, small):
     assert [(s["kind"], s["start"], s["end"]) for s in found] == [("github", 0, 40), ("slack", 41, 56)]
 
 
+def test_a_text_full_of_secrets(spark):
+    """A hundred thousand matches of one rule in one text, found and masked, over chunks and in between."""
+    text = ("é" + "0f" * 16 + "x") * 100_000
+    df = spark.createDataFrame([(1, text), (2, "y" * 5000 + " token=abcdefgh " + "z" * 9000)], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(df).collect()}
+    assert len(spans[1]) == 100_000 and [tuple(s) for s in spans[1][::33_333]] == [(34 * i + 1, 2, "hex", 34 * i + 33) for i in range(0, 100_000, 33_333)]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert clean[1] == "é[SECRET]x" * 100_000 and clean[2] == "y" * 5000 + " [SECRET] " + "z" * 9000
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_the_candidate_filter_loses_nothing(spark, small, monkeypatch, bits):
+    monkeypatch.setattr(secrets, "FILTER_BITS", bits)
+    for row in secrets.find_secrets(small).collect():
+        assert [(s["start"], s["kind_no"], s["kind"], s["end"]) for s in row["spans"] if s["kind_no"] < 3] == brute.secrets(row["text"])
+
+
 def test_redaction_leaves_clean_texts_alone(spark, docs):
     text = "é token=abcdefgh AKIA" + "B" * 14 + " end " + "0f" * 20
     df = docs.unionByName(spark.createDataFrame([(99, text, "en", "a", len(text))], SCHEMA))

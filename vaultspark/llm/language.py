@@ -23,9 +23,10 @@ from vaultspark.llm.common import row_hash, table
 
 #: Longest context in bytes.
 ORDER = 4
-#: The sample: about so many documents of each language, none longer than so many bytes, cut off at so many bytes a language.
-SAMPLE_DOCS, SAMPLE_DOC_BYTES, SAMPLE_BYTES = 240, 1 << 18, 1 << 19
-#: Strings of three bytes and more are nodes if the sample holds them so often.
+#: The sample: about so many documents of each language, none longer than so many bytes, cut off at so many bytes a language,
+#: for so many languages, the most frequent.
+SAMPLE_DOCS, SAMPLE_DOC_BYTES, SAMPLE_BYTES, MOST_LANGS = 240, 1 << 18, 1 << 19, 64
+#: Strings of three bytes and more are in a language's tree if its sample holds them so often.
 LEAST_COUNT = 2
 SEED = 11
 #: Bytes scored at once.
@@ -101,7 +102,9 @@ def build_model(samples: dict[str, list[bytes]], order: int = ORDER) -> Language
         table_ = np.zeros((len(keys), len(langs)), np.int64)
         for i, (k, c) in enumerate(each):
             table_[np.searchsorted(keys, k), i] = c
-        keep = table_.sum(1) >= (LEAST_COUNT if size > 2 else 1)
+        if size > 2:  # each tree by its own sample; a string that stays has its prefixes and suffixes there too
+            table_[table_ < LEAST_COUNT] = 0
+        keep = table_.any(1)
         levels.append(keys[keep])
         counts.append(table_[keep])
     base = np.concatenate([[0], np.cumsum([len(x) for x in levels])])
@@ -145,19 +148,22 @@ def build_model(samples: dict[str, list[bytes]], order: int = ORDER) -> Language
 
 
 def train(docs: DataFrame) -> LanguageModel:
-    """A model of the labelled rows of docs (doc_id, text, lang), fitted on a bounded sample: rows are drawn by a hash, with a
-    rate for each language, and only the drawn texts reach the driver. Rows without text or lang teach nothing."""
+    """A model of the labelled rows of docs (doc_id, text, lang), fitted on a bounded sample: rows are drawn by a hash of doc_id
+    and text, with a rate for each language that gives about SAMPLE_DOCS rows and twice SAMPLE_BYTES at most, and only the first
+    of the drawn texts reach the driver. Rows without text or lang teach nothing; of more than MOST_LANGS languages the most
+    frequent are learned."""
     known = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.octet_length("text") <= SAMPLE_DOC_BYTES))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    draw, none = F.pmod(row_hash(SEED, "doc_id"), F.lit(1 << 40)), F.lit(False)
-    for lang, n in sizes.items():
-        none = F.when(F.col("lang") == lang, draw < int(min(1.0, SAMPLE_DOCS / n) * (1 << 40))).otherwise(none)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    draw, none = F.pmod(row_hash(SEED, "doc_id", "text"), F.lit(1 << 40)), F.lit(False)
+    for lang, n, size in sizes:
+        rate = min(1.0, SAMPLE_DOCS / n, 2 * SAMPLE_BYTES / size)
+        none = F.when(F.col("lang") == lang, draw < int(rate * (1 << 40))).otherwise(none)
     samples: dict[str, list[bytes]] = {}
-    rows = known.filter(none).select("lang", draw.alias("_d"), "doc_id", F.col("text").cast("binary").alias("_t")).collect() if sizes else []
-    for r in sorted(rows, key=lambda r: (r["lang"], r["_d"], str(r["doc_id"]), bytes(r["_t"]))):
+    drawn = known.filter(none).select("lang", draw.alias("draw"), F.col("text").cast("binary").alias("text")).orderBy("draw", "lang", "text")
+    for r in drawn.limit(2 * SAMPLE_DOCS * len(sizes)).collect() if sizes else []:
         texts = samples.setdefault(r["lang"], [])
-        if not texts or sum(map(len, texts)) + len(r["_t"]) <= SAMPLE_BYTES:
-            texts.append(bytes(r["_t"]))
+        if not texts or sum(map(len, texts)) + len(r["text"]) <= SAMPLE_BYTES:
+            texts.append(bytes(r["text"]))
     return build_model(samples)
 
 
@@ -165,10 +171,11 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """docs with lang_pred, score (the share of the best language in 2^-bits, 0 to 1) and bits_per_byte (of the best).
 
     Null, empty and letterless texts get `und`, 0.0 and null, and so does every text if the model knows no language. Ties
-    go to the smaller language. Columns of docs with these names are replaced; others, and all rows, stay.
+    go to the smaller language. Columns of docs with these names are replaced; others, whatever their names, and all rows stay.
     """
-    docs = docs.drop("lang_pred", "score", "bits_per_byte")
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    nested = docs.drop("lang_pred", "score", "bits_per_byte").select(F.col(text).alias("text"), letters.alias("letters"), F.struct("*").alias("row"))
+    schema = nested.select("row").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -176,8 +183,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(text).cast(pa.large_binary()).to_pylist()
-                usable = part.column("_letters").to_pylist()
+                texts = part.column("text").cast(pa.large_binary()).to_pylist()
+                usable = part.column("letters").to_pylist()
                 pred, score, bpb = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
                 todo = [i for i, ok in enumerate(usable) if ok and model.langs]
                 bits = model.code_lengths([texts[i] for i in todo])
@@ -185,11 +192,9 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                 for i, k, row in zip(todo, best, bits):
                     pred[i], bpb[i] = model.langs[k], row[k] / len(texts[i])
                     score[i] = float(1 / np.exp2(np.maximum(row[k] - row, -1000)).sum())
-                own = part.drop_columns(["_letters"])
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(pred), pa.array(score), pa.array(bpb, pa.float64())], [*own.schema.names, "lang_pred", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(pred), pa.array(score), pa.array(bpb, pa.float64())], ["row", "lang_pred", "score", "bits_per_byte"])
 
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("_letters", letters).mapInArrow(run, schema)
+    return nested.mapInArrow(run, schema).select("row.*", "lang_pred", "score", "bits_per_byte")
 
 
 def held_out(doc_id: str = "doc_id"):

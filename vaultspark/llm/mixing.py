@@ -46,6 +46,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return level.select("source", "source_size", target.alias("target"))
 
 
+def _planned(docs: DataFrame, seed: int, weights: tuple[int, ...], most: int) -> DataFrame:
+    """row (the caller's), size, source_size, target and copies."""
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
+    unit = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / float(1 << 52)
+    sized = docs.select("source", word_count(F.col("text")).alias("size"), unit.alias("unit"), F.struct("*").alias("row"))
+    targets = stored(source_targets(sized.select("source", "size"), weights, most), "mix-targets")
+    targets = targets.select(F.col("source").alias("of"), "source_size", "target")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(rate)
+    copies = F.least(whole + (F.col("unit") < rate - whole).cast("int"), F.lit(most)).cast("int")
+    return joined.select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
 def mixing_plan(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """docs with size, source_size, target and copies (int), whatever other columns it has.
 
@@ -53,22 +67,14 @@ def mixing_plan(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WE
     text has size 0. A row of size 0 is copied by its source's rate like any other (rate 0 where the source has no words).
     Rows that are equal in doc_id and text are drawn alike. An empty table gives an empty result.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    targets = stored(source_targets(sized.select("source", "size"), weights, most), "mix-targets")
-    targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
-    unit = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / float(1 << 52)
-    whole = F.floor(rate)
-    return joined.withColumn("copies", F.least(whole + (unit < rate - whole).cast("int"), F.lit(most)).cast("int"))
+    own = docs.drop("size", "source_size", "target", "copies")
+    return _planned(own, seed, weights, most).select("row.*", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The mixed corpus: each row of docs repeated by its copies, with the columns of docs."""
-    plan = mixing_plan(docs.select("doc_id", "text", "source", F.struct("*").alias("_row")), seed, weights, most)
-    return plan.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_row.*")
+    plan = _planned(docs, seed, weights, most)
+    return plan.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ matching statistics give the intervals above the threshold. What makes this scal
 2. Segments that are equal as a whole are counted together. If one occurs twice, all its windows repeat, and the copies of
    a document cost one segment each, however many there are.
 3. The texts of the distinct segments left are fetched once. All segments of a minimizer go to one shard, where each is
-   streamed against the index. A minimizer with more than GROUP distinct segments, such as the edge of a very
-   common passage, would make a shard too large; its windows are counted one by one by hash, summed before the shuffle.
+   streamed against the index. A minimizer with more than SHARD_WORDS words, such as the edge of a very common passage, is split
+   by content over as many shards as it needs: each of its segments is part of one index and streamed against all of them.
+   A window repeats if it occurs twice in its own shard or once in another.
 4. Intervals go back to all occurrences of a segment and are joined with their documents.
 
 Texts are compressed before they are shuffled. Words are compared by 64-bit hashes.
@@ -29,9 +30,9 @@ from vaultspark.llm.common import row_hash, stored, table
 from vaultspark.llm.fmindex import FMIndex
 from vaultspark.llm.minhash import _mix, _words
 
-WINDOW, SEED_WORDS, GROUP, SEED = 35, 6, 64, 3
-#: Windows of a segment at most; words of a shard's index after which the next shard begins.
-LONGEST, SHARD_WORDS = 64, 150_000
+WINDOW, SEED_WORDS, SEED = 35, 6, 3
+#: Windows of a segment at most; words of a shard's index after which the next shard begins; segments streamed at once.
+LONGEST, SHARD_WORDS, STREAM = 64, 150_000, 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,45 +122,80 @@ def document_segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.select("_key", "text").mapInArrow(run, "_key long, start int, n short, mini long, content long, repeats boolean")
 
 
-def _index_shards(texts: DataFrame, window: int) -> DataFrame:
-    """(mini, content, a, b): intervals of repeated windows, from rows (mini, content, weight, n, words as bytes)."""
-
-    def search(rows):
-        """rows of one shard, all segments of each minimizer among them."""
-        words, flat = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
-        cuts = np.cumsum([len(r[4]) for r in rows])[:-1]
-        symbols = np.split(flat.astype(np.int64) + 1, cuts)
-        index = FMIndex(symbols, np.array([r[2] for r in rows]), len(words))
-        open_ = [i for i, r in enumerate(rows) if r[2] == 1]  # a segment that occurs twice repeats as a whole
+class Shard:
+    """An index of segments (mini, content, weight, n, words)."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+        self.words, flat = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
+        self.symbols = np.split(flat.astype(np.int64) + 1, np.cumsum([len(r[4]) for r in rows])[:-1])
+        self.index = FMIndex(self.symbols, np.array([r[2] for r in rows]), len(self.words) + 1)  # the last symbol is in no text
+
+    def _intervals(self, rows: list[tuple], symbols: list[np.ndarray], least: int, window: int) -> list[tuple]:
         out = []
-        for i, longest in zip(open_, index.matching_statistics([symbols[i] for i in open_], 2) if open_ else []):
-            hit = np.concatenate([[False], longest[: rows[i][3]] >= window, [False]])
+        for row, longest in zip(rows, self.index.matching_statistics(symbols, least) if rows else []):
+            hit = np.concatenate([[False], longest[: row[3]] >= window, [False]])
             edges = np.flatnonzero(hit[1:] != hit[:-1])
-            out += [(rows[i][0], rows[i][1], int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
+            out += [(row[0], row[1], int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
         return out
 
+    def own(self, window: int) -> list[tuple]:
+        """(mini, content, a, b): the windows of its segments that occur twice in it."""
+        open_ = [i for i, r in enumerate(self.rows) if r[2] == 1]  # a segment that occurs twice repeats as a whole
+        return self._intervals([self.rows[i] for i in open_], [self.symbols[i] for i in open_], 2, window)
+
+    def others(self, rows: list[tuple], window: int) -> list[tuple]:
+        """The windows of segments of other shards that occur in it."""
+        symbols = []
+        for row in rows:
+            at = np.minimum(np.searchsorted(self.words, row[4]), len(self.words) - 1)
+            symbols.append(np.where(self.words[at] == row[4], at, len(self.words)) + 1)
+        return self._intervals(rows, symbols, 1, window)
+
+
+def _index_shards(texts: DataFrame, window: int) -> DataFrame:
+    """(mini, content, a, b): intervals of repeated windows, from rows (mini, content, weight, n, shards, words as bytes)."""
+    own = F.pmod(F.xxhash64("content"), F.col("shards").cast("long")).cast("int")
+    searched = F.when(F.col("weight") == 1, F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(F.array(own))
+    dealt = texts.select("*", F.explode(searched).alias("shard")).withColumn("other", F.col("shard") != own)
+    columns = ("mini", "content", "weight", "n", "words", "shards", "shard", "other")
+
     def run(batches):
-        held, size, now, seen = [], 0, None, set()
+        held, size, now, seen, shard, waiting, several = [], 0, None, set(), None, [], False
 
         def emit(found):
             cols = list(zip(*found)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["mini", "content", "a", "b"])
 
+        def ended():
+            """What the shard finds for the rows held or, if it has been asked, for those that wait."""
+            return emit(shard.others(waiting, window) if shard else Shard(held).own(window))
+
         for batch in batches:
-            for mini, content, weight, n, words in zip(*(batch.column(c).to_pylist() for c in ("mini", "content", "weight", "n", "words"))):
-                if mini != now:
-                    if size >= SHARD_WORDS:
-                        yield emit(search(held))
-                        held, size = [], 0
-                    now, seen = mini, set()
-                if content not in seen:  # rows with the same doc_id and text bring their segments once each
-                    seen.add(content)
-                    held.append((mini, content, weight, n, np.frombuffer(words, np.uint64)))
-                    size += len(held[-1][4]) + 1
+            for *row, words, shards, number, other in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if (row[0], number) != now:
+                    if held and (several or shards > 1 or size >= SHARD_WORDS):
+                        yield ended()
+                        held, size, shard, waiting = [], 0, None, []
+                    now, seen, several = (row[0], number), set(), shards > 1
+                row = (*row, np.frombuffer(words, np.uint64))
+                if not other and row[1] not in seen:
+                    seen.add(row[1])
+                    held.append(row)
+                    size += len(row[4]) + 1
+                elif other and held:
+                    if shard is None:
+                        shard = Shard(held)
+                        yield emit(shard.own(window))
+                    waiting.append(row)
+                    if len(waiting) >= STREAM:
+                        yield emit(shard.others(waiting, window))
+                        waiting = []
         if held:
-            yield emit(search(held))
+            yield ended()
 
-    return texts.repartition("mini").sortWithinPartitions("mini").mapInArrow(run, "mini long, content long, a int, b int")
+    ordered = dealt.select(*columns).repartition("mini", "shard").sortWithinPartitions("mini", "shard", "other")
+    return ordered.mapInArrow(run, "mini long, content long, a int, b int")
 
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -170,44 +206,33 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = stored(all_.join(known.hint("merge"), "mini").select("_key", "start", "n", "mini", "content"), "sub-candidates")
     distinct = found.groupBy("mini", "content").agg(F.count("*").alias("weight"), F.min(F.struct("_key", "start", "n")).alias("at"))
     distinct = stored(distinct.select("mini", "content", "weight", "at.*"), "sub-distinct")
-    sizes = stored(distinct.groupBy("mini").agg(F.count("*").alias("members"), F.max("weight").alias("most")), "sub-groups")
+    words = F.sum(F.col("n") + window)
+    sizes = distinct.groupBy("mini").agg(F.count("*").alias("members"), F.max("weight").alias("most"), F.ceil(words / SHARD_WORDS).cast("int").alias("shards"))
+    sizes = stored(sizes.filter("members > 1 or most = 1").select("mini", "shards"), "sub-groups")
     whole = distinct.filter("weight > 1").select("mini", "content", F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))
 
     # fetch the texts of the rest, once per document
-    kinds = distinct.join(sizes.filter("members > 1 or most = 1"), "mini")
-    entry = F.struct("mini", "content", "weight", "start", "n", (F.col("members") > GROUP).alias("large"))
-    wanted = kinds.groupBy("_key").agg(F.collect_list(entry).alias("entries"))
-    packed = _compressed(docs.select("_key", "text")).join(wanted.hint("merge"), "_key").select("zip", "entries")
-    names = ["mini", "content", "weight", "n", "large", "words"]
+    entry = F.struct("mini", "content", "weight", "start", "n", "shards")
+    wanted = distinct.join(sizes, "mini").groupBy("_key").agg(F.collect_list(entry).alias("entries"))
+    packed = _compressed(docs.select("_key", "text")).join(wanted.hint("merge"), "_key").select("_key", "zip", "entries")
+    names = ["mini", "content", "weight", "n", "shards", "words"]
 
     def fetch(batches):
         import zstandard
 
-        zd = zstandard.ZstdDecompressor()
+        zd, last = zstandard.ZstdDecompressor(), None
         for batch in batches:
             for i in range(batch.num_rows):
-                words = _words.hashes(zd.decompress(batch.column(0)[i].as_py()).split())
-                rows = [(e["mini"], e["content"], e["weight"], e["n"], e["large"], words[e["start"] : e["start"] + e["n"] + window - 1].tobytes()) for e in batch.column(1)[i].as_py()]
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.bool_(), pa.binary()))]
+                key = batch.column(0)[i].as_py()
+                if key == last:  # a row that is repeated; they follow one another
+                    continue
+                last, words = key, _words.hashes(zd.decompress(batch.column(1)[i].as_py()).split())
+                rows = [(*(e[c] for c in names[:-1]), words[e["start"] : e["start"] + e["n"] + window - 1].tobytes()) for e in batch.column(2)[i].as_py()]
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    texts = stored(packed.mapInArrow(fetch, "mini long, content long, weight long, n short, large boolean, words binary"), "sub-texts")
-    by_index = _index_shards(texts.filter("not large").drop("large"), window)
-
-    def spread(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words, n = np.frombuffer(batch.column("words")[i].as_buffer(), np.uint64), batch.column("n")[i].as_py()
-                at = np.arange(n)
-                same = [pa.array(np.full(n, batch.column(c)[i].as_py())) for c in ("mini", "content", "weight")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(at.astype(np.int32)), pa.array(RangeHash(words).of(at, at + window).view(np.int64))], ["mini", "content", "weight", "a", "sequence"])
-
-    large = texts.filter("large").dropDuplicates(["mini", "content"]).select("mini", "content", "weight", "n", "words")
-    windows = stored(large.mapInArrow(spread, "mini long, content long, weight long, a int, sequence long"), "sub-windows")
-    twice = stored(windows.groupBy("mini", "sequence").agg(F.sum("weight").alias("_w")).filter("_w > 1").select("mini", "sequence"), "sub-repeated")
-    by_count = windows.join(twice, ["mini", "sequence"]).select("mini", "content", "a", (F.col("a") + 1).alias("b"))
-
-    intervals = stored(whole.unionByName(by_index).unionByName(by_count), "sub-intervals")
+    texts = packed.mapInArrow(fetch, "mini long, content long, weight long, n short, shards int, words binary")
+    intervals = stored(whole.unionByName(_index_shards(texts, window)), "sub-intervals")
     return found.join(intervals.hint("merge"), ["mini", "content"]).select("_key", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
 

@@ -3,7 +3,7 @@
 Encoding. A text's words repeat, so the ids of a chunk (one white-space character and the word after it) are kept per
 Python worker. The tokenizers used here never let a token reach over the start of such a chunk, so ids of chunks joined
 are the ids of the text; texts with runs of white space are cut more carefully, and every chunk is encoded by the
-tokenizers library.
+tokenizers library. An encoder first tries this on probe texts; a tokenizer for which it doesn't hold encodes whole texts.
 
 Format. A block holds consecutive documents: a header (magic, dictionary hash, number of documents, ids before the block in
 its shard), an index (doc_id, ids, offset of each document) and one zstandard frame per document, compressed with a shared
@@ -47,6 +47,10 @@ def _odd(text: str) -> bool:
 CACHED = 500_000
 
 
+#: What chunks, words, cases, letters and spaces of every kind have to get right.
+_PROBES = ("The cat sat.", "a", " a", "A b  c\n\nd\n e \n", "naïve Straße, été (12) x.y don't it's", "ÀÉ ß ñandú über;", "1234 5 67.8", "tab\tx\r\ny", "漢字 かな ok", "e\u0301 \u00a0z\u2003", "word, word. word! \"q\"", "\nline\nLINE Line", "a" * 300 + " b")
+
+
 def _visible_bytes() -> list[str]:
     """The printable character that byte-level BPE writes for each byte: itself, or the next free one from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,16 +63,22 @@ class Encoder(dict):
     word after a line feed starts with it."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.visible = self.tokenizer.model, _visible_bytes()
         self.space = self.visible[32]
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.words = self.tokenizer.model.end_of_word_suffix or ""  # then spaces are dropped and case is folded
+        self.words = getattr(self.model, "end_of_word_suffix", None) or ""  # then spaces are dropped and case is folded
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.exact: dict[str, bytes] = {}
         self.aside: dict[str, bytes] = {}
+        self.whole = not isinstance(self.model, models.BPE)
+        self.whole = self.whole or any(self.encode(text) != self._ids(text) for text in _PROBES)
+        self.clear()
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, key: str) -> bytes:
         if (found := self.aside.get(key)) is not None:
@@ -110,7 +120,7 @@ class Encoder(dict):
 
     def chunk(self, text: str) -> bytes:
         if (found := self.exact.get(text)) is None:
-            found = self.exact[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            found = self.exact[text] = self._ids(text)
         return found
 
     def encode(self, text: str) -> bytes:
@@ -121,8 +131,8 @@ class Encoder(dict):
             self.exact.clear()
         if not text:
             return b""
-        if any(t in text for t in self.added):  # they end the text before them, also for runs of white space
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.whole or any(t in text for t in self.added):  # they end the text before them, also for runs of white space
+            return self._ids(text)
         if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] in " \n" or _odd(text):
             return b"".join(map(self.chunk, _CHUNK.findall(text)))
         first, *rest = text.replace("\n", " \n").split(" ")
@@ -161,7 +171,7 @@ class Dictionary:
     def _zstd(self):
         import zstandard
 
-        return zstandard.ZstdCompressionDict(self.data, dict_type=zstandard.DICT_TYPE_RAWCONTENT if len(self.data) < 8 or self.data[:4] != b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_FULLDICT)
+        return zstandard.ZstdCompressionDict(self.data, dict_type=zstandard.DICT_TYPE_FULLDICT)
 
     def compressor(self):
         import zstandard
@@ -176,22 +186,28 @@ class Dictionary:
         return zstandard.ZstdDecompressor(dict_data=self._zstd())
 
 
-def train_dictionary(docs: DataFrame, path: str, end_id: int) -> Dictionary:
-    """A dictionary from the serialized ids of a bounded sample: rows drawn by a hash at a rate that gives about DICT_DOCS,
-    of texts up to DICT_DOC_BYTES. Where the sample is too small to train on, its ids are the dictionary's raw content."""
+def trained(samples: list[bytes], vocabulary: int, wide: bool) -> Dictionary:
+    """A dictionary trained on serialized id arrays. Where they are too few to train on, all ids in order are more of them."""
     import zstandard
 
+    try:
+        return Dictionary(zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes())
+    except zstandard.ZstdError:
+        ids = np.arange(vocabulary).astype("<u4" if wide else "<u2")
+        return Dictionary(zstandard.train_dictionary(DICT_BYTES, samples + [ids[a : a + 64].tobytes() for a in range(0, len(ids), 64)], level=LEVEL).as_bytes())
+
+
+def train_dictionary(docs: DataFrame, path: str, end_id: int) -> Dictionary:
+    """A dictionary from the serialized ids of a bounded sample: rows drawn by a hash of doc_id and text at a rate that gives about
+    DICT_DOCS, twice as many at most, of texts up to DICT_DOC_BYTES."""
     short = docs.filter(F.octet_length("text") <= DICT_DOC_BYTES)
     rate = min(1.0, DICT_DOCS / max(1, short.select("doc_id").count()))
-    drawn = F.pmod(row_hash(SEED, "doc_id"), F.lit(1 << 40)) < int(rate * (1 << 40))
-    rows = sorted((str(r["doc_id"]), r["text"]) for r in short.filter(drawn).select("doc_id", "text").collect())
+    draw = F.pmod(row_hash(SEED, "doc_id", "text"), F.lit(1 << 40))
+    drawn = short.select("text", draw.alias("draw")).filter(F.col("draw") < int(rate * (1 << 40))).orderBy("draw", "text")
     enc = encoder(path)
     wide = max(end_id, enc.tokenizer.get_vocab_size()) > 65535
-    samples = [ids if wide else _narrow(ids) for ids in (enc.encode(t) + end_id.to_bytes(4, "little") for _, t in rows)]
-    try:
-        return Dictionary(zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes())
-    except zstandard.ZstdError:
-        return Dictionary(b"".join(samples)[:DICT_BYTES])
+    texts = [r["text"] for r in drawn.limit(2 * DICT_DOCS).collect()]
+    return trained([ids if wide else _narrow(ids) for ids in (enc.encode(t) + end_id.to_bytes(4, "little") for t in texts)], enc.tokenizer.get_vocab_size(), wide)
 
 
 def pack_block(dictionary: Dictionary, zc, before: int, docs: list[tuple[int | None, bytes]], wide: bool) -> bytes:
