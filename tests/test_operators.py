@@ -153,8 +153,8 @@ def test_quality_actions(spark):
 def test_calendar_attributes(spark):
     df = spark.sql("SELECT explode(array(date'2024-02-29', date'2024-02-29', date'2023-12-31', NULL)) AS d")
     got = {str(r["FechaClave"]): r for r in calendar(df, "d").collect()}
-    assert len(got) == 2 and got["2024-02-29"]["NombreDia"] == "Jueves" and got["2024-02-29"]["DiaAnio"] == 60
-    assert got["2023-12-31"]["EsFinSemana"] and got["2023-12-31"]["NombreMes"] == "Diciembre" and got["2023-12-31"]["SemanaAnio"] == 52
+    assert len(got) == 2 and got["2024-02-29"]["NombreDia"] == "Jueves" and got["2024-02-29"]["DiaDelAnio"] == 60
+    assert got["2023-12-31"]["EsFinSemana"] and got["2023-12-31"]["NombreMes"] == "Diciembre" and got["2023-12-31"]["SemanaDelAnio"] == 52
 
 
 def test_misfits_are_rescued_and_schemas_grow(spark):

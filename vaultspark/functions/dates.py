@@ -21,5 +21,5 @@ def calendar(dates: DataFrame, column: str) -> DataFrame:
     return dates.select(F.col(column).cast("date").alias("FechaClave")).filter(d.isNotNull()).distinct().select(
         "FechaClave", F.year(d).alias("Anio"), F.month(d).alias("Mes"), F.dayofmonth(d).alias("Dia"), F.quarter(d).alias("Trimestre"),
         F.when(F.quarter(d) <= 2, 1).otherwise(2).alias("Semestre"), F.dayofweek(d).alias("DiaSemana"), name(DAYS, F.dayofweek(d)).alias("NombreDia"),
-        name(MONTHS, F.month(d)).alias("NombreMes"), F.dayofweek(d).isin(1, 7).alias("EsFinSemana"), F.dayofyear(d).alias("DiaAnio"), F.weekofyear(d).alias("SemanaAnio"),
+        name(MONTHS, F.month(d)).alias("NombreMes"), F.dayofweek(d).isin(1, 7).alias("EsFinSemana"), F.dayofyear(d).alias("DiaDelAnio"), F.weekofyear(d).alias("SemanaDelAnio"),
     )

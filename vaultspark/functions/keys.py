@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +66,3 @@ def index_join(rows: DataFrame, keyed: DataFrame, key: str, order: list[str], by
     indexed = dense_index(keyed.select(*dict.fromkeys([key, *order])), order, "_index")
     n = indexed.count()
     return rows.withColumn("_index", F.pmod(by, F.lit(n)).cast("long")).join(indexed.select("_index", key), "_index").drop("_index")
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

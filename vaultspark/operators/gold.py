@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions.keys import surrogate_key
 from vaultspark.operators.layout import closed
-from vaultspark.operators.loaders import latest_per_key
+from vaultspark.operators.loaders import first_per_key, latest_per_key
 
 
 def current_rows(satellite: DataFrame, key: str, order: str = "FechaRegistro", tie: str = "Hash_Diferenciador") -> DataFrame:
@@ -30,6 +30,11 @@ def dominant_child(children: DataFrame, link: DataFrame, parent: str, child: str
     return best.select(parent, F.col(f"_b.{child}").alias(child))
 
 
+def dominant_link(link: DataFrame, parent: str, child: str, rank: str) -> DataFrame:
+    """As dominant_child, of a link that carries the rank: no join."""
+    return link.groupBy(parent).agg(F.max(F.struct(rank, child)).alias("_b")).select(parent, F.col(f"_b.{child}").alias(child))
+
+
 def key_map(dominant: DataFrame, dim_parent: DataFrame, dim_child: DataFrame, parent: str, child: str, parent_id: str, child_id: str) -> DataFrame:
     """Both surrogate keys per parent. Dimensions are as large as their hubs, so no broadcast is asked for; the optimizer
     takes one where the table is small."""
@@ -38,11 +43,13 @@ def key_map(dominant: DataFrame, dim_parent: DataFrame, dim_child: DataFrame, pa
 
 def enriched(transactions: DataFrame, kinds: Column, link: DataFrame, mapping: DataFrame, transaction: str, parent: str, *details: DataFrame) -> DataFrame:
     """Transactions of the wanted kinds with their parent's keys: filtered first, every static side reduced to one row per key, so
-    no row fans out. Works on batches and streams. Rows without link or map entry are left out, without details kept."""
-    out = transactions.filter(kinds).join(link.select(transaction, parent).dropDuplicates([transaction]), transaction)
-    out = out.join(mapping.dropDuplicates([parent]), parent)
+    no row fans out: the first by all its columns. Works on batches and streams; on a stream the static sides are those of
+    each run, so a row keeps the keys that held when it was appended. Rows without link or map entry are left out, without
+    details kept."""
+    out = transactions.filter(kinds).join(first_per_key(link.select(transaction, parent), [transaction]), transaction)
+    out = out.join(first_per_key(mapping, [parent]), parent)
     for detail in details:
-        out = out.join(detail.dropDuplicates([transaction]), transaction, "left")
+        out = out.join(first_per_key(detail, [transaction]), transaction, "left")
     return out
 
 

@@ -35,9 +35,12 @@ def new_by_key(batch: DataFrame, target: DataFrame | None, keys: list[str], orde
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row per key by order (ascending columns), ties to the larger of all other columns."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c.desc() for c in order]))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    """The last row per key by order (ascending columns, null first), ties to the larger of all other columns. Aggregated like
+    first_per_key."""
+    rest = [c for c in df.columns if c not in keys]
+    lead = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    best = df.groupBy(*keys).agg(F.max(F.struct(*lead, *rest)).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def changed_rows(batch: DataFrame, target: DataFrame | None, key: str, change: str = "Hash_Diferenciador", time: str = "FechaRegistro", sequence: str | None = None) -> DataFrame:
@@ -59,8 +62,3 @@ def changed_rows(batch: DataFrame, target: DataFrame | None, key: str, change: s
         new = F.col("_now").isNull() | (F.col("_now") != F.col(change))
         rows = rows.filter(new if sequence is None else new | ~F.col("_first")).drop("_now")
     return rows.drop("_first") if sequence is not None else rows
-
-
-def split_targets(batch: DataFrame, projections: dict[str, list]) -> dict[str, DataFrame]:
-    """Several targets from one read of a batch: name to projection."""
-    return {name: batch.select(*columns) for name, columns in projections.items()}

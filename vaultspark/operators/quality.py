@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from vaultspark.sources.scratch import stored
+
 
 class QualityError(ValueError):
     """Rows violate a rule that has to hold."""
@@ -32,12 +34,20 @@ def drop(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     return df
 
 
+def drop_counted(df: DataFrame, rules: dict[str, str], name: str = "dropped") -> tuple[DataFrame, Observation]:
+    """As drop; the observation has the rows that each rule drops once an action has run."""
+    watched, seen = warn(df, rules, name)
+    return drop(watched, rules), seen
+
+
 def enforce(df: DataFrame, rules: dict[str, str], entity: str = "") -> DataFrame:
-    """df if every row meets every rule; else QualityError, before anything is written."""
-    counts = violations(df, rules).first().asDict()
-    if bad := {k: v for k, v in counts.items() if v}:
+    """df if every row meets every rule; else QualityError. df is computed once: into a scratch table, while its violations are
+    counted; what is returned reads that table, so nothing that breaks a rule gets further."""
+    watched, seen = warn(df, rules, f"enforced {entity}")
+    rows = stored(watched, "enforced")
+    if bad := {k: v for k, v in seen.get.items() if v}:
         raise QualityError(f"{entity}: rows that violate a rule: {bad}")
-    return df
+    return rows
 
 
 #: What holds where; actions: drop, fail, warn.

@@ -13,7 +13,7 @@ from vaultspark.functions.classify import channel_class, share_class, threshold_
 from vaultspark.functions.dates import DAYS, MONTHS, calendar
 from vaultspark.functions.keys import bucket, business_key, dense_index, index_join, keyed_sample, persistent_keys, surrogate_key
 from vaultspark.operators import analytics, gold, quality
-from vaultspark.operators.loaders import changed_rows, new_by_key
+from vaultspark.operators.loaders import changed_rows, first_per_key, new_by_key
 from vaultspark.plans.registry import query, table
 from vaultspark.plans.vault import DAY_1, DAY_2, SQL_DAY_2, customer_order_link, customer_satellite, day_2, hub_customer_rows
 from vaultspark.sources.scratch import stored
@@ -137,12 +137,12 @@ def dim_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _operations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Balance hub (operation, sequence) and its link to customers."""
+    """Balance hub (operation, sequence) and its link to customers, which carries the sequence."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     hub = lines.select("l_orderkey", "l_linenumber").distinct()
     hashed = hub.select("l_orderkey", business_key("l_orderkey", "l_linenumber").alias("Hash_Operacion"), F.col("l_linenumber").alias("SecuenciaSaldo"))
     link = hashed.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), business_key("o_custkey").alias("Hash_Cliente")), "l_orderkey")
-    return hashed.select("Hash_Operacion", "SecuenciaSaldo"), link.select("Hash_Cliente", "Hash_Operacion")
+    return hashed.select("Hash_Operacion", "SecuenciaSaldo"), link.select("Hash_Cliente", "Hash_Operacion", "SecuenciaSaldo")
 
 
 SQL_DOMINANT = """dominant AS (SELECT sha256(CAST(o_custkey AS VARCHAR)) AS Hash_Cliente, sha256(l_orderkey || '|' || l_linenumber) AS Hash_Operacion
@@ -152,16 +152,15 @@ SQL_DOMINANT = """dominant AS (SELECT sha256(CAST(o_custkey AS VARCHAR)) AS Hash
 
 @query(f"WITH {SQL_DOMINANT.replace(' WHERE o_custkey > 0', '')} SELECT * FROM dominant")
 def dominant_lineitem_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold.dominant_child(*_operations(spark, sf_dir), "Hash_Cliente", "Hash_Operacion", "SecuenciaSaldo")
+    return gold.dominant_link(_operations(spark, sf_dir)[1], "Hash_Cliente", "Hash_Operacion", "SecuenciaSaldo")
 
 
 def _key_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    operations, link = _operations(spark, sf_dir)
-    customers = hub_customer_rows(table(spark, sf_dir, "customer")).withColumn("DimIdCliente", surrogate_key("Hash_Cliente"))
-    link = link.join(customers.select("Hash_Cliente"), "Hash_Cliente", "left_semi")  # the hub drops keys that break its rule
-    dims = operations.withColumn("DimIdOperacion", surrogate_key("Hash_Operacion"))
-    dominant = gold.dominant_child(operations, link, "Hash_Cliente", "Hash_Operacion", "SecuenciaSaldo")
-    return gold.key_map(dominant, customers, dims, "Hash_Cliente", "Hash_Operacion", "DimIdCliente", "DimIdOperacion")
+    """Every operation of a link is in its hub and its key follows from its hash alone, so only the customers' hub, which drops
+    keys that break its rule, is joined."""
+    customers = hub_customer_rows(table(spark, sf_dir, "customer")).select("Hash_Cliente", surrogate_key("Hash_Cliente").alias("DimIdCliente"))
+    dominant = gold.dominant_link(_operations(spark, sf_dir)[1], "Hash_Cliente", "Hash_Operacion", "SecuenciaSaldo")
+    return dominant.join(first_per_key(customers, ["Hash_Cliente"]), "Hash_Cliente").select("Hash_Cliente", "Hash_Operacion", "DimIdCliente", surrogate_key("Hash_Operacion").alias("DimIdOperacion"))
 
 
 @query(f"WITH {SQL_DOMINANT} SELECT Hash_Cliente, Hash_Operacion, true AS customer_id, true AS operation_id FROM dominant")
@@ -174,7 +173,7 @@ def customer_key_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 _names = lambda names, index: "CASE " + index + " " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names, 1)) + " END"
 SQL_CALENDAR = f"""SELECT d AS FechaClave, CAST(year(d) AS INT) AS Anio, CAST(month(d) AS INT) AS Mes, CAST(day(d) AS INT) AS Dia, CAST(quarter(d) AS INT) AS Trimestre,
   CASE WHEN quarter(d) <= 2 THEN 1 ELSE 2 END AS Semestre, CAST(dayofweek(d) + 1 AS INT) AS DiaSemana, {_names(DAYS, "dayofweek(d) + 1")} AS NombreDia,
-  {_names(MONTHS, "month(d)")} AS NombreMes, dayofweek(d) IN (0, 6) AS EsFinSemana, CAST(dayofyear(d) AS INT) AS DiaAnio, CAST(weekofyear(d) AS INT) AS SemanaAnio"""
+  {_names(MONTHS, "month(d)")} AS NombreMes, dayofweek(d) IN (0, 6) AS EsFinSemana, CAST(dayofyear(d) AS INT) AS DiaDelAnio, CAST(weekofyear(d) AS INT) AS SemanaDelAnio"""
 
 
 @query(f"{SQL_CALENDAR} FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)")

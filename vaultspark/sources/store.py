@@ -1,13 +1,15 @@
-"""Versioned tables on Parquet: files are written first, then a small pointer file names those that count.
+"""Versioned tables on Parquet: files are written first, then a small numbered state file names those that count.
 
-A reader sees the state before or after a write, never between. A batch id at or below the last one recorded is skipped,
-so a stream's replays change nothing. All file operations go through Hadoop's FileSystem, so any store that Spark
-reaches will do.
+A state file appears whole, under the next number, or not at all, and the newest wins; so a reader sees the state before or after
+a write, never between, and a writer that dies leaves the last state in force. A writer that finds its number taken
+fails: two writers never overwrite each other. A batch id at or below the last one recorded is skipped, so a stream's
+replays change nothing. All file operations go through Hadoop's FileSystem, so any store that Spark reaches will do.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,9 @@ from vaultspark.functions.keys import bucket
 from vaultspark.operators.cdc import upsert_latest
 from vaultspark.operators.layout import keys_first
 
+#: State files that stay behind the newest, for readers that have just listed them.
+KEPT = 2
+
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, layout_keys: list[str] = ()):
@@ -26,33 +31,76 @@ class VersionedTable:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _states(self) -> list:
+        """The state files, oldest first."""
+        fs, pattern = self._file("_STATE-*")
+        return sorted((s.getPath() for s in fs.globStatus(pattern) or []), key=lambda p: p.getName())
+
     def _state(self) -> dict:
-        fs, path = self._file("_CURRENT")
-        if not fs.exists(path):
-            return {"parts": {}, "last_batch": -1}
-        stream = fs.open(path)
+        """parts (name to folder), commits (folder to version and time), version, last_batch, and feed_from: the version after which
+        changes() knows every row."""
+        states = self._states()
+        if not states:
+            return {"parts": {}, "commits": {}, "version": -1, "last_batch": -1, "feed_from": -1}
+        stream = states[-1].getFileSystem(self.spark._jsc.hadoopConfiguration()).open(states[-1])
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _commit(self, state: dict) -> None:
-        fs, new = self._file(f"_NEXT-{uuid.uuid4().hex}")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps(state).encode()))
+    def _commit(self, state: dict, parts: dict[str, str], batch_id: int | None, appended: bool = False) -> None:
+        version, now = state["version"] + 1, int(time.time() * 1000)
+        last = state["last_batch"] if batch_id is None else batch_id
+        commits = {p: state["commits"].get(p, [version, now]) for p in parts.values()}
+        new = {"parts": parts, "commits": commits, "version": version, "last_batch": last, "feed_from": state["feed_from"] if appended else version}
+        fs, next_ = self._file(f"_NEXT-{uuid.uuid4().hex}")
+        out = fs.create(next_, False)
+        out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        _, current = self._file("_CURRENT")
-        fs.delete(current, False)
-        fs.rename(new, current)
+        _, path = self._file(f"_STATE-{version:012d}")
+        if fs.exists(path) or not fs.rename(next_, path):
+            raise RuntimeError(f"{self.path}: another writer has committed version {version}")
+        for old in self._states()[: -1 - KEPT]:
+            fs.delete(old, False)
+
+    @property
+    def version(self) -> int:
+        return self._state()["version"]
+
+    @property
+    def last_batch(self) -> int:
+        return self._state()["last_batch"]
 
     def exists(self) -> bool:
         """Whether anything has been written; asked first, so that real analysis errors of a read are not taken for it."""
         return bool(self._state()["parts"])
 
+    def _rows(self, parts: list[str]) -> DataFrame | None:
+        return self.spark.read.option("mergeSchema", True).parquet(*sorted(parts)).drop("_bucket") if parts else None
+
     def read(self) -> DataFrame | None:
         """All rows, or None on the first run."""
-        parts = sorted({*self._state()["parts"].values()})
-        return self.spark.read.option("mergeSchema", True).parquet(*parts).drop("_bucket") if parts else None
+        return self._rows(list({*self._state()["parts"].values()}))
+
+    def read_touched(self, batch: DataFrame, keys: list[str], buckets: int) -> DataFrame | None:
+        """Of a table that upsert() keeps, the rows of the buckets that the batch's keys fall in, or None if there are none."""
+        state = self._state()
+        touched = [r[0] for r in batch.select(bucket(buckets, *keys)).distinct().collect()]  # at most `buckets` numbers
+        return self._rows([state["parts"][str(b)] for b in touched if str(b) in state["parts"]])
+
+    def changes(self, after: int) -> DataFrame | None:
+        """The rows appended by commits after a version, with _change_type, _commit_version and _commit_timestamp; None if there
+        are none. A table that was replaced, merged or compacted since then has no such feed, and says so."""
+        state = self._state()
+        if after < state["feed_from"]:
+            raise ValueError(f"{self.path}: no change feed before version {state['feed_from']}")
+        out = None
+        for part, (version, now) in sorted(state["commits"].items(), key=lambda x: x[1]):
+            if version > after:
+                columns = [F.lit("insert").alias("_change_type"), F.lit(version).cast("long").alias("_commit_version"), F.timestamp_millis(F.lit(now)).alias("_commit_timestamp")]
+                rows = self.spark.read.parquet(part).select("*", *columns)
+                out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return out
 
     def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.path}/{name}-{uuid.uuid4().hex}"
@@ -67,14 +115,30 @@ class VersionedTable:
         state = self._state()
         if not self._seen(state, batch_id):
             part = self._write(df, "part")
-            self._commit({"parts": state["parts"] | {part: part}, "last_batch": state["last_batch"] if batch_id is None else batch_id})
+            self._commit(state, state["parts"] | {part: part}, batch_id, appended=True)
 
     def replace(self, df: DataFrame, batch_id: int | None = None) -> None:
         """Full refresh; df may be computed from the table itself."""
         state = self._state()
         if not self._seen(state, batch_id):
             part = self._write(df, "full")
-            self._commit({"parts": {part: part}, "last_batch": state["last_batch"] if batch_id is None else batch_id})
+            self._commit(state, {part: part}, batch_id)
+
+    def compact(self, fan_in: int = 16) -> bool:
+        """Rewrites as one the appended parts of one size class that has at least fan_in of them, if there is such a class: a row is
+        rewritten a number of times that grows with the logarithm of the table's parts. Whether anything was done."""
+        state, classes = self._state(), {}
+        for part in {*state["parts"].values()}:
+            level = part.rsplit("/", 1)[1].split("-")[0]
+            if level == "part" or level.startswith("merged"):
+                classes.setdefault(int(level[6:] or 0), []).append(part)
+        for level, parts in sorted(classes.items()):
+            if len(parts) >= fan_in:
+                part = self._write(self._rows(parts), f"merged{level + 1}")
+                rest = {k: v for k, v in state["parts"].items() if v not in parts}
+                self._commit(state, rest | {part: part}, None)
+                return True
+        return False
 
     def upsert(self, batch: DataFrame, keys: list[str], sequence: list[str], batch_id: int | None = None, buckets: int = 1) -> None:
         """The latest row per key stays. With several buckets of the keys' hash only those that the batch touches are
@@ -90,4 +154,4 @@ class VersionedTable:
         # one folder per bucket; the column is kept inside the files too, so that folders can be read one by one
         merged.withColumn("_in", F.col("_bucket")).write.option("compression", "zstd").partitionBy("_in").parquet(part)
         now = {str(b): f"{part}/_in={b}" for b in touched}
-        self._commit({"parts": state["parts"] | now, "last_batch": state["last_batch"] if batch_id is None else batch_id})
+        self._commit(state, state["parts"] | now, batch_id)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vaultspark.operators.loaders import changed_rows
+from vaultspark.sources.scratch import stored
 from vaultspark.sources.store import VersionedTable
 
 
@@ -28,10 +30,36 @@ def upserting(table: VersionedTable, keys: list[str], sequence: list[str], bucke
     return lambda rows, batch: table.upsert(rows, keys, sequence, batch, buckets)
 
 
-def detecting_changes(table: VersionedTable, key: str, change: str, time: str, sequence: str | None = None) -> Callable[[DataFrame, int], None]:
+def detecting_changes(table: VersionedTable, key: str, change: str, time: str, sequence: str | None = None, buckets: int = 8) -> Callable[[DataFrame, int], None]:
     """A state satellite. Duplicates are dropped within a batch and versions compared with the latest, so a value that comes
-    back later is a new version and no state grows with the stream."""
-    return lambda rows, batch: table.append(changed_rows(rows, table.read(), key, change, time, sequence), batch)
+    back later is a new version. The latest versions are a table of their own beside the history, one row per key in
+    buckets of the key's hash: a batch reads and writes the buckets that it touches and never the history. If a batch stops
+    between the two writes, its replay skips the first and does the second."""
+    latest = VersionedTable(table.spark, f"{table.path}-latest")
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        rows.persist()
+        try:
+            if rows.isEmpty():
+                return
+            new = stored(changed_rows(rows, latest.read_touched(rows, [key], buckets), key, change, time, sequence), "changed")
+            table.append(new, batch)
+            if not new.isEmpty():
+                latest.upsert(new.select(key, change, time), [key], [time, change], batch, buckets)
+        finally:
+            rows.unpersist()
+
+    return handle
+
+
+def feeding(source: VersionedTable, target: VersionedTable, handle: Callable[[DataFrame], DataFrame]) -> bool:
+    """Appends to target what handle makes of the rows that source got since the version target has seen, once each. Whether there
+    were any."""
+    version = source.version
+    rows = source.changes(target.last_batch) if version > target.last_batch else None
+    if rows is not None:
+        target.append(handle(rows.filter(F.col("_commit_version") <= version)), version)
+    return rows is not None
 
 
 def fanning_out(tables: dict[str, VersionedTable], projections: dict[str, list]) -> Callable[[DataFrame, int], None]:
