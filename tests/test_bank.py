@@ -1,11 +1,13 @@
 """The bank's vault from end to end on a few rows of the sources' schemas."""
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from vaultspark.functions.keys import surrogate_key
 from vaultspark.operators import gold, quality
 from vaultspark.operators.loaders import changed_rows, new_by_key
-from vaultspark.specs.bank import SATELLITES, hub, link
+from vaultspark.specs.bank import DIMENSIONS, SATELLITES, dimension, hub, link
 
 WIDTHS = {"Sat_Cliente_DatosEstables": 17, "Sat_Cliente_Contacto": 19, "Sat_Cliente_Clasificacion": 23, "Sat_Cliente_Financiero": 28, "Sat_Operacion_DatosEstables": 36, "Sat_Operacion_Montos": 38, "Sat_Operacion_FechasEvento": 23, "Sat_Transaccion_DatosEstables": 37, "Sat_Transaccion_Montos": 38}
 LONGS = {"CUSTID", "CUSYR", "CUSAG2", "CUSDP2", "CUSAC2", "CUSTX", "CUSSC", "CUSLR", "CUSRC", "BLSQ", "TRXSQ"}
@@ -62,3 +64,22 @@ def test_two_days_give_a_star(spark):
     fact = enriched.withColumn("TipoTransaccion", F.col("tipo_transaccion")).select("*", *gold.atm_flags("tipo_transaccion", "DATM", "CATM"))
     checked = quality.enforce(fact, quality.RULES["enriched"]["fail"], "fact")
     assert sorted((r["EsRetiro"], r["EsDeposito"]) for r in checked.collect()) == [(False, True), (True, False)]
+
+
+def test_dimensions_have_their_closed_schemas(spark):
+    names = {"CUSTID": "IdentificadorCliente", "BLSQ": "SecuenciaSaldo"}
+    customer = frame(spark, "Sat_Cliente", [{"CUSTID": 1, "CUSAG2": 30, "CUSIN": 20000.0, "CUSEM": "a@x"}, {"CUSTID": 2}])
+    balance = frame(spark, "Sat_Operacion", [{"CUSTID": 1, "BLSQ": 7, "BLAV": 20000.0, "BLACT": "AHRO"}])
+    for name, source, width in (("Dim_Cliente", customer, 28), ("Dim_Operacion", balance, 24)):
+        kind, id_column, own, chosen = DIMENSIONS[name]
+        parts = {s: SATELLITES[s].rows(source.filter("CUSTID = 1"), "2026-04-01") for s in chosen}
+        rows = dimension(name, hub(source, kind, names), parts)
+        assert len(rows.columns) == width and rows.columns[0] == id_column and rows.count() == source.count()
+        first = rows.filter("IdentificadorCliente = 1").first()
+        assert (first["RangoEtario"], first["CorreoElectronico"]) == ("ADULTO", "a@x") if name == "Dim_Cliente" else (first["TipoCuenta"], first["CategoriaSaldo"]) == ("AHRO", "MEDIO")
+        broken = parts | {next(iter(parts)): parts[next(iter(parts))].drop(next(iter(chosen[next(iter(chosen))])))}
+        with pytest.raises(AnalysisException, match=next(iter(chosen[next(iter(chosen))]))):
+            dimension(name, hub(source, kind, names), broken)
+        unkeyed = hub(source, kind, names).withColumn(rows.columns[1], F.lit(None).cast("string"))
+        with pytest.raises(quality.QualityError, match=name):
+            dimension(name, unkeyed, parts)

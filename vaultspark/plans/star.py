@@ -8,15 +8,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.config import THRESHOLDS
+from vaultspark.config import THRESHOLDS, UNKNOWN
 from vaultspark.functions.classify import channel_class, share_class, threshold_class
 from vaultspark.functions.dates import DAYS, MONTHS, calendar
-from vaultspark.functions.keys import bucket, business_key, dense_index, index_join, keyed_sample, persistent_keys, surrogate_key
+from vaultspark.functions.keys import bucket, business_key, change_hash, dense_index, index_join, keyed_sample, persistent_keys, surrogate_key
 from vaultspark.operators import analytics, gold, quality
 from vaultspark.operators.loaders import changed_rows, first_per_key, new_by_key
 from vaultspark.plans.registry import query, table
 from vaultspark.plans.vault import DAY_1, DAY_2, SQL_DAY_2, customer_order_link, customer_satellite, day_2, hub_customer_rows
-from vaultspark.sources.scratch import stored
+from vaultspark.sources.ingest import file_stream
+from vaultspark.sources.scratch import scratch_path, stored
+from vaultspark.sources.store import VersionedTable
+from vaultspark.specs import bank
+from vaultspark.streaming.flows import run_available
 
 WITHDRAWAL, DEPOSIT = "F", "O"
 
@@ -289,6 +293,102 @@ def outlier_customers_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.outliers(totals, "segmento", "total")
 
 
+# Operations as accounts: what of a line item stands for an attribute of an account.
+_ACCOUNT = {
+    "Sat_Operacion_DatosEstables": {"tipo_cuenta": "l_returnflag", "estado_cuenta": "l_linestatus"},
+    "Sat_Operacion_Montos": {"saldo_disponible": "l_extendedprice", "saldo_total": "l_extendedprice", "ratio_cuenta": "l_discount", "tasa_interes": "l_tax"},
+    "Sat_Operacion_FechasEvento": {"fecha_apertura_cuenta": "l_shipdate"},
+}
+
+
+def _dim_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operation dimension in its closed schema; attributes that a line item doesn't have are null. Of line items with one key
+    the first by date, amount and the rest counts."""
+    columns = ["l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    lines = first_per_key(table(spark, sf_dir, "lineitem").select(*columns), columns[:2])
+    key = business_key("l_orderkey", "l_linenumber").alias("Hash_Operacion")
+    hub = new_by_key(lines.select(key, F.col("l_orderkey").alias("IdentificadorCliente"), F.col("l_linenumber").alias("SecuenciaSaldo")), None, ["Hash_Operacion"])
+    satellites = {}
+    for name, source in _ACCOUNT.items():
+        wanted = bank.DIMENSIONS["Dim_Operacion"][3][name]
+        values = [(F.col(source[a]) if a in source else F.lit(None).cast("string")).alias(a) for a in wanted if a not in ("CategoriaSaldo", "EstadoUtilizacionCredito", "IndicadorSobregiro")]
+        if "CategoriaSaldo" in wanted:
+            values += [threshold_class(F.col("l_extendedprice"), BALANCE).alias("CategoriaSaldo"), F.lit(UNKNOWN).alias("EstadoUtilizacionCredito"), F.lit(UNKNOWN).alias("IndicadorSobregiro")]
+        rows = lines.select(key, *values, F.lit(DAY_1).alias("FechaRegistro"))
+        change = change_hash("Hash_Operacion", *[a for a in wanted]).alias("Hash_Diferenciador")
+        satellites[name] = rows.select("*", change)
+    return bank.dimension("Dim_Operacion", hub, satellites)
+
+
+SQL_ACCOUNT = """account AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) = 1)"""
+
+
+@query(f"""WITH {SQL_ACCOUNT} SELECT sha256(l_orderkey || '|' || l_linenumber) AS Hash_Operacion, l_linenumber AS SecuenciaSaldo, l_returnflag AS TipoCuenta, l_linestatus AS EstadoCuenta,
+  {_case("l_extendedprice", BALANCE)} AS CategoriaSaldo, l_extendedprice AS SaldoTotal, l_discount AS RatioCuenta, CAST(l_shipdate AS DATE) AS FechaAperturaCuenta, true AS has_id, 24 AS columnas FROM account""")
+def dim_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _dim_operation(spark, sf_dir)
+    columns = ["Hash_Operacion", "SecuenciaSaldo", "TipoCuenta", "EstadoCuenta", "CategoriaSaldo", "SaldoTotal", "RatioCuenta", F.col("FechaAperturaCuenta").cast("date").alias("FechaAperturaCuenta")]
+    return out.select(*columns, (F.col("DimIdOperacion") == surrogate_key("Hash_Operacion")).alias("has_id"), F.lit(len(out.columns)).alias("columnas"))
+
+
+@query(f"""WITH {SQL_FACT}, {SQL_ACCOUNT} SELECT c_mktsegment AS segmento, l_returnflag AS tipo_cuenta, r_name AS region, {SQL_METRICS} FROM fact JOIN dominant ON sha256(CAST(o_custkey AS VARCHAR)) = Hash_Cliente
+JOIN account ON sha256(l_orderkey || '|' || l_linenumber) = Hash_Operacion JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
+def segment_account_region_metrics_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment and nation are those of the customer dimension, the account type that of the customer's dominant operation."""
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("region_geografica"), F.col("r_name").alias("region"))
+    accounts = _dim_operation(spark, sf_dir).select("DimIdOperacion", F.col("TipoCuenta").alias("tipo_cuenta"))
+    rows = _fact_with_customer(spark, sf_dir).join(accounts, "DimIdOperacion").join(places, "region_geografica")
+    return analytics.movement_metrics(rows, ["segmento", "tipo_cuenta", "region"], "MontoPrincipal")
+
+
+def _enriched_rows(orders: DataFrame) -> DataFrame:
+    return orders.select(business_key("o_orderkey").alias("Hash_Transaccion"), F.col("o_orderkey").alias("IdentificadorTransaccion"), F.col("o_orderstatus").alias("TipoTransaccion"), F.col("o_totalprice").alias("MontoPrincipal"))
+
+
+@query(f"""WITH {SQL_FACT} SELECT o_orderkey AS IdentificadorTransaccion, CASE WHEN o_orderkey % 2 = 1 AND o_custkey % 5 = 0 THEN sha256('moved|' || Hash_Operacion) ELSE Hash_Operacion END AS Hash_Operacion,
+  CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 7 <> 0 THEN 0 ELSE 1 END AS run
+FROM fact JOIN dominant ON sha256(CAST(o_custkey AS VARCHAR)) = Hash_Cliente""")
+def enriched_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders land in two runs, joined with links and key map on the stream. The map of the first run lacks a seventh of the
+    customers, whose orders wait and are tried again; that of the second names other operations for a fifth. Keys are those
+    that held when a row was appended."""
+    orders, path = table(spark, sf_dir, "orders"), scratch_path(spark, "enriched")
+    link = stored(customer_order_link(orders), "link")
+    customers = table(spark, sf_dir, "customer").select(business_key("c_custkey").alias("Hash_Cliente"), F.col("c_custkey").alias("k"))
+    whole = stored(_key_map(spark, sf_dir).join(first_per_key(customers, ["Hash_Cliente"]), "Hash_Cliente"), "map")
+    moved = F.when(F.col("k") % 5 == 0, business_key(F.lit("moved"), "Hash_Operacion")).otherwise(F.col("Hash_Operacion"))
+    # an operation moves only for orders that come in the second run, so those that waited keep the first one's
+    maps = [whole.filter("k % 7 <> 0").drop("k"), whole.withColumn("Hash_Operacion", moved).drop("k")]
+    target, pending = VersionedTable(spark, f"{path}-target"), VersionedTable(spark, f"{path}-pending")
+    kinds = F.col("TipoTransaccion").isin(WITHDRAWAL, DEPOSIT)
+    for run, mapping in enumerate(maps):
+        orders.filter(F.col("o_orderkey") % 2 == run).write.parquet(f"{path}/{run}")
+        stream = _enriched_rows(file_stream(spark, f"{path}/*", orders.schema))
+        add = lambda rows, batch, run=run: target.append(rows.withColumn("run", F.lit(run)), 2 * batch)
+        run_available(gold.enriched(stream, kinds, link, mapping, "Hash_Transaccion", "Hash_Cliente"), add, f"{path}-checkpoint")
+        landed = _enriched_rows(spark.read.schema(orders.schema).parquet(f"{path}/{run}"))
+        waiting = landed if not pending.exists() else landed.unionByName(pending.read().select(*landed.columns))
+        if pending.exists():
+            again = gold.enriched(pending.read(), kinds, link, whole.drop("k"), "Hash_Transaccion", "Hash_Cliente")
+            target.append(again.withColumn("run", F.lit(run)), 2 * run + 1)
+        pending.replace(gold.unmatched(waiting, kinds, link, mapping, "Hash_Transaccion", "Hash_Cliente"), run)
+    rules = {"kind_known": f"TipoTransaccion IN ('{WITHDRAWAL}', '{DEPOSIT}')"}
+    rows = quality.enforce(target.read(), quality.RULES["enriched"]["fail"] | rules, "enriched")
+    return rows.select("IdentificadorTransaccion", "Hash_Operacion", "run")
+
+
+@query("SELECT true AS nested, true AS tenth, true AS quarter, true AS buckets_in_range, 16 AS buckets FROM orders HAVING count(*) > 0")
+def keyed_sample_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That keyed samples of all orders are nested and of about their size, and that buckets fill their range."""
+    tenth, quarter, b = bucket(1_000_000, "o_orderkey") < 100_000, bucket(1_000_000, "o_orderkey") < 250_000, bucket(16, "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    small, large = (keyed_sample(orders, p, "o_orderkey").select("o_orderkey").withColumn(n, F.lit(True)) for p, n in ((10, "small"), (25, "large")))
+    rows = orders.select("o_orderkey", b.alias("b"), tenth.alias("t"), quarter.alias("q")).distinct().join(small.distinct(), "o_orderkey", "left").join(large.distinct(), "o_orderkey", "left")
+    s, g = F.col("small").isNotNull(), F.col("large").isNotNull()
+    share = lambda c: F.avg(c.cast("int"))
+    return rows.agg((F.count_if(s & ~g) == 0).alias("nested"), share(s).between(0.08, 0.12).alias("tenth"), share(g).between(0.22, 0.28).alias("quarter"), (F.min("b") >= 0).alias("buckets_in_range"), F.countDistinct("b").cast("int").alias("buckets"))
+
+
 @query("""SELECT 'fact' AS entity, count(*) AS n, 0 AS broken, CAST(min(o_orderdate) AS DATE) AS first_date, CAST(max(o_orderdate) AS DATE) AS last_date FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey > 0
 UNION ALL SELECT 'calendar', count(DISTINCT CAST(o_orderdate AS DATE)), 0, CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE) FROM orders""")
 def load_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
