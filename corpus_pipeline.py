@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that are null or letterless, and texts that are little else than bytes in no language that the labels teach:
     noise or another script. A text in another language of a known script stays."""
     model = language.train(docs.filter(~language.held_out()))
-    found = language.identify(docs.select("text", F.struct("*").alias("_row")), model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS)).select("_row.*")
+    found = language.scored(docs, model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

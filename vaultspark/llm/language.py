@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,14 +168,9 @@ def train(docs: DataFrame) -> LanguageModel:
     return build_model(samples)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (the share of the best language in 2^-bits, 0 to 1) and bits_per_byte (of the best).
-
-    Null, empty and letterless texts get `und`, 0.0 and null, and so does every text if the model knows no language. Ties
-    go to the smaller language. Columns of docs with these names are replaced; others, whatever their names, and all rows stay.
-    """
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    nested = docs.drop("lang_pred", "score", "bits_per_byte").select(F.col(text).alias("text"), letters.alias("letters"), F.struct("*").alias("row"))
+def scored(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """row (the caller's), lang_pred, score and bits_per_byte; see identify()."""
+    nested = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     schema = nested.select("row").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -183,18 +179,28 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column("text").cast(pa.large_binary()).to_pylist()
-                usable = part.column("letters").to_pylist()
+                texts = pc.struct_field(part.column("row"), text).cast(pa.large_binary())
                 pred, score, bpb = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
-                todo = [i for i, ok in enumerate(usable) if ok and model.langs]
-                bits = model.code_lengths([texts[i] for i in todo])
+                todo = [i for i, ok in enumerate(part.column("letters").to_pylist()) if ok and model.langs]
+                known = texts.take(pa.array(todo, pa.int64())).to_pylist()
+                bits = model.code_lengths(known)
                 best = bits.argmin(1) if len(todo) else []
-                for i, k, row in zip(todo, best, bits):
-                    pred[i], bpb[i] = model.langs[k], row[k] / len(texts[i])
+                for i, k, row, whole in zip(todo, best, bits, known):
+                    pred[i], bpb[i] = model.langs[k], row[k] / len(whole)
                     score[i] = float(1 / np.exp2(np.maximum(row[k] - row, -1000)).sum())
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(pred), pa.array(score), pa.array(bpb, pa.float64())], ["row", "lang_pred", "score", "bits_per_byte"])
 
-    return nested.mapInArrow(run, schema).select("row.*", "lang_pred", "score", "bits_per_byte")
+    return nested.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """docs with lang_pred, score (the share of the best language in 2^-bits, 0 to 1) and bits_per_byte (of the best).
+
+    Null, empty and letterless texts get `und`, 0.0 and null, and so does every text if the model knows no language. Ties
+    go to the smaller language. Columns of docs with these names are replaced; others, whatever their names, and all rows stay.
+    """
+    own = docs.drop("lang_pred", "score", "bits_per_byte")
+    return scored(own, model, text).select("row.*", "lang_pred", "score", "bits_per_byte")
 
 
 def held_out(doc_id: str = "doc_id"):
