@@ -37,7 +37,7 @@ STREAM = 512
 #: About so many bytes of sets are held at once where a bucket's members are compared with one another.
 HELD_BYTES = 1 << 22
 #: A worker forgets its word hashes beyond so many; only speed depends on it.
-CACHED = 1_000_000
+CACHED = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
