@@ -175,6 +175,33 @@ def test_chats_are_read_back_whole(spark):
     assert chat.read_chats(chat.format_chats(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("parts", ["3", "17"])
+def test_long_conversations_go_on_over_ranges(spark, parts):
+    """A conversation with most of the rows, odd roles, null and repeated turns, long equal beginnings; compared turn by turn."""
+    long_role = "r" * 40
+    rows = [(7, t, ("user", "assistant")[t % 2] if t % 50 else "odd", f"{'p' * 40}{t % 9}") for t in range(600)]
+    rows += [(7, None, r, f"{'p' * 40}{i}") for i, r in enumerate([long_role + "b", long_role + "a", long_role, "user"] * 40)]
+    rows += [(c, 0, "user", "same") for c in (None, 1, 9) for _ in range(c or 60)] + [(c, 1, "assistant", "ok") for c in range(20, 60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        turns = chat.format_chats(df).collect()
+        read = chat.read_turns(chat.format_chats(df)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    want = {}
+    for conv in {r[0] for r in rows}:
+        machine = chat.RoleMachine(chat.TEMPLATE)
+        for seq, (_, role, text) in enumerate(sorted((-1 if t is None else t, role, text) for c, t, role, text in rows if c == conv)):
+            allowed, segments = machine.turn(role, text)
+            want[conv, seq] = (allowed, segments, role, text)
+    assert len(turns) == len(rows) and {(r["conv_id"], r["seq"]): (r["allowed"], [(s["text"], s["loss"]) for s in r["segments"]]) for r in turns} == {k: v[:2] for k, v in want.items()}
+    assert {(r["conv_id"], r["seq"]): (r["role"], r["text"]) for r in read} == {k: v[2:] for k, v in want.items()}
+
+
 def test_escaping_is_reversible():
     for text in ("<|", "<\\|", "<\\\\|a<||>", "<<|<\\<|", "\\<|", "plain"):
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)

@@ -4,8 +4,9 @@ The template is declarative: marks around a turn, the roles whose text is traine
 are escaped so that no control string can appear in them: `<`, any backslashes, `|` gets one more backslash, which is
 undone on reading.
 
-A conversation's rows are streamed in order within one task and never gathered, so its length bounds no memory; what
-follows a conversation's order, such as a digest over it, needs that one pass in any case.
+Turns are formatted in ranges of their order, so a long conversation is spread over tasks; what goes before a range in the
+same conversation is carried over from one row per range. Only the digests over a conversation need its turns in one pass:
+they are streamed, never gathered, so a conversation's length bounds no memory.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import uuid
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import shared_folder, table
+from vaultspark.llm.common import shared_folder, stored, table
 
 
 @dataclass(frozen=True)
@@ -69,11 +70,33 @@ class RoleMachine:
 
 
 _SEGMENTS = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
-_SCHEMA = "conv_id long, seq long, segments array<struct<text: string, loss: boolean>>, allowed boolean"
+_PIECES = "part int, place long, conv_id long, role string, seq long, segments array<struct<text: string, loss: boolean>>, allowed boolean"
+_PIECE_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), _SEGMENTS, pa.bool_()]
 
+#: Characters of a role and a text by which ranges of turns are bounded, so that bounds are short.
+_BOUND = 32
 
-def _ordered(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", *by)
+
+def _in_ranges(turns: DataFrame) -> DataFrame:
+    """Turns ordered by conversation, turn, role and text over all partitions, with the partition's number. Beginnings of role and
+    text bound the ranges; a text counts only where the whole role does, so that the order is kept."""
+    role, text = F.substring("role", 1, _BOUND), F.when(F.length("role") < _BOUND, F.substring("text", 1, _BOUND)).otherwise("")
+    ranged = turns.repartitionByRange("conv_id", "turn", role, text).sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ranged.select(F.spark_partition_id().alias("part"), "conv_id", "role", "text")
+
+
+def _carried(pieces: DataFrame, template: Template) -> DataFrame:
+    """For each part that begins within a conversation: part, head (that conversation), before (the state in which the part
+    begins, null if the machine doesn't know it) and offset (the conversation's turns in the parts before). At most one row per part."""
+    state = F.when(F.col("role").isin(*template.follows), F.col("role"))
+    ends = pieces.groupBy("part").agg(F.min_by(F.struct("conv_id"), "place").alias("a"), F.max_by(F.struct("conv_id", state.alias("state"), (F.col("seq") + 1).alias("n")), "place").alias("z"))
+    by_part = Window.orderBy("part")  # one row per part
+    last = F.lag("z").over(by_part)
+    ends = ends.select("part", "a", "z", (last.isNotNull() & last["conv_id"].eqNullSafe(F.col("a.conv_id"))).alias("within"), F.sum("z.n").over(by_part).alias("turns"))
+    begins = ~(F.col("within") & F.col("a.conv_id").eqNullSafe(F.col("z.conv_id")))
+    ends = ends.withColumn("so_far", F.col("turns") - F.max(F.when(begins, F.col("turns") - F.col("z.n"))).over(by_part))
+    ends = ends.select("part", "within", F.col("a.conv_id").alias("head"), F.lag("z.state").over(by_part).alias("before"), F.lag("so_far").over(by_part).alias("offset"))
+    return ends.filter("within").drop("within")
 
 
 def format_chats(rows: DataFrame, template: Template = TEMPLATE) -> DataFrame:
@@ -85,27 +108,55 @@ def format_chats(rows: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """
 
     def run(batches):
-        now, machine, seq = object(), None, 0
+        now, machine, seq, place = object(), None, 0, 0
         for batch in batches:
-            out = ([], [], [], [])
-            for conv, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text"))):
+            out = []
+            for part, conv, role, text in zip(*(batch.column(k).to_pylist() for k in ("part", "conv_id", "role", "text"))):
                 if machine is None or conv != now:
                     now, machine, seq = conv, RoleMachine(template), 0
                 allowed, segments = machine.turn(role, text)
-                for column, value in zip(out, (conv, seq, [{"text": s, "loss": f} for s, f in segments], allowed)):
-                    column.append(value)
-                seq += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], _SEGMENTS), pa.array(out[3], pa.bool_())], ["conv_id", "seq", "segments", "allowed"])
+                out.append((part, place, conv, role, seq, [{"text": s, "loss": f} for s, f in segments], allowed))
+                seq, place = seq + 1, place + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PIECE_TYPES)], ["part", "place", "conv_id", "role", "seq", "segments", "allowed"])
 
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", blank("role"), blank("text"))
-    return _ordered(turns, "turn", "role", "text").mapInArrow(run, _SCHEMA)
+    pieces = stored(_in_ranges(turns).mapInArrow(run, _PIECES), "chat-pieces")
+    both = pieces.join(F.broadcast(_carried(pieces, template)), "part", "left")  # a row per part
+    goes_on = F.col("offset").isNotNull() & F.col("conv_id").eqNullSafe(F.col("head"))
+    after = F.lit(False)
+    for state, roles in template.follows.items():
+        after = after | (F.col("before").eqNullSafe(F.lit(state)) & F.col("role").isin(*roles))
+    seq = F.col("seq") + F.when(goes_on, F.col("offset")).otherwise(0)
+    allowed = F.when(goes_on & (F.col("place") == 0), after).otherwise(F.col("allowed"))
+    return both.select("conv_id", seq.alias("seq"), "segments", allowed.alias("allowed"))
+
+
+def read_turns(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
+    """Formatted turns read back, each by itself: conv_id, seq, role, text, trained (all text under the loss mask; null if that is the
+    text itself), chars (of the formatted turn) and allowed."""
+    mark = re.compile(f"{re.escape(template.open)}([^\n]*){re.escape(template.after_role)}(.*){re.escape(template.close)}", re.S)
+    names = ["conv_id", "seq", "role", "text", "trained", "chars", "allowed"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for conv, seq, segments, allowed in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "seq", "segments", "allowed"))):
+                whole = "".join([s["text"] for s in segments])
+                role, text = mark.fullmatch(whole).groups()
+                text, trained = unescape(text), "".join([unescape(s["text"]) for s in segments if s["loss"]])
+                out.append((conv, seq, unescape_role(role), text, None if trained == text else trained, len(whole), allowed))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    return formatted.mapInArrow(run, "conv_id long, seq long, role string, text string, trained string, chars long, allowed boolean")
 
 
 def read_chats(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """Reads formatted turns back and sums each conversation up: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars, valid (every turn allowed and the end is one)."""
-    mark = re.compile(f"{re.escape(template.open)}([^\n]*){re.escape(template.after_role)}(.*){re.escape(template.close)}", re.S)
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
@@ -122,29 +173,25 @@ def read_chats(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame
 
         for batch in batches:
             done = []
-            for conv, segments, allowed in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "segments", "allowed"))):
+            for conv, role, text, trained, chars, allowed in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text", "trained", "chars", "allowed"))):
                 if open_ is None or conv != now:
                     if open_ is not None:
                         done.append(ended())
                     now, open_ = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, True, ""]
-                whole = "".join([s["text"] for s in segments])
-                role, text = mark.fullmatch(whole).groups()
-                role = unescape_role(role)
+                trained = text if trained is None else trained
                 open_[0] += 1
-                open_[1].update(f"{role}\n{unescape(text)}\n".encode())
-                for s in segments:
-                    if s["loss"]:
-                        trained = unescape(s["text"])
-                        open_[2] += len(trained)
-                        open_[3].update(trained.encode())
-                open_[4] += len(whole)
+                open_[1].update(f"{role}\n{text}\n".encode())
+                open_[2] += len(trained)
+                open_[3].update(trained.encode())
+                open_[4] += chars
                 open_[5], open_[6] = open_[5] and allowed, role
             if done:
                 yield emit(done)
         if open_ is not None:
             yield emit([ended()])
 
-    return _ordered(formatted, "seq").mapInArrow(run, schema)
+    turns = read_turns(formatted, template).repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return turns.mapInArrow(run, schema)
 
 
 #: A conversation whose texts hold control strings; the contract asks for it.
