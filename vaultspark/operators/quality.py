@@ -50,6 +50,17 @@ def enforce(df: DataFrame, rules: dict[str, str], entity: str = "") -> DataFrame
     return rows
 
 
+def governed(df: DataFrame, rules: dict[str, dict[str, str]], entity: str = "") -> tuple[DataFrame, dict[str, dict[str, int]]]:
+    """df under an entity's rules, {action: {name: rule}}: the rows that no drop rule drops, and by action and name how many rows of df
+    break a rule. Computed once, as in enforce(); a broken fail rule raises QualityError."""
+    watched, seen = warn(df, {f"{action} {name}": rule for action, some in rules.items() for name, rule in some.items()}, f"governed {entity}")
+    rows = stored(drop(watched, rules.get("drop", {})), "governed")
+    broken = {action: {name: seen.get[f"{action} {name}"] for name in some} for action, some in rules.items()}
+    if bad := {name: n for name, n in broken.get("fail", {}).items() if n}:
+        raise QualityError(f"{entity}: rows that violate a rule: {bad}")
+    return rows, broken
+
+
 #: What holds where; actions: drop, fail, warn.
 RULES = {
     "hub_customer": {"drop": {"positive_key": "IdentificadorCliente > 0"}, "fail": {"hash_set": "Hash_Cliente IS NOT NULL"}},
