@@ -17,7 +17,7 @@ from vaultspark.operators.profile import coverage
 from vaultspark.sources.ingest import evolved, fitted
 from vaultspark.sources.scratch import scratch_path
 from vaultspark.sources.store import VersionedTable
-from vaultspark.streaming.flows import appending, run_available
+from vaultspark.streaming.flows import appending, ingesting, run_available, run_continuously
 
 
 def sha(text, bits=256):
@@ -199,6 +199,42 @@ def test_coverage_counts_orphans(spark):
     assert (got["parents"], got["covered"], got["orphans"], got["least"], got["most"], got["mean"]) == (3, 2, 1, 1, 2, 1.5)
 
 
-def test_settings_have_no_defaults(spark):
+def test_settings_have_no_defaults_and_lead_an_ingest(spark, tmp_path):
     with pytest.raises(KeyError, match="vaultspark.bronze_dir"):
         Settings.read(spark)
+    given = {"landing_dir": tmp_path / "landing", "bronze_dir": tmp_path / "bronze", "silver_dir": tmp_path / "silver", "gold_dir": tmp_path / "gold", "checkpoint_dir": tmp_path / "checkpoints"}
+    given |= {f"{s}_path": f"drops/{s}" for s in ("cmstfl", "trxpfl", "blncfl")} | {f"{s}_schema": f"schemas/{s}" for s in ("cmstfl", "trxpfl", "blncfl")}
+    for name, value in given.items():
+        spark.conf.set(f"vaultspark.{name}", str(value))
+    try:
+        settings = Settings.read(spark)
+        spark.conf.unset("vaultspark.gold_dir")
+        with pytest.raises(KeyError, match="vaultspark.gold_dir"):
+            Settings.read(spark)
+    finally:
+        for name in given:
+            spark.conf.unset(f"vaultspark.{name}")
+    drop = lambda df, day: df.write.parquet(f"{settings.drops('CMSTFL')}/año=2026/mes=1/dia={day}")
+    old = spark.range(3).withColumnRenamed("id", "CUSTID")
+    drop(old, 1)
+    assert ingesting(spark, settings, "CMSTFL", old.schema, "2026-01-05").read().count() == 3
+    new = spark.range(3, 5).selectExpr("id AS CUSTID", "'x' AS CUSEM")
+    drop(new, 2)
+    for _ in range(2):
+        rows = ingesting(spark, settings, "CMSTFL", new.schema, "2026-01-05").read()
+    assert sorted((r["CUSTID"], r["CUSEM"], str(r["FechaRegistroParquet"])) for r in rows.collect()) == [(i, "x" if i > 2 else None, f"2026-01-0{1 + (i > 2)}") for i in range(5)]
+
+
+def test_a_continuous_flow_takes_what_lands_and_resumes(spark, tmp_path):
+    path, df = str(tmp_path / "in"), spark.range(10)
+    table = VersionedTable(spark, str(tmp_path / "table"))
+    (tmp_path / "in").mkdir()
+    landed = 0
+    for drops in (2, 1):  # the second flow goes on where the first was stopped
+        flow = run_continuously(spark.readStream.schema(df.schema).parquet(path), appending(table), f"{path}-checkpoint", "1 second")
+        for _ in range(drops):
+            df.write.mode("append").parquet(path)
+            landed += 10
+            flow.processAllAvailable()
+            assert table.read().count() == landed
+        flow.stop()

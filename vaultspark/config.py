@@ -23,14 +23,20 @@ THRESHOLDS = {
 
 @dataclass(frozen=True)
 class Settings:
-    """Where the layers live and what they are fed from; every value has to be set as `vaultspark.<name>`."""
+    """Where the layers live and what they are fed from; every value has to be set as `vaultspark.<name>`. A layer is one folder, a
+    table a folder in it; drops and remembered schemas of the three sources are folders of the landing area."""
 
     landing_dir: str
     bronze_dir: str
     silver_dir: str
     gold_dir: str
     checkpoint_dir: str
-    source_name: str
+    cmstfl_path: str
+    trxpfl_path: str
+    blncfl_path: str
+    cmstfl_schema: str
+    trxpfl_schema: str
+    blncfl_schema: str
 
     @classmethod
     def read(cls, spark: SparkSession) -> Settings:
@@ -39,3 +45,16 @@ class Settings:
         if missing := sorted(k for k, v in found.items() if not v):
             raise KeyError("not set: " + ", ".join(f"vaultspark.{k}" for k in missing))
         return cls(**found)
+
+    def drops(self, source: str) -> str:
+        return f"{self.landing_dir.rstrip('/')}/{getattr(self, f'{source.lower()}_path')}"
+
+    def schema(self, source: str) -> str:
+        return f"{self.landing_dir.rstrip('/')}/{getattr(self, f'{source.lower()}_schema')}"
+
+    def table(self, layer: str, name: str) -> str:
+        """layer: bronze, silver or gold."""
+        return f"{getattr(self, f'{layer}_dir').rstrip('/')}/{name}"
+
+    def checkpoint(self, name: str) -> str:
+        return f"{self.checkpoint_dir.rstrip('/')}/{name}"

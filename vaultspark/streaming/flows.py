@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from vaultspark.operators.loaders import changed_rows
+from vaultspark.config import Settings
+from vaultspark.operators.loaders import changed_rows, load_time
+from vaultspark.sources.ingest import file_stream, ingest_drop, with_load_columns, with_parts
 from vaultspark.sources.scratch import stored
 from vaultspark.sources.store import VersionedTable
 
@@ -26,6 +29,15 @@ def appending(table: VersionedTable) -> Callable[[DataFrame, int], None]:
     return lambda rows, batch: table.append(rows, batch)
 
 
+def ingesting(spark: SparkSession, settings: Settings, source: str, schema: StructType, time=None) -> VersionedTable:
+    """Takes what has landed of a source (CMSTFL, TRXPFL or BLNCFL) into its bronze table, each file once, in the schema remembered for
+    the source, which schema may widen. The table."""
+    table = VersionedTable(spark, settings.table("bronze", source))
+    stream = with_load_columns(file_stream(spark, settings.drops(source), with_parts(schema)), load_time(time))
+    run_available(stream, lambda rows, batch: ingest_drop(rows, table, settings.schema(source), batch), settings.checkpoint(f"bronze-{source}"))
+    return table
+
+
 def upserting(table: VersionedTable, keys: list[str], sequence: list[str], buckets: int = 1) -> Callable[[DataFrame, int], None]:
     return lambda rows, batch: table.upsert(rows, keys, sequence, batch, buckets)
 
