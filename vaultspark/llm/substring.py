@@ -6,12 +6,12 @@ matching statistics give the intervals above the threshold. What makes this scal
 1. The windows of a document are cut into segments, runs of windows with the same minimizer (the smallest hash of SEED_WORDS
    words in a window). Equal windows have equal minimizers, so comparing segments of one minimizer is enough. Only
    segments whose minimizer occurs again go on; texts don't move for this.
-2. Segments that are equal as a whole are counted together. If one occurs twice, all its windows repeat, and the copies of
-   a document cost one segment each, however many there are.
-3. The texts of the distinct segments left are fetched once. All segments of a minimizer go to one shard, where each is
+2. Segments that are equal as a whole are kept once, with their number as weight, so the copies of a document cost one segment
+   each, however many there are. The index counts what a match weighs, and every window is decided by it.
+3. The texts of the distinct segments are fetched once. All segments of a minimizer go to one shard, where each is
    streamed against the index. A minimizer with more than SHARD_WORDS words, such as the edge of a very common passage, is split
-   by content over as many shards as it needs: each of its segments is part of one index and streamed against all of them.
-   A window repeats if it occurs twice in its own shard or once in another.
+   by content over as many shards as it needs: each of its segments is part of one index and streamed against all of them (one
+   that occurs twice, against its own). A window repeats if it occurs twice in its own shard or once in another.
 4. Intervals go back to all occurrences of a segment and are joined with their documents.
 
 Texts are compressed before they are shuffled. Words are compared by 64-bit hashes.
@@ -141,8 +141,7 @@ class Shard:
 
     def own(self, window: int) -> list[tuple]:
         """(mini, content, a, b): the windows of its segments that occur twice in it."""
-        open_ = [i for i, r in enumerate(self.rows) if r[2] == 1]  # a segment that occurs twice repeats as a whole
-        return self._intervals([self.rows[i] for i in open_], [self.symbols[i] for i in open_], 2, window)
+        return self._intervals(self.rows, self.symbols, 2, window)
 
     def others(self, rows: list[tuple], window: int) -> list[tuple]:
         """The windows of segments of other shards that occur in it."""
@@ -207,11 +206,9 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     distinct = found.groupBy("mini", "content").agg(F.count("*").alias("weight"), F.min(F.struct("_key", "start", "n")).alias("at"))
     distinct = stored(distinct.select("mini", "content", "weight", "at.*"), "sub-distinct")
     words = F.sum(F.col("n") + window)
-    sizes = distinct.groupBy("mini").agg(F.count("*").alias("members"), F.max("weight").alias("most"), F.ceil(words / SHARD_WORDS).cast("int").alias("shards"))
-    sizes = stored(sizes.filter("members > 1 or most = 1").select("mini", "shards"), "sub-groups")
-    whole = distinct.filter("weight > 1").select("mini", "content", F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))
+    sizes = stored(distinct.groupBy("mini").agg(F.ceil(words / SHARD_WORDS).cast("int").alias("shards")), "sub-groups")
 
-    # fetch the texts of the rest, once per document
+    # fetch the texts of the segments, once per document
     entry = F.struct("mini", "content", "weight", "start", "n", "shards")
     wanted = distinct.join(sizes, "mini").groupBy("_key").agg(F.collect_list(entry).alias("entries"))
     packed = _compressed(docs.select("_key", "text")).join(wanted.hint("merge"), "_key").select("_key", "zip", "entries")
@@ -232,7 +229,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     texts = packed.mapInArrow(fetch, "mini long, content long, weight long, n short, shards int, words binary")
-    intervals = stored(whole.unionByName(_index_shards(texts, window)), "sub-intervals")
+    intervals = stored(_index_shards(texts, window), "sub-intervals")
     return found.join(intervals.hint("merge"), ["mini", "content"]).select("_key", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
 
