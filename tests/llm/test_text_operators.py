@@ -204,7 +204,8 @@ def test_matching_statistics_against_counting():
         texts = [rng.integers(1, symbols + 1, int(rng.integers(1, 25))) for _ in range(int(rng.integers(1, 9)))]
         weights = rng.integers(1, 3, len(texts))
         count = lambda p: sum(w * sum((t[j : j + len(p)] == p).all() for j in range(len(t) - len(p) + 1)) for w, t in zip(weights, texts))
-        for t, got in zip(texts, fmindex.FMIndex(texts, weights, symbols).matching_statistics(texts, 2)):
+        found = fmindex.FMIndex(texts, weights, symbols).matching_statistics(texts, 2)
+        for t, got in zip(texts, np.split(found, np.cumsum([len(t) for t in texts])[:-1])):
             for j in range(len(t)):
                 assert got[j] == max([n for n in range(1, len(t) - j + 1) if count(t[j : j + n]) >= 2], default=0)
 

@@ -47,13 +47,14 @@ class WaveletTree:
     def _order(self, last: np.ndarray) -> np.ndarray:
         return self._reverse(last)
 
-    def counts(self, symbol: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
-        """How often each symbol occurs before each end."""
+    def counts(self, symbol: np.ndarray, *ends: np.ndarray) -> np.ndarray:
+        """How often each symbol occurs before each end, a row for each of ends."""
+        at = np.stack(ends)
         for level, (bits, zeros) in enumerate(zip(self.levels, self.zeros)):
             one = (symbol >> (self.depth - 1 - level)) & 1 == 1
-            ranks = [bits.rank(e) for e in ends]
-            ends = [np.where(one, zeros + r, e - r) for e, r in zip(ends, ranks)]
-        return [e - self.start[symbol] for e in ends]
+            ranks = bits.rank(at)
+            at = np.where(one, zeros + ranks, at - ranks)
+        return at - self.start[symbol]
 
 
 class FMIndex:
@@ -92,13 +93,15 @@ class FMIndex:
             jump = np.where(same, 1 << k, 0)
             a, b, common = a + jump, b + jump, common + jump
         lcp = np.concatenate([[-1], common, [-1]]).astype(np.int32)  # lcp[i]: suffixes i-1 and i
-        self.low = [lcp]  # minima over 2^k neighbours
-        while (1 << len(self.low)) <= len(lcp):
+        self.low = [lcp]  # minima over 2^k neighbours, as far as suffixes with one symbol in common reach
+        while (1 << len(self.low)) <= min(len(lcp), np.bincount(data).max()):
             half, last = 1 << (len(self.low) - 1), self.low[-1]
             self.low.append(np.minimum(last[:-half], last[half:]))
 
     def _widen(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The interval of suffixes that share `depth` symbols with those of [lo, hi)."""
+        """The interval of suffixes that share `depth` symbols with those of [lo, hi); of no symbols, all."""
+        whole = depth == 0
+        depth = np.where(whole, len(self.low[0]), depth)
         for k in reversed(range(len(self.low))):
             low = self.low[k]
             at = lo - (1 << k) + 1
@@ -110,10 +113,10 @@ class FMIndex:
             ok = hi < len(low)
             ok[ok] = low[hi[ok]] >= depth[ok]
             hi = np.where(ok, hi + (1 << k), hi)
-        return lo, hi
+        return np.where(whole, 0, lo), np.where(whole, self.size, hi)
 
-    def matching_statistics(self, texts: list[np.ndarray], least: int) -> list[np.ndarray]:
-        """For each place of each text the longest match that starts there and has weight `least` or more in the index. Texts
+    def matching_statistics(self, texts: list[np.ndarray], least: int) -> np.ndarray:
+        """For each place of each text, one text after the other, the longest match that starts there and has weight `least` or more in the index. Texts
         are read from their ends; a match that can't be extended to the left is shortened at its right by going to the parent
         interval."""
         lengths = np.array([len(t) for t in texts])
@@ -140,4 +143,4 @@ class FMIndex:
                 l, h = self._widen(l, h, depth)
                 lo[active[shorten]], hi[active[shorten]], size[active[shorten]] = l, h, depth
             active = active[place[active] >= 0]
-        return [out[a:b] for a, b in zip(starts, starts[1:])]
+        return out

@@ -131,19 +131,26 @@ class Shard:
         self.symbols = np.split(flat.astype(np.int64) + 1, np.cumsum([len(r[4]) for r in rows])[:-1])
         self.index = FMIndex(self.symbols, np.array([r[2] for r in rows]), len(self.words) + 1)  # the last symbol is in no text
 
-    def _intervals(self, rows: list[tuple], symbols: list[np.ndarray], least: int, window: int) -> list[tuple]:
-        out = []
-        for row, longest in zip(rows, self.index.matching_statistics(symbols, least) if rows else []):
-            hit = np.concatenate([[False], longest[: row[3]] >= window, [False]])
-            edges = np.flatnonzero(hit[1:] != hit[:-1])
-            out += [(row[0], row[1], int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
-        return out
-
-    def own(self, window: int) -> list[tuple]:
+    def _intervals(self, rows: list[tuple], symbols: list[np.ndarray], least: int, window: int) -> list[np.ndarray]:
+        if not rows:
+            return [np.zeros(0, np.int64)] * 4
+        lengths = np.array([len(s) for s in symbols])
+        first = np.cumsum(lengths) - lengths
+        hit = np.concatenate([self.index.matching_statistics(symbols, least) >= window, [False]])
+        text = np.repeat(np.arange(len(rows)), lengths)
+        begins, ends = hit[:-1].copy(), hit[:-1] & ~hit[1:]
+        begins[1:] &= ~hit[:-2]
+        begins[first], ends[first[1:] - 1] = hit[first], hit[first[1:] - 1]  # no run goes from one text to the next
+        a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        of = text[a]
+        mini, content = (np.array([r[c] for r in rows], np.int64)[of] for c in (0, 1))
+        return [mini, content, a - first[of], b - first[of]]
+
+    def own(self, window: int) -> list[np.ndarray]:
         """(mini, content, a, b): the windows of its segments that occur twice in it."""
         return self._intervals(self.rows, self.symbols, 2, window)
 
-    def others(self, rows: list[tuple], window: int) -> list[tuple]:
+    def others(self, rows: list[tuple], window: int) -> list[np.ndarray]:
         """The windows of segments of other shards that occur in it."""
         symbols = []
         for row in rows:
@@ -163,8 +170,7 @@ def _index_shards(texts: DataFrame, window: int) -> DataFrame:
         held, size, now, seen, shard, waiting, several = [], 0, None, set(), None, [], False
 
         def emit(found):
-            cols = list(zip(*found)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["mini", "content", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["mini", "content", "a", "b"])
 
         def ended():
             """What the shard finds for the rows held or, if it has been asked, for those that wait."""
@@ -218,15 +224,32 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         import zstandard
 
         zd, last = zstandard.ZstdDecompressor(), None
+
+        def emit(entries, kept, found):
+            """The entries at the places kept, with their words."""
+            kept = pa.array(np.concatenate(kept), pa.int64())
+            return pa.RecordBatch.from_arrays([*(entries.field(c).take(kept) for c in names[:-1]), pa.array(found, pa.binary())], names)
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                key = batch.column(0)[i].as_py()
+            column = batch.column(2)
+            at, entries = column.offsets.to_numpy(), column.values
+            start, n = (entries.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
+            kept, found, size = [], [], 0
+            for i, key in enumerate(batch.column(0).to_pylist()):
                 if key == last:  # a row that is repeated; they follow one another
                     continue
                 last, words = key, _words.hashes(zd.decompress(batch.column(1)[i].as_py()).split())
-                rows = [(*(e[c] for c in names[:-1]), words[e["start"] : e["start"] + e["n"] + window - 1].tobytes()) for e in batch.column(2)[i].as_py()]
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                own = np.arange(at[i], at[i + 1])
+                begin, end = start[own], start[own] + n[own] + window - 1
+                for a in range(0, len(own), STREAM):
+                    kept.append(own[a : a + STREAM])
+                    found += [words[x:y].tobytes() for x, y in zip(begin[a : a + STREAM].tolist(), end[a : a + STREAM].tolist())]
+                    size += int((end - begin)[a : a + STREAM].sum())
+                    if size > SHARD_WORDS:
+                        yield emit(entries, kept, found)
+                        kept, found, size = [], [], 0
+            if found:
+                yield emit(entries, kept, found)
 
     texts = packed.mapInArrow(fetch, "mini long, content long, weight long, n short, shards int, words binary")
     intervals = stored(_index_shards(texts, window), "sub-intervals")
