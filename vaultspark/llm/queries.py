@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vaultspark.llm import ann, chat, language, minhash, mixing, packing, periodic, secrets, substring, tokens, topk
+from vaultspark.llm import ann, chat, language, minhash, mixing, packing, periodic, secrets, substring, tokens, topk, whitening
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_neighbours": ann.op8_neighbours,
     "op9_topk": topk.op9_topk,
     "op10_secrets": secrets.op10_secrets,
+    "op11_whitening": whitening.op11_whitening,
     "op12_runs": periodic.op12_runs,
 }
