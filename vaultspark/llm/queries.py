@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vaultspark.llm import ann, chat, language, minhash, mixing, packing, periodic, secrets, substring, tokens, topk, whitening
+from vaultspark.llm import ann, chat, language, minhash, mixing, ngram_join, packing, periodic, secrets, substring, tokens, topk, whitening
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -17,4 +17,5 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_whitening": whitening.op11_whitening,
     "op12_runs": periodic.op12_runs,
+    "op13_ngram_join": ngram_join.op13_ngram_join,
 }
