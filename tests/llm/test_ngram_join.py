@@ -78,6 +78,18 @@ def test_trees_find_what_bounds_allow():
     assert met > 200
 
 
+def test_vectors_of_two_levels_meet():
+    rng = np.random.default_rng(5)
+    assert [ngram_join.level_of(n) for n in (0, 1023, 1024, 4095, 4096)] == [0, 0, 1, 1, 2]
+    for n in (10, 1023, 1024, 4095, 4096, 20_000):
+        tokens = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        counts, level = ngram_join.counted(tokens), ngram_join.level_of(n)
+        assert len(counts) == GROUPS * 4**level and n < 26 * len(counts)
+        for lower in range(level + 1):
+            assert (ngram_join.point_of(counts.tobytes(), lower) == np.bincount((tokens % (GROUPS * 4**lower)).astype(int), minlength=GROUPS * 4**lower)).all()
+    assert ngram_join.point_of(ngram_join.counted(np.arange(0, 64 * 1000, 64, dtype=np.uint64)).tobytes(), 0)[0] >= 1000
+
+
 def test_a_group_of_near_copies_and_a_long_text(spark):
     rng = random.Random(9)
     base, long = text_of(rng, 60, 10**6), text_of(rng, 300_000, 10**6)

@@ -29,12 +29,15 @@ from vaultspark.llm.common import stored, table
 from vaultspark.llm.graph import components
 from vaultspark.llm.minhash import HELD_BYTES, SHINGLE, SIMILARITY, lead_links, near, rooted, shingle_set, shingle_sets
 
-#: Groups of the count vectors; cells of the table that tells frequent n-grams, and the rows that it travels in.
-GROUPS, CELL_BITS, SLICES = 64, 20, 16
+#: Groups of the count vectors of sets below LARGE n-grams; with every fourfold size, groups are four times as many, as vectors of
+#: sets without a common n-gram differ by more than similar sets may only while a set has less than about 26 n-grams a group.
+GROUPS, LARGE = 64, 1024
+#: Cells of the table that tells frequent n-grams, and the rows that it travels in.
+CELL_BITS, SLICES = 20, 16
 #: Points that a leaf holds, leaves or nodes that a node holds, and points of a tree.
 LEAF, FAN, HELD = 16, 8, 4096
 #: A count of FULL or more is stored as FULL and taken for UNBOUNDED, so that bounds stay bounds.
-FULL, UNBOUNDED = 65535, 1 << 40
+FULL, UNBOUNDED = 255, 1 << 40
 
 
 def frequencies(docs: DataFrame, size: int) -> np.ndarray:
@@ -54,7 +57,7 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
         if n:
             total += np.bincount(np.concatenate(held), minlength=cells)
         if total.any():
-            data = np.minimum(total, FULL).astype(np.uint16)
+            data = np.minimum(total, 65535).astype(np.uint16)  # an order of n-grams needs no exact counts
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([data[i * part : (i + 1) * part].tobytes() for i in range(SLICES)], pa.binary())], ["slice", "data"])
 
     def add(batches):
@@ -81,29 +84,48 @@ def first_tokens(tokens: np.ndarray, levels: np.ndarray, similarity: int) -> np.
     return tokens[order[:wanted]]
 
 
+def level_of(n: int) -> int:
+    """How many times a set of n n-grams has its groups multiplied by four."""
+    level = 0
+    while n >= LARGE << 2 * level:
+        level += 1
+    return level
+
+
 def counted(tokens: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint16)
+    groups = GROUPS << 2 * level_of(len(tokens))
+    return np.minimum(np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
+
+
+def point_of(counts: bytes, level: int) -> np.ndarray:
+    """A count vector at its own level or a lower one, where groups are sums of groups."""
+    point = np.frombuffer(counts, np.uint8).astype(np.int64)
+    point[point == FULL] = UNBOUNDED
+    return point.reshape(-1, GROUPS << 2 * level).sum(0)
 
 
 def signed(docs: DataFrame, levels: np.ndarray, size: int, similarity: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, class (digest of the set, null if empty), counts and first (n-grams), for each row of docs."""
+    """doc_id, text_hash, n_shingles, class (digest of the set, null if empty), levels (at which it meets others, the own one first),
+    counts and first (n-grams), for each row of docs."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                n, key, counts, first = [], [], [], []
+                n, key, at_levels, counts, first = [], [], [], [], []
                 for text in part.column(2).to_pylist():
                     s = shingle_set(text or b"", size)
                     n.append(len(s))
                     key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    # a smaller set that is similar enough may be of the level below
+                    at_levels.append(sorted({level_of(len(s)), level_of((similarity * len(s) + 99) // 100)}, reverse=True))
                     counts.append(counted(s).tobytes() if len(s) else None)
                     first.append(first_tokens(s, levels, similarity).view(np.int64) if len(s) else None)
-                columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(counts, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "class", "counts", "first"])
+                columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(at_levels, pa.list_(pa.int32())), pa.array(counts, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "class", "levels", "counts", "first"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class binary, counts binary, first array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class binary, levels array<int>, counts binary, first array<long>")
 
 
 class CountTree:
@@ -205,8 +227,8 @@ class Block:
 
 
 def tree_links(members: DataFrame, keys: list[str], similarity: int, exact: bool) -> DataFrame:
-    """(a, b): links between roots of members that meet under the keys, enough to connect all that are linked. members: keys, blocks,
-    apart, class, root, n, counts, and set if exact: then links are confirmed on sets, else they say what can be similar enough.
+    """(a, b): links between roots of members that meet under the keys, enough to connect all that are linked. members: keys (level among them),
+    blocks, apart, class, root, n, counts, and set if exact: then links are confirmed on sets, else they say what can be similar enough.
 
     Members that are apart are dealt over a key's blocks and held; each streams past the blocks before its own, and members that
     are not apart past all. Pairs of members that are not apart are not compared.
@@ -215,7 +237,7 @@ def tree_links(members: DataFrame, keys: list[str], similarity: int, exact: bool
     held = F.array(F.struct(own.alias("block"), F.lit(0).alias("streamed")))
     past = lambda upto: F.transform(F.slice(F.sequence(F.lit(0), F.col("blocks")), F.lit(1), upto), lambda b: F.struct(b.alias("block"), F.lit(1).alias("streamed")))
     places = F.when(F.col("apart"), F.concat(held, past(own))).otherwise(past(F.col("blocks")))
-    names = ["class", "root", "n", "counts"] + ["set"] * exact
+    names, at_level = ["class", "root", "n", "counts"] + ["set"] * exact, keys.index("level")
     meeting = members.select(*keys, *names, F.explode(places).alias("m")).select(*keys, "m.*", *names)
 
     def run(batches):
@@ -224,8 +246,7 @@ def tree_links(members: DataFrame, keys: list[str], similarity: int, exact: bool
         def built():
             nonlocal block, waiting
             if waiting and block is None:
-                points = np.frombuffer(b"".join(r[3] for r in waiting), np.uint16).astype(np.int64).reshape(-1, GROUPS)
-                points[points == FULL] = UNBOUNDED
+                points = np.stack([point_of(r[3], now[at_level]) for r in waiting])
                 sets = [np.frombuffer(r[4], np.uint64) for r in waiting] if exact else None
                 block = Block([r[1] for r in waiting], np.array([r[2] for r in waiting], np.int64), points, sets, similarity)
                 waiting = []
@@ -250,9 +271,7 @@ def tree_links(members: DataFrame, keys: list[str], similarity: int, exact: bool
                     continue
                 links += built()
                 if block is not None:
-                    point = np.frombuffer(row[3], np.uint16).astype(np.int64)
-                    point[point == FULL] = UNBOUNDED
-                    links += block.links(row[1], row[2], point, np.frombuffer(row[4], np.uint64) if exact else None)
+                    links += block.links(row[1], row[2], point_of(row[3], now[at_level]), np.frombuffer(row[4], np.uint64) if exact else None)
             yield told(links)
         yield told(built())
 
@@ -262,13 +281,13 @@ def tree_links(members: DataFrame, keys: list[str], similarity: int, exact: bool
 
 def candidate_links(classes: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of classes that can be similar enough, and h (a hash of the class) with degree (how many members its shared n-grams have).
-    classes: class, h, n, counts, first."""
+    classes: class, h, n, levels, counts, first."""
     entries = classes.select(F.explode("first").alias("token"), "h").repartition("token")
     shared = stored(entries.withColumn("members", F.count("*").over(Window.partitionBy("token"))).filter("members > 1"), "join-shared")
     alike = shared.groupBy("token").agg(F.first("members").alias("members"), F.bit_xor("h").alias("x"), F.min("h").alias("low"), F.bit_xor(F.xxhash64(F.lit(GROUPS), "h")).alias("y"))
     trees = alike.groupBy("members", "x", "y", "low").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / HELD).cast("int").alias("blocks"))
-    met = shared.select("token", "h").join(stored(trees, "join-trees").hint("merge"), "token").join(classes.select("h", "class", "n", "counts").hint("merge"), "h")
-    links = tree_links(met.withColumn("apart", F.lit(True)).withColumn("root", F.col("class")), ["token"], similarity, exact=False)
+    met = shared.select("token", "h").join(stored(trees, "join-trees").hint("merge"), "token").join(classes.select("h", "class", "n", "counts", F.explode("levels").alias("level")).hint("merge"), "h")
+    links = tree_links(met.withColumn("apart", F.lit(True)).withColumn("root", F.col("class")), ["token", "level"], similarity, exact=False)
     return links, shared.groupBy("h").agg(F.sum("members").alias("degree"))
 
 
@@ -280,20 +299,20 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, similarity: i
         return None
     members = groups.select(F.col("node").alias("class"), F.col("root").alias("group")).join(classes.drop("first").hint("merge"), "class").join(degrees.hint("merge"), "h", "left")
     members = stored(members.drop("h"), "join-groups")
-    sizes = members.groupBy("group").agg(F.count("*").alias("members"), F.max(F.struct("degree", "class", "n")).alias("lead"))
-    led = members.drop("degree").join(sizes.select("group", "members", F.col("lead.class").alias("lead"), F.col("lead.n").alias("lead_n")).hint("merge"), "group")
+    sizes = members.groupBy("group").agg(F.count("*").alias("members"), F.min(F.element_at("levels", -1)).alias("level"), F.max(F.struct("degree", "class", "n")).alias("lead"))
+    led = members.drop("degree").join(sizes.select("group", "level", "members", F.col("lead.class").alias("lead"), F.col("lead.n").alias("lead_n")).hint("merge"), "group")
     # lead_links() deals a lead's members over salts by its degree; each member here meets it once
     degree = F.col("members") * 8
     meets = (F.col("lead") != F.col("class")) & (100 * F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n"))
     lead = F.when(meets, F.array(F.struct("lead", degree.alias("lead_degree")))).otherwise(F.array().cast("array<struct<lead:binary,lead_degree:bigint>>"))
-    wanted = led.select("class", "doc_id", "text_hash", "group", "members", "n", "counts", degree.alias("degree"), (F.col("lead") == F.col("class")).alias("leading"), lead.alias("leads"))
+    wanted = led.select("class", "doc_id", "text_hash", "group", "level", "members", "n", "counts", degree.alias("degree"), (F.col("lead") == F.col("class")).alias("leading"), lead.alias("leads"))
     sets = stored(shingle_sets(docs, wanted, size), "join-sets")
     linked = lead_links(sets, similarity).select("class", F.col("lead").alias("root")).distinct()
     placed = stored(sets.drop("set", "leads", "degree", "counts").join(linked.hint("merge"), "class", "left").withColumn("root", F.coalesce("root", "class")), "join-placed")
     apart = ~F.col("leading") & (F.col("root") == F.col("class"))
     open_ = placed.filter(F.col("members") > 2).groupBy("group").agg(F.ceil(F.sum(F.when(apart, 8 * F.col("n"))) / HELD_BYTES).cast("int").alias("blocks")).filter("blocks > 0")
-    rest = placed.select("class", "group", "root", apart.alias("apart")).join(stored(open_, "join-open").hint("merge"), "group").join(sets.select("class", "n", "counts", "set").hint("merge"), "class")
-    later = components(tree_links(rest, ["group"], similarity, exact=True))
+    rest = placed.select("class", "group", "level", "root", apart.alias("apart")).join(stored(open_, "join-open").hint("merge"), "group").join(sets.select("class", "n", "counts", "set").hint("merge"), "class")
+    later = components(tree_links(rest, ["group", "level"], similarity, exact=True))
     placed = rooted(placed.select("class", F.col("root").alias("on")), "on", later, "root").join(classes.select("class", "doc_id").hint("merge"), "class")
     lowest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.select("class", "root").join(lowest, "root").select("class", "component_id")
@@ -309,9 +328,9 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARIT
     """
     rows = stored(signed(docs, frequencies(docs, size), size, similarity), "join-rows")
     live = rows.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
-    firsts = [F.first(c).alias(c) for c in ("counts", "first")]
+    firsts = [F.first(c).alias(c) for c in ("levels", "counts", "first")]
     classes = live.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n_shingles").alias("n"), *firsts)
-    classes = stored(classes.select("class", F.xxhash64("class").alias("h"), "at.*", "n", "counts", "first"), "join-classes")
+    classes = stored(classes.select("class", F.xxhash64("class").alias("h"), "at.*", "n", "levels", "counts", "first"), "join-classes")
     linked = linked_classes(docs, classes, size, similarity)
     ids = classes.select("class", "doc_id")
     if linked is not None:
