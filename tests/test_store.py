@@ -1,11 +1,11 @@
-"""Versioned tables: writers that die or meet, the change feed, compaction, and change detection against latest versions."""
+"""Versioned tables: writers that die or meet, stale ones, new columns, and change detection against latest versions."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from vaultspark.sources.scratch import scratch_path, shared_folder
 from vaultspark.sources.store import VersionedTable
-from vaultspark.streaming.flows import detecting_changes, feeding
+from vaultspark.streaming.flows import detecting_changes
 
 
 @pytest.fixture
@@ -34,39 +34,45 @@ def test_a_writer_that_dies_leaves_the_last_state(spark, table, monkeypatch):
     assert ids(table.read()) == list(range(9)) and len(table._states()) == 3
 
 
-def test_two_writers_do_not_overwrite_each_other(spark, table, monkeypatch):
+@pytest.mark.parametrize("commits", [1, 4])
+def test_a_stale_writer_fails(spark, table, monkeypatch, commits):
+    """However far behind: the state file of its own number may be gone by then."""
     other = VersionedTable(spark, table.path)
+    table.append(spark.range(1))
     before = other._state()
-    table.append(spark.range(2))
+    for i in range(commits):
+        table.append(spark.range(i + 1, i + 2))
     monkeypatch.setattr(other, "_state", lambda: before)
+    for write in (other.append, other.replace, lambda df: other.upsert(df, ["id"], ["id"])):
+        with pytest.raises(RuntimeError, match="another writer"):
+            write(spark.range(50, 60))
+    assert ids(table.read()) == list(range(commits + 1)) and table.version == commits
+
+
+def test_of_two_racing_writers_one_fails(spark, table, monkeypatch):
+    """The second one commits between the other's look at the newest state and its rename."""
+    other, publish = VersionedTable(spark, table.path), VersionedTable._publish
+    table.append(spark.range(1))
+
+    def late(self, from_, to):
+        if self is table:
+            other.append(spark.range(1, 2))
+        publish(self, from_, to)
+
+    monkeypatch.setattr(VersionedTable, "_publish", late)
     with pytest.raises(RuntimeError, match="another writer"):
-        other.append(spark.range(2, 4))
-    assert ids(table.read()) == [0, 1]
-
-
-def test_the_feed_tells_what_was_appended_and_when(spark, table):
-    assert table.changes(-1) is None
-    table.append(spark.range(2))
-    table.append(spark.range(2, 4).withColumn("more", F.lit("x")))
-    rows = {r["id"]: r for r in table.changes(-1).collect()}
-    assert {i: r["_commit_version"] for i, r in rows.items()} == {0: 0, 1: 0, 2: 1, 3: 1} and rows[0]["_commit_timestamp"] <= rows[3]["_commit_timestamp"]
-    assert ids(table.changes(0)) == [2, 3] and table.changes(1) is None
-    copy = VersionedTable(spark, f"{table.path}-copy")
-    keep = lambda df: df.select("id", F.col("_commit_version").alias("VersionCarga"))
-    assert feeding(table, copy, keep) and not feeding(table, copy, keep)
-    table.append(spark.range(4, 5))
-    assert feeding(table, copy, keep) and sorted(tuple(r) for r in copy.read().collect()) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)]
-    table.replace(spark.range(1))
-    with pytest.raises(ValueError, match="no change feed"):
-        table.changes(1)
-
-
-def test_compaction_keeps_every_row_and_few_parts(spark, table):
-    for i in range(9):
-        table.append(spark.range(i, i + 1), i)
-        while table.compact(fan_in=3):
-            pass
-    assert ids(table.read()) == list(range(9)) and len(table._state()["parts"]) == 1 and table.last_batch == 8
+        table.append(spark.range(2, 3))
+    assert ids(other.read()) == [0, 1] and other.version == 1
+
+
+def test_upserts_take_new_columns(spark, table):
+    rows = lambda text, schema: spark.createDataFrame(text, schema)
+    table.upsert(rows([(i, 1) for i in range(20)], "id long, t long"), ["id"], ["t"], 0, 4)
+    table.upsert(rows([(1, 2, "x")], "id long, t long, more string"), ["id"], ["t"], 1, 4)
+    table.upsert(rows([(2, 2), (1, 0)], "id long, t long"), ["id"], ["t"], 2, 4)
+    table.upsert(rows([(i, 3) for i in (30, 31, 32, 33)], "id long, t long"), ["id"], ["t"], 3, 4)
+    got = {r["id"]: (r["t"], r["more"]) for r in table.read().collect()}
+    assert got == {i: (1, None) for i in range(20)} | {1: (2, "x"), 2: (2, None)} | {i: (3, None) for i in (30, 31, 32, 33)}
 
 
 def test_versions_are_compared_with_the_latest_table_alone(spark, table, monkeypatch):

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def upsert_latest(target: DataFrame | None, batch: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
     """Target with batch merged in: per key the row with the largest sequence, ties to the larger of the other columns. One
-    aggregation with partial results; rows with a null key are merged as one key."""
-    rows = batch if target is None else target.unionByName(batch)
+    aggregation with partial results; rows with a null key are merged as one key. A column that only one side has is null in the
+    other's rows."""
+    rows = batch if target is None else target.unionByName(batch, allowMissingColumns=True)
     rest = [c for c in rows.columns if c not in keys]
     lead = [F.col(c).alias(f"_s{i}") for i, c in enumerate(sequence)]
     best = rows.groupBy(*keys).agg(F.max(F.struct(*lead, *rest)).alias("_row"))

@@ -1,4 +1,4 @@
-"""Whole entities: a table's change feed, the customer dimension in its closed schema, every class table, rules, layout on disk."""
+"""Whole entities: change feeds and streams of a table, the customer dimension in its closed schema, every class table, rules, layout on disk."""
 
 from __future__ import annotations
 
@@ -9,34 +9,53 @@ from vaultspark.config import THRESHOLDS, UNKNOWN
 from vaultspark.functions.classify import threshold_class
 from vaultspark.functions.keys import business_key, change_hash, surrogate_key
 from vaultspark.operators import quality
+from vaultspark.operators.cdc import arrivals, snapshot_changes
 from vaultspark.operators.layout import write_sorted
 from vaultspark.operators.loaders import changed_rows, load_time, new_by_key
 from vaultspark.plans.registry import query, table
 from vaultspark.plans.star import DEPOSIT, SQL_FACT, WITHDRAWAL, _case, _dim_operation, fact
 from vaultspark.plans.vault import DAY_1, DAY_2, SQL_DAY_2, day_2, hub_customer_rows
+from vaultspark.sources.ingest import file_stream
 from vaultspark.sources.scratch import scratch_path
 from vaultspark.sources.store import VersionedTable
 from vaultspark.specs import bank
-from vaultspark.streaming.flows import feeding
+from vaultspark.streaming.flows import fanning_out, run_available, sinking, table_stream
 
 
 @query(f"""WITH {SQL_DAY_2} SELECT c_custkey AS IdentificadorCliente, CAST(0 AS BIGINT) AS VersionCarga FROM customer WHERE c_custkey > 0
 UNION ALL SELECT c_custkey, 1 FROM day_2 WHERE c_custkey > 0 AND c_custkey NOT IN (SELECT c_custkey FROM customer)""")
 def table_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bronze table gets two snapshots; the hub is fed from its change feed after each, and keeps the commit that brought a key."""
+    """A bronze table gets two snapshots; the hub is fed from the change feed between each and the one before, and keeps the version that
+    brought a key."""
     customer = table(spark, sf_dir, "customer")
-    path = scratch_path(spark, "feed")
-    bronze, hub = VersionedTable(spark, f"{path}-bronze"), VersionedTable(spark, f"{path}-hub")
+    hub, before = VersionedTable(spark, scratch_path(spark, "feed-hub")), customer.limit(0)
+    for version, snapshot in enumerate((customer, day_2(customer))):
+        came = arrivals(snapshot_changes(before, snapshot, ["c_custkey"]), version, load_time(DAY_1))
+        rows = hub_customer_rows(came, F.col("VersionCarga"))
+        hub.append(new_by_key(rows, hub.read(), ["Hash_Cliente"]), version)
+        before = snapshot
+    return hub.read().select("IdentificadorCliente", "VersionCarga")
 
-    def load(rows: DataFrame) -> DataFrame:
-        new = hub_customer_rows(rows).join(rows.select(business_key("c_custkey").alias("Hash_Cliente"), F.col("_commit_version").alias("VersionCarga")).distinct(), "Hash_Cliente")
-        return new_by_key(new, hub.read(), ["Hash_Cliente"])
 
-    for snapshot in (customer, day_2(customer)):
-        bronze.append(snapshot)
-        while feeding(bronze, hub, load):
-            pass
-    return hub.read().select("IdentificadorCliente", "VersionCarga")
+@query("SELECT o_orderkey AS IdentificadorTransaccion, o_orderstatus AS TipoTransaccion, CAST(o_totalprice AS DECIMAL(18,2)) AS monto, CAST(o_orderkey % 2 AS BIGINT) AS VersionCarga FROM orders")
+def stream_over_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders land in two drops and are streamed into a bronze table; a second stream reads that table and feeds hub and satellite, which
+    keep the batch that brought a row. Each stream runs once more without news."""
+    orders, path = table(spark, sf_dir, "orders"), scratch_path(spark, "table-stream")
+    key, version = business_key("o_orderkey").alias("Hash_Transaccion"), F.col("VersionCarga")
+    projections = {
+        "hub": [key, F.col("o_orderkey").alias("IdentificadorTransaccion"), version],
+        "sat": [key, F.col("o_orderstatus").alias("TipoTransaccion"), F.col("o_totalprice").cast("decimal(18,2)").alias("monto")],
+    }
+    targets = {name: VersionedTable(spark, f"{path}-{name}") for name in projections}
+    fan = fanning_out(targets, projections)
+    handle = lambda rows, batch: fan(rows.withColumn("VersionCarga", F.lit(batch).cast("long")), batch)
+    for drop in (0, 1, 1):
+        if not targets["hub"].exists() or targets["hub"].last_batch < drop:
+            orders.filter(F.col("o_orderkey") % 2 == drop).write.parquet(f"{path}-landing/{drop}")
+        sinking(file_stream(spark, f"{path}-landing/*", orders.schema), f"{path}-bronze", f"{path}-bronze-checkpoint")
+        run_available(table_stream(spark, f"{path}-bronze"), handle, f"{path}-silver-checkpoint")
+    return targets["hub"].read().join(targets["sat"].read(), "Hash_Transaccion").drop("Hash_Transaccion")
 
 
 INCOME = THRESHOLDS["CATEGORIA_INGRESOS"]

@@ -46,8 +46,8 @@ def customer_satellite(customer: DataFrame, day: str) -> DataFrame:
     return rows.withColumn("Hash_Diferenciador", hashed).withColumn("FechaRegistro", load_time(day)).withColumn("FuenteDatos", F.lit("bronze.customer"))
 
 
-def hub_customer_rows(customer: DataFrame) -> DataFrame:
-    rows = customer.select(business_key("c_custkey").alias("Hash_Cliente"), F.col("c_custkey").alias("IdentificadorCliente"), F.lit("bronze.customer").alias("FuenteDatos"))
+def hub_customer_rows(customer: DataFrame, *more) -> DataFrame:
+    rows = customer.select(business_key("c_custkey").alias("Hash_Cliente"), F.col("c_custkey").alias("IdentificadorCliente"), F.lit("bronze.customer").alias("FuenteDatos"), *more)
     return quality.drop(rows, quality.RULES["hub_customer"]["drop"])
 
 

@@ -1,15 +1,18 @@
 """Versioned tables on Parquet: files are written first, then a small numbered state file names those that count.
 
 A state file appears whole, under the next number, or not at all, and the newest wins; so a reader sees the state before or after
-a write, never between, and a writer that dies leaves the last state in force. A writer that finds its number taken
-fails: two writers never overwrite each other. A batch id at or below the last one recorded is skipped, so a stream's
-replays change nothing. All file operations go through Hadoop's FileSystem, so any store that Spark reaches will do.
+a write, never between, and a writer that dies leaves the last state in force. A writer commits only on top of the state that it
+read: if any other has been committed since, however many, it fails and has to begin anew. A batch id at or below the last
+one recorded is skipped, so a stream's replays change nothing.
+
+File operations go through Hadoop. That two writers who commit in the same instant can't both succeed rests on a rename that
+refuses an existing target, which HDFS does in one step; elsewhere the state is read again after the rename, and one who finds another's
+fails. Object stores that copy on rename leave a gap there: use one writer per table, as the flows do.
 """
 
 from __future__ import annotations
 
 import json
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,7 @@ from vaultspark.operators.layout import keys_first
 
 #: State files that stay behind the newest, for readers that have just listed them.
 KEPT = 2
+NOTHING = {"parts": {}, "version": -1, "last_batch": -1}
 
 
 class VersionedTable:
@@ -37,30 +41,47 @@ class VersionedTable:
         return sorted((s.getPath() for s in fs.globStatus(pattern) or []), key=lambda p: p.getName())
 
     def _state(self) -> dict:
-        """parts (name to folder), commits (folder to version and time), version, last_batch, and feed_from: the version after which
-        changes() knows every row."""
+        """parts (name to folder), version and last_batch."""
         states = self._states()
-        if not states:
-            return {"parts": {}, "commits": {}, "version": -1, "last_batch": -1, "feed_from": -1}
-        stream = states[-1].getFileSystem(self.spark._jsc.hadoopConfiguration()).open(states[-1])
+        return self._load(states[-1]) if states else NOTHING
+
+    def _load(self, path) -> dict:
+        stream = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).open(path)
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _commit(self, state: dict, parts: dict[str, str], batch_id: int | None, appended: bool = False) -> None:
-        version, now = state["version"] + 1, int(time.time() * 1000)
-        last = state["last_batch"] if batch_id is None else batch_id
-        commits = {p: state["commits"].get(p, [version, now]) for p in parts.values()}
-        new = {"parts": parts, "commits": commits, "version": version, "last_batch": last, "feed_from": state["feed_from"] if appended else version}
-        fs, next_ = self._file(f"_NEXT-{uuid.uuid4().hex}")
+    def _publish(self, from_, to) -> None:
+        """Renames a file; an existing target is never overwritten."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        options = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        hadoop.FileContext.getFileContext(to.toUri(), self.spark._jsc.hadoopConfiguration()).rename(from_, to, options)
+
+    def _commit(self, state: dict, parts: dict[str, str], batch_id: int | None) -> None:
+        """The state after `state`, unless another one has come after it."""
+        version, writer = state["version"] + 1, uuid.uuid4().hex
+        new = {"parts": parts, "version": version, "last_batch": state["last_batch"] if batch_id is None else batch_id, "writer": writer}
+        fs, next_ = self._file(f"_NEXT-{writer}")
         out = fs.create(next_, False)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
         _, path = self._file(f"_STATE-{version:012d}")
-        if fs.exists(path) or not fs.rename(next_, path):
-            raise RuntimeError(f"{self.path}: another writer has committed version {version}")
-        for old in self._states()[: -1 - KEPT]:
+        states = self._states()
+        newest = int(states[-1].getName().removeprefix("_STATE-")) if states else -1
+        stale = RuntimeError(f"{self.path}: another writer has committed since version {state['version']} was read")
+        if newest != version - 1:
+            fs.delete(next_, False)
+            raise stale
+        try:
+            self._publish(next_, path)
+        except Exception as e:  # py4j wraps the store's FileAlreadyExistsException
+            if not fs.exists(path):
+                raise
+            raise stale from e
+        if self._load(path)["writer"] != writer:
+            raise stale
+        for old in states[: -KEPT]:
             fs.delete(old, False)
 
     @property
@@ -88,20 +109,6 @@ class VersionedTable:
         touched = [r[0] for r in batch.select(bucket(buckets, *keys)).distinct().collect()]  # at most `buckets` numbers
         return self._rows([state["parts"][str(b)] for b in touched if str(b) in state["parts"]])
 
-    def changes(self, after: int) -> DataFrame | None:
-        """The rows appended by commits after a version, with _change_type, _commit_version and _commit_timestamp; None if there
-        are none. A table that was replaced, merged or compacted since then has no such feed, and says so."""
-        state = self._state()
-        if after < state["feed_from"]:
-            raise ValueError(f"{self.path}: no change feed before version {state['feed_from']}")
-        out = None
-        for part, (version, now) in sorted(state["commits"].items(), key=lambda x: x[1]):
-            if version > after:
-                columns = [F.lit("insert").alias("_change_type"), F.lit(version).cast("long").alias("_commit_version"), F.timestamp_millis(F.lit(now)).alias("_commit_timestamp")]
-                rows = self.spark.read.parquet(part).select("*", *columns)
-                out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-        return out
-
     def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.path}/{name}-{uuid.uuid4().hex}"
         df = keys_first(df, self.layout_keys) if self.layout_keys else df
@@ -115,7 +122,7 @@ class VersionedTable:
         state = self._state()
         if not self._seen(state, batch_id):
             part = self._write(df, "part")
-            self._commit(state, state["parts"] | {part: part}, batch_id, appended=True)
+            self._commit(state, state["parts"] | {part: part}, batch_id)
 
     def replace(self, df: DataFrame, batch_id: int | None = None) -> None:
         """Full refresh; df may be computed from the table itself."""
@@ -124,32 +131,17 @@ class VersionedTable:
             part = self._write(df, "full")
             self._commit(state, {part: part}, batch_id)
 
-    def compact(self, fan_in: int = 16) -> bool:
-        """Rewrites as one the appended parts of one size class that has at least fan_in of them, if there is such a class: a row is
-        rewritten a number of times that grows with the logarithm of the table's parts. Whether anything was done."""
-        state, classes = self._state(), {}
-        for part in {*state["parts"].values()}:
-            level = part.rsplit("/", 1)[1].split("-")[0]
-            if level == "part" or level.startswith("merged"):
-                classes.setdefault(int(level[6:] or 0), []).append(part)
-        for level, parts in sorted(classes.items()):
-            if len(parts) >= fan_in:
-                part = self._write(self._rows(parts), f"merged{level + 1}")
-                rest = {k: v for k, v in state["parts"].items() if v not in parts}
-                self._commit(state, rest | {part: part}, None)
-                return True
-        return False
-
     def upsert(self, batch: DataFrame, keys: list[str], sequence: list[str], batch_id: int | None = None, buckets: int = 1) -> None:
         """The latest row per key stays. With several buckets of the keys' hash only those that the batch touches are
-        read and written; a table keeps the number of buckets it began with."""
+        read and written; a table keeps the number of buckets it began with. A column that only the batch or only the table has is
+        null in the other's rows."""
         state = self._state()
         if self._seen(state, batch_id):
             return
         keyed = batch.withColumn("_bucket", bucket(buckets, *keys))
         touched = [r["_bucket"] for r in keyed.select("_bucket").distinct().collect()]  # at most `buckets` numbers
         old = [state["parts"][str(b)] for b in touched if str(b) in state["parts"]]
-        merged = upsert_latest(self.spark.read.parquet(*old) if old else None, keyed, ["_bucket", *keys], sequence)
+        merged = upsert_latest(self.spark.read.option("mergeSchema", True).parquet(*old) if old else None, keyed, ["_bucket", *keys], sequence)
         part = f"{self.path}/upsert-{uuid.uuid4().hex}"
         # one folder per bucket; the column is kept inside the files too, so that folders can be read one by one
         merged.withColumn("_in", F.col("_bucket")).write.option("compression", "zstd").partitionBy("_in").parquet(part)

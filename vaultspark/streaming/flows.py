@@ -25,6 +25,17 @@ def run_continuously(stream: DataFrame, handle: Callable[[DataFrame, int], None]
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+def sinking(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends what is there now to a table that streams can read: Spark's file sink, which lists the files of finished batches, so
+    table_stream() and batch reads see each row once, whatever has failed in between."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream over a table that sinking() keeps: its rows as they come, each file once."""
+    return file_stream(spark, path, spark.read.parquet(path).schema)
+
+
 def appending(table: VersionedTable) -> Callable[[DataFrame, int], None]:
     return lambda rows, batch: table.append(rows, batch)
 
@@ -64,16 +75,6 @@ def detecting_changes(table: VersionedTable, key: str, change: str, time: str, s
     return handle
 
 
-def feeding(source: VersionedTable, target: VersionedTable, handle: Callable[[DataFrame], DataFrame]) -> bool:
-    """Appends to target what handle makes of the rows that source got since the version target has seen, once each. Whether there
-    were any."""
-    version = source.version
-    rows = source.changes(target.last_batch) if version > target.last_batch else None
-    if rows is not None:
-        target.append(handle(rows.filter(F.col("_commit_version") <= version)), version)
-    return rows is not None
-
-
 def fanning_out(tables: dict[str, VersionedTable], projections: dict[str, list]) -> Callable[[DataFrame, int], None]:
     """Several targets from one read of each batch."""
 
