@@ -129,7 +129,7 @@ def test_enriched_rows_do_not_fan_out(spark):
     mapping = spark.createDataFrame([("c", 1), ("c", 1)], "c string, id int")
     kinds = F.col("kind").isin("F", "O")
     assert rows(gold.enriched(trx, kinds, link, mapping, "t", "c"), "t", "id") == [("t1", 1)]
-    assert rows(gold.unmatched(trx, kinds, link, mapping, "t", "c"), "t") == [("t3",), ("t4",)]
+    assert rows(gold.resolved(trx, kinds, link, mapping, "t", "c").filter("NOT _ready"), "t") == [("t3",), ("t4",)]
 
 
 def test_closed_schema_names_column_and_entity(spark):

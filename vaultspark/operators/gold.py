@@ -53,10 +53,12 @@ def enriched(transactions: DataFrame, kinds: Column, link: DataFrame, mapping: D
     return out
 
 
-def unmatched(transactions: DataFrame, kinds: Column, link: DataFrame, mapping: DataFrame, transaction: str, parent: str) -> DataFrame:
-    """Transactions that enriched() leaves out, for a later batch."""
-    known = link.select(transaction, parent).join(mapping.select(parent), parent, "left_semi")
-    return transactions.filter(kinds).join(known.select(transaction), transaction, "left_anti")
+def resolved(transactions: DataFrame, kinds: Column, link: DataFrame, mapping: DataFrame, transaction: str, parent: str) -> DataFrame:
+    """Every transaction of the wanted kinds with its parent's keys and _ready: whether link and map know it. Keys of those that are
+    not ready are null. The static sides are reduced as in enriched()."""
+    out = transactions.filter(kinds).join(first_per_key(link.select(transaction, parent), [transaction]), transaction, "left")
+    known = first_per_key(mapping, [parent]).withColumn("_known", F.lit(True))
+    return out.join(known, parent, "left").withColumn("_ready", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
 def atm_flags(kind: str, withdrawal: str, deposit: str) -> list[Column]:

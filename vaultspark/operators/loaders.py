@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vaultspark.sources.scratch import stored
+
 
 def load_time(fixed=None) -> Column:
     """The current time, or a fixed one for reproducible runs."""
@@ -34,6 +36,34 @@ def new_by_key(batch: DataFrame, target: DataFrame | None, keys: list[str], orde
     return one if target is None else one.join(target.select(*keys), keys, "left_anti")
 
 
+#: Words of 64 bits in the table of a batch's keys: 16 MB as rows, whatever the batch holds.
+KEY_WORDS = 1 << 20
+
+
+def _word_and_bit(keys: list[str], words: int) -> tuple[Column, Column]:
+    h = F.xxhash64(*keys)
+    return F.pmod(F.shiftright(h, 6), F.lit(words)).alias("_word"), F.pmod(h, F.lit(64)).cast("int").alias("_bit")
+
+
+def may_have_keys(target: DataFrame, batch: DataFrame, keys: list[str], words: int = KEY_WORDS) -> DataFrame:
+    """The key columns of target's rows whose key may be in batch: all that are, and few others while batch has fewer keys than a few
+    million. The batch's keys become bits of a table of at most `words` rows, which is broadcast, so the target is read past it
+    and what is left is all that a join has to move."""
+    word, bit = _word_and_bit(keys, words)
+    bits = batch.select(word, bit).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    held = target.select(*keys, word, bit).join(F.broadcast(bits), "_word")  # at most `words` rows
+    return held.filter(F.getbit("_bits", F.col("_bit")) == 1).select(*keys)
+
+
+def new_by_key_pruned(batch: DataFrame, target: DataFrame | None, keys: list[str], order: list[Column] | None = None, words: int = KEY_WORDS) -> DataFrame:
+    """As new_by_key(), for a target much larger than the batch: the target's keys are pruned by the batch's before anything is
+    shuffled, so a load moves about as many rows as the batch has. The batch is reduced to one row per key once, and stored."""
+    if target is None:
+        return new_by_key(batch, None, keys, order)
+    one = stored(first_per_key(batch, keys, order), "batch-keys")
+    return one.join(may_have_keys(target, one, keys, words), keys, "left_anti")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row per key by order (ascending columns, null first), ties to the larger of all other columns. Aggregated like
     first_per_key."""
@@ -43,22 +73,37 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def preceding(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str = "_before") -> DataFrame:
+    """df with a struct of columns of the row before each row, by order among rows of the same keys (nulls are one key), null for a key's first
+    row. Rows are range-partitioned by keys and order, so a key of any size is spread over tasks; what a range needs of the one
+    before it is that one's last row, and there is one such row per range."""
+    by = [*keys, *(c for c in order if c not in keys)]
+    placed = stored(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    row = F.struct(F.struct(*keys).alias("key"), F.struct(*columns).alias("row"))
+    last = placed.groupBy("_range").agg(F.max_by(row, F.struct(*by)).alias("_last"))
+    last = last.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_carried"))  # one row per range
+    before = F.coalesce(F.lag(row).over(Window.partitionBy("_range").orderBy(*by)), F.col("_carried"))
+    out = placed.join(F.broadcast(last), "_range").withColumn("_found", before)  # one row per range
+    same = F.col("_found.key").eqNullSafe(F.struct(*keys))
+    return out.withColumn(name, F.when(same, F.col("_found.row"))).drop("_range", "_carried", "_found")
+
+
 def changed_rows(batch: DataFrame, target: DataFrame | None, key: str, change: str = "Hash_Diferenciador", time: str = "FechaRegistro", sequence: str | None = None) -> DataFrame:
     """State-satellite loader: rows of batch that differ from the version the target holds last.
 
     Rows with the same key and change hash are one. Without sequence every distinct version is compared with the target's
     latest. With sequence (a column that orders the batch) a version is new if it differs from the one before it, the first
-    from the target's latest, so A, B, A within a batch gives three rows.
+    from the target's latest, so A, B, A within a batch gives three rows; only a key's first row meets the target, so a key
+    with most of the batch's rows is no burden.
     """
+    now = None if target is None else target.groupBy(key).agg(F.max_by(change, F.struct(time, change)).alias("_now"))
+    differs = F.col("_now").isNull() | (F.col("_now") != F.col(change))
     if sequence is None:
         rows = first_per_key(batch, [key, change])
-    else:
-        order = Window.partitionBy(key).orderBy(sequence, change)
-        rows = batch.withColumn("_last", F.lag(change).over(order)).filter(F.col("_last").isNull() | (F.col("_last") != F.col(change)))
-        rows = rows.withColumn("_first", F.col("_last").isNull()).drop("_last")
-    if target is not None:
-        now = target.groupBy(key).agg(F.max_by(change, F.struct(time, change)).alias("_now"))
-        rows = rows.join(now, key, "left")
-        new = F.col("_now").isNull() | (F.col("_now") != F.col(change))
-        rows = rows.filter(new if sequence is None else new | ~F.col("_first")).drop("_now")
-    return rows.drop("_first") if sequence is not None else rows
+        return rows if now is None else rows.join(now, key, "left").filter(differs).drop("_now")
+    rows = preceding(batch, [key], [sequence, change], [change])
+    rows = rows.filter(F.col("_before").isNull() | ~F.col(f"_before.{change}").eqNullSafe(F.col(change)))
+    if now is None:
+        return rows.drop("_before")
+    first = rows.filter(F.col("_before").isNull()).join(now, key, "left").filter(differs).drop("_now")
+    return rows.filter(F.col("_before").isNotNull()).unionByName(first).drop("_before")

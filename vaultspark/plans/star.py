@@ -20,7 +20,7 @@ from vaultspark.sources.ingest import file_stream
 from vaultspark.sources.scratch import scratch_path, stored
 from vaultspark.sources.store import VersionedTable
 from vaultspark.specs import bank
-from vaultspark.streaming.flows import run_available
+from vaultspark.streaming.flows import enriching, run_available
 
 WITHDRAWAL, DEPOSIT = "F", "O"
 
@@ -345,33 +345,26 @@ def _enriched_rows(orders: DataFrame) -> DataFrame:
     return orders.select(business_key("o_orderkey").alias("Hash_Transaccion"), F.col("o_orderkey").alias("IdentificadorTransaccion"), F.col("o_orderstatus").alias("TipoTransaccion"), F.col("o_totalprice").alias("MontoPrincipal"))
 
 
-@query(f"""WITH {SQL_FACT} SELECT o_orderkey AS IdentificadorTransaccion, CASE WHEN o_orderkey % 2 = 1 AND o_custkey % 5 = 0 THEN sha256('moved|' || Hash_Operacion) ELSE Hash_Operacion END AS Hash_Operacion,
-  CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 7 <> 0 THEN 0 ELSE 1 END AS run
-FROM fact JOIN dominant ON sha256(CAST(o_custkey AS VARCHAR)) = Hash_Cliente""")
+@query(f"""WITH {SQL_FACT}, came AS (SELECT fact.*, Hash_Operacion, CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 7 <> 0 THEN 0 ELSE 1 END AS run
+  FROM fact JOIN dominant ON sha256(CAST(o_custkey AS VARCHAR)) = Hash_Cliente)
+SELECT o_orderkey AS IdentificadorTransaccion, CASE WHEN run = 1 AND o_custkey % 5 = 0 THEN sha256('moved|' || Hash_Operacion) ELSE Hash_Operacion END AS Hash_Operacion, run FROM came""")
 def enriched_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders land in two runs, joined with links and key map on the stream. The map of the first run lacks a seventh of the
-    customers, whose orders wait and are tried again; that of the second names other operations for a fifth. Keys are those
-    that held when a row was appended."""
+    """Orders land in two runs and get their keys on the stream. The map of the first run lacks a seventh of the customers, whose
+    orders wait; that of the second has them, and names other operations for a fifth of all. Keys are those of the run in which
+    a row was appended, also for rows that waited."""
     orders, path = table(spark, sf_dir, "orders"), scratch_path(spark, "enriched")
     link = stored(customer_order_link(orders), "link")
     customers = table(spark, sf_dir, "customer").select(business_key("c_custkey").alias("Hash_Cliente"), F.col("c_custkey").alias("k"))
     whole = stored(_key_map(spark, sf_dir).join(first_per_key(customers, ["Hash_Cliente"]), "Hash_Cliente"), "map")
     moved = F.when(F.col("k") % 5 == 0, business_key(F.lit("moved"), "Hash_Operacion")).otherwise(F.col("Hash_Operacion"))
-    # an operation moves only for orders that come in the second run, so those that waited keep the first one's
     maps = [whole.filter("k % 7 <> 0").drop("k"), whole.withColumn("Hash_Operacion", moved).drop("k")]
-    target, pending = VersionedTable(spark, f"{path}-target"), VersionedTable(spark, f"{path}-pending")
+    target, work = VersionedTable(spark, f"{path}-target"), VersionedTable(spark, f"{path}-work")
     kinds = F.col("TipoTransaccion").isin(WITHDRAWAL, DEPOSIT)
+    columns = ["Hash_Transaccion", "IdentificadorTransaccion", "TipoTransaccion", "MontoPrincipal"]
     for run, mapping in enumerate(maps):
         orders.filter(F.col("o_orderkey") % 2 == run).write.parquet(f"{path}/{run}")
-        stream = _enriched_rows(file_stream(spark, f"{path}/*", orders.schema))
-        add = lambda rows, batch, run=run: target.append(rows.withColumn("run", F.lit(run)), 2 * batch)
-        run_available(gold.enriched(stream, kinds, link, mapping, "Hash_Transaccion", "Hash_Cliente"), add, f"{path}-checkpoint")
-        landed = _enriched_rows(spark.read.schema(orders.schema).parquet(f"{path}/{run}"))
-        waiting = landed if not pending.exists() else landed.unionByName(pending.read().select(*landed.columns))
-        if pending.exists():
-            again = gold.enriched(pending.read(), kinds, link, whole.drop("k"), "Hash_Transaccion", "Hash_Cliente")
-            target.append(again.withColumn("run", F.lit(run)), 2 * run + 1)
-        pending.replace(gold.unmatched(waiting, kinds, link, mapping, "Hash_Transaccion", "Hash_Cliente"), run)
+        resolve = lambda rows, run=run, mapping=mapping: gold.resolved(rows, kinds, link, mapping, "Hash_Transaccion", "Hash_Cliente").withColumn("run", F.lit(run))
+        run_available(_enriched_rows(file_stream(spark, f"{path}/*", orders.schema)), enriching(target, work, resolve, columns), f"{path}-checkpoint")
     rules = {"kind_known": f"TipoTransaccion IN ('{WITHDRAWAL}', '{DEPOSIT}')"}
     rows = quality.enforce(target.read(), quality.RULES["enriched"]["fail"] | rules, "enriched")
     return rows.select("IdentificadorTransaccion", "Hash_Operacion", "run")

@@ -15,7 +15,7 @@ from vaultspark.functions.keys import business_key, change_hash
 from vaultspark.operators import quality
 from vaultspark.operators.cdc import arrivals, snapshot_changes
 from vaultspark.operators.layout import renamed, write_sorted
-from vaultspark.operators.loaders import changed_rows, load_time, new_by_key
+from vaultspark.operators.loaders import changed_rows, load_time, new_by_key, new_by_key_pruned
 from vaultspark.plans.registry import query, table
 from vaultspark.sources.ingest import file_stream, ingest_drop, with_load_columns, with_parts
 from vaultspark.sources.scratch import scratch_path, stored
@@ -96,6 +96,18 @@ def hub_incremental_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_by_key(hub_customer_rows(day_2(customer)), hub_customer_rows(customer), ["Hash_Cliente"])
 
 
+@query("""SELECT sha256(l_orderkey || '|' || l_linenumber) AS Hash_Operacion, l_orderkey AS orden, l_linenumber AS linea FROM (
+  SELECT DISTINCT l_orderkey + 100000000 AS l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 200 < 2)""")
+def hub_pruned_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundredth of the line items is delivered again, and once more under new order keys: the batch meets the hub of all line
+    items, whose keys are pruned by the batch's before the anti-join."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    again = lines.filter("l_orderkey % 200 < 2")
+    rows = lambda df: df.select(business_key("l_orderkey", "l_linenumber").alias("Hash_Operacion"), F.col("l_orderkey").alias("orden"), F.col("l_linenumber").alias("linea"))
+    hub = stored(new_by_key(rows(lines), None, ["Hash_Operacion"]), "hub")
+    return new_by_key_pruned(rows(again.unionByName(again.withColumn("l_orderkey", F.col("l_orderkey") + 100_000_000))), hub, ["Hash_Operacion"])
+
+
 def customer_order_link(orders: DataFrame) -> DataFrame:
     pair = orders.select(business_key("o_custkey").alias("Hash_Cliente"), business_key("o_orderkey").alias("Hash_Transaccion"))
     return pair.withColumn("Hash_Link", business_key("Hash_Cliente", "Hash_Transaccion"))
@@ -151,6 +163,17 @@ def satellite_revert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read().select("user_id", "event_id", "event_type")
 
 
+@query("""WITH hot AS (SELECT event_id, event_type, CASE WHEN event_id % 10 <> 3 THEN 0 ELSE user_id END AS u FROM events)
+SELECT u AS user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY u ORDER BY event_id) AS before FROM hot) WHERE before IS NULL OR before <> event_type""")
+def satellite_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """satellite_revert_stream where one user has nine tenths of the events: that user's rows are compared in ranges, not in one task."""
+    target = VersionedTable(spark, scratch_path(spark, "hot-versions"))
+    user = F.when(F.col("event_id") % 10 != 3, F.lit(0).cast("long")).otherwise(F.col("user_id"))
+    change = change_hash(business_key(user), "event_type").alias("Hash_Diferenciador")
+    _event_batches(spark, sf_dir, 2, detecting_changes(target, "user_id", "Hash_Diferenciador", "event_id", "event_id"), user.alias("user_id"), "event_id", "event_type", change)
+    return target.read().select("user_id", "event_id", "event_type")
+
+
 @query("""SELECT o_orderkey AS transaccion, CAST(o_totalprice AS DECIMAL(18,2)) AS monto FROM orders
 UNION ALL SELECT o_orderkey + 100000000, CAST(o_totalprice + 1 AS DECIMAL(18,2)) FROM orders WHERE o_orderkey % 50 = 0""")
 def transaction_satellite_first_write(spark: SparkSession, sf_dir: str) -> DataFrame:

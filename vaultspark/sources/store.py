@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,17 +98,16 @@ class VersionedTable:
         return bool(self._state()["parts"])
 
     def _rows(self, parts: list[str]) -> DataFrame | None:
-        return self.spark.read.option("mergeSchema", True).parquet(*sorted(parts)).drop("_bucket") if parts else None
+        return self.spark.read.option("mergeSchema", True).parquet(*sorted(parts)) if parts else None
 
     def read(self) -> DataFrame | None:
         """All rows, or None on the first run."""
         return self._rows(list({*self._state()["parts"].values()}))
 
-    def read_touched(self, batch: DataFrame, keys: list[str], buckets: int) -> DataFrame | None:
-        """Of a table that upsert() keeps, the rows of the buckets that the batch's keys fall in, or None if there are none."""
-        state = self._state()
-        touched = [r[0] for r in batch.select(bucket(buckets, *keys)).distinct().collect()]  # at most `buckets` numbers
-        return self._rows([state["parts"][str(b)] for b in touched if str(b) in state["parts"]])
+    def read_buckets(self, numbers: list[int]) -> DataFrame | None:
+        """Of a table that upsert() or merge() keeps, the rows of some buckets, or None if there are none."""
+        parts = self._state()["parts"]
+        return self._rows([parts[str(b)] for b in numbers if str(b) in parts])
 
     def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.path}/{name}-{uuid.uuid4().hex}"
@@ -131,19 +131,25 @@ class VersionedTable:
             part = self._write(df, "full")
             self._commit(state, {part: part}, batch_id)
 
-    def upsert(self, batch: DataFrame, keys: list[str], sequence: list[str], batch_id: int | None = None, buckets: int = 1) -> None:
-        """The latest row per key stays. With several buckets of the keys' hash only those that the batch touches are
-        read and written; a table keeps the number of buckets it began with. A column that only the batch or only the table has is
-        null in the other's rows."""
+    def merge(self, batch: DataFrame, keys: list[str], how: Callable[[DataFrame | None, DataFrame], DataFrame], batch_id: int | None = None, buckets: int = 1) -> None:
+        """Replaces rows by how(old, batch): of a table in buckets of the keys' hash, only those that the batch touches are read and
+        written. how() sees whole buckets (None if there are none yet) and keeps keys in theirs. A table keeps the number of buckets
+        it began with."""
         state = self._state()
         if self._seen(state, batch_id):
             return
-        keyed = batch.withColumn("_bucket", bucket(buckets, *keys))
-        touched = [r["_bucket"] for r in keyed.select("_bucket").distinct().collect()]  # at most `buckets` numbers
+        touched = touched_buckets(batch, keys, buckets)
         old = [state["parts"][str(b)] for b in touched if str(b) in state["parts"]]
-        merged = upsert_latest(self.spark.read.option("mergeSchema", True).parquet(*old) if old else None, keyed, ["_bucket", *keys], sequence)
         part = f"{self.path}/upsert-{uuid.uuid4().hex}"
-        # one folder per bucket; the column is kept inside the files too, so that folders can be read one by one
-        merged.withColumn("_in", F.col("_bucket")).write.option("compression", "zstd").partitionBy("_in").parquet(part)
-        now = {str(b): f"{part}/_in={b}" for b in touched}
-        self._commit(state, state["parts"] | now, batch_id)
+        merged = how(self._rows(old), batch).withColumn("_bucket", bucket(buckets, *keys))
+        merged.write.option("compression", "zstd").partitionBy("_bucket").parquet(part)  # one folder per bucket
+        self._commit(state, state["parts"] | {str(b): f"{part}/_bucket={b}" for b in touched}, batch_id)
+
+    def upsert(self, batch: DataFrame, keys: list[str], sequence: list[str], batch_id: int | None = None, buckets: int = 1) -> None:
+        """merge() where the latest row per key stays. A column that only the batch or only the table has is null in the other's rows."""
+        self.merge(batch, keys, lambda old, new: upsert_latest(old, new, keys, sequence), batch_id, buckets)
+
+
+def touched_buckets(batch: DataFrame, keys: list[str], buckets: int) -> list[int]:
+    """The numbers of the buckets that a batch's keys fall in: at most `buckets`, ascending."""
+    return sorted(r[0] for r in batch.select(bucket(buckets, *keys)).distinct().collect())

@@ -12,7 +12,7 @@ from vaultspark.config import Settings
 from vaultspark.operators.loaders import changed_rows, load_time
 from vaultspark.sources.ingest import file_stream, ingest_drop, with_load_columns, with_parts
 from vaultspark.sources.scratch import stored
-from vaultspark.sources.store import VersionedTable
+from vaultspark.sources.store import VersionedTable, touched_buckets
 
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -61,16 +61,33 @@ def detecting_changes(table: VersionedTable, key: str, change: str, time: str, s
     latest = VersionedTable(table.spark, f"{table.path}-latest")
 
     def handle(rows: DataFrame, batch: int) -> None:
-        rows.persist()
-        try:
-            if rows.isEmpty():
-                return
-            new = stored(changed_rows(rows, latest.read_touched(rows, [key], buckets), key, change, time, sequence), "changed")
+        rows = stored(rows, "batch")
+        touched = touched_buckets(rows, [key], buckets)
+        if touched:
+            new = stored(changed_rows(rows, latest.read_buckets(touched), key, change, time, sequence), "changed")
             table.append(new, batch)
-            if not new.isEmpty():
-                latest.upsert(new.select(key, change, time), [key], [time, change], batch, buckets)
-        finally:
-            rows.unpersist()
+            last = new.groupBy(key).agg(F.max_by(change, F.struct(time, change)).alias(change), F.max(time).alias(time))
+            latest.upsert(last, [key], [time, change], batch, buckets)
+
+    return handle
+
+
+def enriching(target: VersionedTable, work: VersionedTable, resolve: Callable[[DataFrame], DataFrame], columns: list[str]) -> Callable[[DataFrame, int], None]:
+    """Transactions that get their keys on the stream, or wait. resolve() adds the keys that hold now and _ready, as gold.resolved() does; what
+    is not ready is tried again with each later batch, and so gets the keys that hold when it is appended.
+
+    A batch and the rows that wait are resolved together, once, and written to `work`, ready or not; then the ready ones are appended. A
+    batch that stops between the two writes finds its decisions in `work` when it is replayed, even if the maps have changed by
+    then: no row is lost or appended twice. `work` holds one batch and what waits, never the history.
+    """
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        if work.last_batch < batch:
+            rows = rows.select(*columns)
+            if work.exists():
+                rows = rows.unionByName(work.read().filter("NOT _ready").select(*columns))
+            work.replace(resolve(rows), batch)
+        target.append(work.read().filter("_ready").drop("_ready"), batch)
 
     return handle
 
