@@ -24,9 +24,9 @@ from vaultspark.llm.common import row_hash, table
 
 #: Longest context in bytes.
 ORDER = 4
-#: The sample: about so many documents of each language, none longer than so many bytes, cut off at so many bytes a language,
-#: for so many languages, the most frequent.
-SAMPLE_DOCS, SAMPLE_DOC_BYTES, SAMPLE_BYTES, MOST_LANGS = 240, 1 << 18, 1 << 19, 64
+#: The sample: about so many documents of each language, pieces of those that are longer than so many bytes, cut off at so many bytes
+#: a language; with more than FULL_LANGS languages at so many bytes of all, shared equally.
+SAMPLE_DOCS, SAMPLE_DOC_BYTES, SAMPLE_BYTES, FULL_LANGS = 240, 1 << 18, 1 << 19, 64
 #: Strings of three bytes and more are in a language's tree if its sample holds them so often.
 LEAST_COUNT = 2
 SEED = 11
@@ -151,19 +151,25 @@ def build_model(samples: dict[str, list[bytes]], order: int = ORDER) -> Language
 def train(docs: DataFrame) -> LanguageModel:
     """A model of the labelled rows of docs (doc_id, text, lang), fitted on a bounded sample: rows are drawn by a hash of doc_id
     and text, with a rate for each language that gives about SAMPLE_DOCS rows and twice SAMPLE_BYTES at most, and only the first
-    of the drawn texts reach the driver. Rows without text or lang teach nothing; of more than MOST_LANGS languages the most
-    frequent are learned."""
-    known = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.octet_length("text") <= SAMPLE_DOC_BYTES))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
-    draw, none = F.pmod(row_hash(SEED, "doc_id", "text"), F.lit(1 << 40)), F.lit(False)
-    for lang, n, size in sizes:
-        rate = min(1.0, SAMPLE_DOCS / n, 2 * SAMPLE_BYTES / size)
-        none = F.when(F.col("lang") == lang, draw < int(rate * (1 << 40))).otherwise(none)
+    of the drawn texts reach the driver. Every language is learned, from at least its first row in order of the hash; of a text longer
+    than SAMPLE_DOC_BYTES a piece at a place of its own stands for it. Rows without text or lang teach nothing. One row per
+    language is broadcast, and the model grows with the number of languages."""
+    draw = F.pmod(row_hash(SEED, "doc_id", "text"), F.lit(1 << 40))
+    most = SAMPLE_DOC_BYTES // 4  # characters have up to four bytes
+    at = F.pmod(row_hash(SEED + 1, "doc_id", "text"), F.greatest(F.length("text") - most, F.lit(1)).cast("long")).cast("int") + 1
+    piece = F.when(F.octet_length("text") <= SAMPLE_DOC_BYTES, F.col("text")).otherwise(F.substring("text", at, F.lit(most)))
+    known = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", draw.alias("draw"), piece.alias("text"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("draw").alias("least")).collect()
+    if not sizes:
+        return build_model({})
+    budget = SAMPLE_BYTES * FULL_LANGS // max(FULL_LANGS, len(sizes))
+    limits = [(r["lang"], max(int(min(1.0, SAMPLE_DOCS / r["n"], 2 * budget / r["bytes"]) * (1 << 40)), r["least"] + 1)) for r in sizes]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, below long"))  # one row per language
+    drawn = known.join(wanted, "lang").filter("draw < below").select("lang", "draw", F.col("text").cast("binary").alias("text")).orderBy("draw", "lang", "text")
     samples: dict[str, list[bytes]] = {}
-    drawn = known.filter(none).select("lang", draw.alias("draw"), F.col("text").cast("binary").alias("text")).orderBy("draw", "lang", "text")
-    for r in drawn.limit(2 * SAMPLE_DOCS * len(sizes)).collect() if sizes else []:
+    for r in drawn.limit((2 * SAMPLE_DOCS + 1) * len(sizes)).collect():
         texts = samples.setdefault(r["lang"], [])
-        if not texts or sum(map(len, texts)) + len(r["text"]) <= SAMPLE_BYTES:
+        if not texts or sum(map(len, texts)) + len(r["text"]) <= budget:
             texts.append(bytes(r["text"]))
     return build_model(samples)
 
