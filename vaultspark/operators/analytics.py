@@ -33,3 +33,29 @@ def outliers(totals: DataFrame, group: str, value: str, limit: float = 2.0) -> D
     stats = totals.groupBy(group).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
     z = (F.col(value) - F.col("_mean")) / F.when(F.col("_sd") > 0, F.col("_sd"))
     return totals.join(stats, group).withColumn("z", F.round(z, 4)).filter(F.abs("z") > limit).drop("_mean", "_sd")
+
+
+#: Ids of one bitmap: Spark's bitmap functions hold so many bits.
+BITMAP = 32768
+
+
+def distinct_states(rows: DataFrame, by: list[str], amount: str, member: str) -> DataFrame:
+    """Mergeable states of count, sum and exact distinct members per group: by, _page, n, total (decimal) and members (a bitmap). member is a
+    dense id of 0 or more, null for none; the members of a group are spread over pages of BITMAP ids, so a state row has a fixed
+    size and a group of any size is aggregated in parts. Rows are combined before the shuffle."""
+    page = F.coalesce(F.floor(F.col(member) / BITMAP), F.lit(-1)).cast("long")
+    bits = F.bitmap_construct_agg(F.when(F.col(member).isNotNull(), F.pmod(F.col(member), F.lit(BITMAP))))
+    value = F.col(amount).cast("decimal(18,2)")
+    return rows.groupBy(*by, page.alias("_page")).agg(F.count("*").alias("n"), F.coalesce(F.sum(value), F.lit(0)).cast("decimal(28,2)").alias("total"), bits.alias("members"))
+
+
+def merged_states(old: DataFrame | None, new: DataFrame, by: list[str]) -> DataFrame:
+    """The states of the rows of both: of any rows, in any order and grouping, the same states."""
+    rows = new if old is None else old.select(new.columns).unionByName(new)
+    sums = [F.sum("n").alias("n"), F.sum("total").cast("decimal(28,2)").alias("total"), F.bitmap_or_agg("members").alias("members")]
+    return rows.groupBy(*by, "_page").agg(*sums)
+
+
+def finished_states(states: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, total and members: counts and sums, and how many members are in a bitmap."""
+    return states.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(28,2)").alias("total"), F.sum(F.bitmap_count("members")).alias("members"))

@@ -43,9 +43,23 @@ def change_rates(before: DataFrame, after: DataFrame, key: str, columns: list[st
     a = before.select(key, F.struct(*columns).alias("a"))
     b = after.select(key, F.struct(*columns).alias("b"))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    rates = [F.struct(F.lit(c).alias("column"), F.round(F.avg(F.when(both, (~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).cast("int"))), 6).alias("rate")) for c in columns]
-    out = a.join(b, key, "full_outer").agg(F.array(*rates).alias("_r"), F.count_if(F.col("a").isNull()).alias("added"), F.count_if(F.col("b").isNull()).alias("removed"))
-    return out.select(F.explode("_r").alias("_e"), "added", "removed").select("_e.*", "added", "removed")
+    return _rates(a.join(b, key, "full_outer"), columns, F.count_if(both))
+
+
+def change_rates_of_differences(differences: DataFrame, keys: list[str], columns: list[str], kept: int) -> DataFrame:
+    """change_rates() from a feed of the differences alone (as snapshot_changes() gives): kept is how many keys are in both snapshots, from
+    their digests."""
+    side = lambda *kinds: F.max(F.when(F.col("_change_type").isin(*kinds), F.struct(*columns)))
+    pairs = differences.groupBy(*keys).agg(side("update_preimage", "delete").alias("a"), side("update_postimage", "insert").alias("b"))
+    return _rates(pairs, columns, F.lit(kept))
+
+
+def _rates(pairs: DataFrame, columns: list[str], kept) -> DataFrame:
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    changed = [F.count_if(both & ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(f"_{i}") for i, c in enumerate(columns)]
+    out = pairs.agg(*changed, kept.alias("_kept"), F.count_if(F.col("a").isNull()).alias("added"), F.count_if(F.col("b").isNull()).alias("removed"))
+    rate = lambda i: F.round(F.try_divide(F.col(f"_{i}"), F.col("_kept")), 6)
+    return out.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), rate(i).alias("rate")) for i, c in enumerate(columns)])).alias("_e"), "added", "removed").select("_e.*", "added", "removed")
 
 
 def mutated(unchanged: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultspark.operators import profile
+from vaultspark.operators.cdc import snapshot_differences, write_leaves
 from vaultspark.plans.registry import query, table
 from vaultspark.plans.vault import DAY_1, DAY_2, SQL_DAY_2, day_2
+from vaultspark.sources.scratch import scratch_path
 
 
 @query(f"WITH {SQL_DAY_2} SELECT c_custkey, c_acctbal FROM day_2")
@@ -64,3 +66,16 @@ def field_change_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
     parts = day_2(customer).filter("c_custkey % 5 <> 0 AND c_custkey < 1000000"), day_2(customer).filter("c_custkey % 5 = 0 AND c_custkey < 1000000"), day_2(customer).filter("c_custkey >= 1000000")
     return profile.change_rates(customer, profile.mutated(*parts), "c_custkey", ["c_acctbal", "c_name"])
+
+
+@query(f"""WITH {SQL_DAY_2.replace("c_custkey % 5 = 0", "c_custkey % 160 = 0")}, b AS (SELECT a.c_custkey AS ka, d.c_custkey AS kb, a.c_acctbal <> d.c_acctbal AS m, a.c_name <> d.c_name AS n FROM customer a FULL OUTER JOIN day_2 d ON a.c_custkey = d.c_custkey)
+SELECT unnest(['c_acctbal', 'c_name']) AS "column", unnest([round(avg(CAST(m AS INT)), 6), round(avg(CAST(n AS INT)), 6)]) AS rate, count(*) FILTER (ka IS NULL) AS added, count(*) FILTER (kb IS NULL) AS removed FROM b""")
+def field_change_rate_by_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots that differ in few rows, kept with their digests: only leaves that differ are read, and the rates are those of all rows."""
+    customer, path = table(spark, sf_dir, "customer"), scratch_path(spark, "snapshots")
+    before, after = f"{path}-1", f"{path}-2"
+    write_leaves(customer, ["c_custkey"], before)
+    write_leaves(day_2(customer, every=160), ["c_custkey"], after)
+    feed = snapshot_differences(spark, before, after, ["c_custkey"])
+    rows, removed = spark.read.parquet(f"{before}/digests").agg(F.sum("n")).first()[0], feed.filter("_change_type = 'delete'").count()
+    return profile.change_rates_of_differences(feed, ["c_custkey"], ["c_acctbal", "c_name"], rows - removed)

@@ -26,9 +26,9 @@ DAY_1, DAY_2 = "2026-01-01", "2026-01-02"
 MONEY = "decimal(18,2)"
 
 
-def day_2(customer: DataFrame) -> DataFrame:
+def day_2(customer: DataFrame, every: int = 5) -> DataFrame:
     key = F.col("c_custkey")
-    balance = F.when(key % 5 == 0, F.col("c_acctbal") + 100).otherwise(F.col("c_acctbal"))
+    balance = F.when(key % every == 0, F.col("c_acctbal") + 100).otherwise(F.col("c_acctbal"))
     stay = customer.withColumn("c_acctbal", balance).filter(key % 97 != 1)
     return stay.unionByName(customer.filter(key % 167 == 0).withColumn("c_custkey", key + 1_000_000))
 

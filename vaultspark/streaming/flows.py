@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vaultspark.config import Settings
+from vaultspark.operators.analytics import merged_states
 from vaultspark.operators.loaders import changed_rows, load_time
 from vaultspark.sources.ingest import file_stream, ingest_drop, with_load_columns, with_parts
 from vaultspark.sources.scratch import stored
@@ -92,6 +93,17 @@ def enriching(target: VersionedTable, work: VersionedTable, resolve: Callable[[D
     return handle
 
 
+def aggregating(states: VersionedTable, of: Callable[[DataFrame], DataFrame], by: list[str], buckets: int = 8) -> Callable[[DataFrame, int], None]:
+    """An aggregate kept up to date by its batches alone: of() makes mergeable states of a batch, which are merged into the table's. Only
+    the buckets of groups that the batch touches are read and written, never the rows that came before; a replay changes nothing."""
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        if states.last_batch < batch:
+            states.merge(stored(of(rows), "states"), by, lambda old, new: merged_states(old, new, by), batch, buckets)
+
+    return handle
+
+
 def fanning_out(tables: dict[str, VersionedTable], projections: dict[str, list]) -> Callable[[DataFrame, int], None]:
     """Several targets from one read of each batch."""
 
