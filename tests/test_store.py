@@ -20,7 +20,7 @@ def ids(df):
 def test_a_writer_that_dies_leaves_the_last_state(spark, table, monkeypatch):
     table.append(spark.range(3), 0)
     with monkeypatch.context() as m:
-        m.setattr(table, "_states", lambda: (_ for _ in ()).throw(KeyboardInterrupt))  # dies before its state file has its name
+        m.setattr(table, "_publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))  # dies before its state file has its name
         with pytest.raises(KeyboardInterrupt):
             table.append(spark.range(3, 5), 1)
     fs, half = table._file("_NEXT-dead")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vaultspark.sources.scratch import stored
@@ -12,25 +12,26 @@ class QualityError(ValueError):
     """Rows violate a rule that has to hold."""
 
 
-def _broken(rule: str):
+def broken(rule: str) -> Column:
+    """Whether a row violates a rule, also by its being null."""
     return ~F.coalesce(F.expr(rule).cast("boolean"), F.lit(False))
 
 
 def violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     """One row with the number of violating rows per rule, from one pass."""
-    return df.agg(*[F.count_if(_broken(r)).alias(n) for n, r in rules.items()])
+    return df.agg(*[F.count_if(broken(r)).alias(n) for n, r in rules.items()])
 
 
 def warn(df: DataFrame, rules: dict[str, str], name: str = "quality") -> tuple[DataFrame, Observation]:
     """All rows; the observation has the counts once an action has run."""
     seen = Observation(name)
-    return df.observe(seen, *[F.count_if(_broken(r)).alias(n) for n, r in rules.items()]), seen
+    return df.observe(seen, *[F.count_if(broken(r)).alias(n) for n, r in rules.items()]), seen
 
 
 def drop(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     """The rows that meet every rule."""
     for rule in rules.values():
-        df = df.filter(~_broken(rule))
+        df = df.filter(~broken(rule))
     return df
 
 
@@ -55,10 +56,10 @@ def governed(df: DataFrame, rules: dict[str, dict[str, str]], entity: str = "")
     break a rule. Computed once, as in enforce(); a broken fail rule raises QualityError."""
     watched, seen = warn(df, {f"{action} {name}": rule for action, some in rules.items() for name, rule in some.items()}, f"governed {entity}")
     rows = stored(drop(watched, rules.get("drop", {})), "governed")
-    broken = {action: {name: seen.get[f"{action} {name}"] for name in some} for action, some in rules.items()}
-    if bad := {name: n for name, n in broken.get("fail", {}).items() if n}:
+    counts = {action: {name: seen.get[f"{action} {name}"] for name in some} for action, some in rules.items()}
+    if bad := {name: n for name, n in counts.get("fail", {}).items() if n}:
         raise QualityError(f"{entity}: rows that violate a rule: {bad}")
-    return rows, broken
+    return rows, counts
 
 
 #: What holds where; actions: drop, fail, warn.

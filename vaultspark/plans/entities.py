@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from vaultspark.sources.ingest import file_stream
 from vaultspark.sources.scratch import scratch_path
 from vaultspark.sources.store import VersionedTable
 from vaultspark.specs import bank
-from vaultspark.streaming.flows import fanning_out, run_available, sinking, table_stream
+from vaultspark.streaming.flows import RuleCounts, fanning_out, ruled, run_available, sinking, table_stream
 
 
 @query(f"""WITH {SQL_DAY_2} SELECT c_custkey AS IdentificadorCliente, CAST(0 AS BIGINT) AS VersionCarga FROM customer WHERE c_custkey > 0
@@ -58,6 +59,29 @@ def stream_over_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets["hub"].read().join(targets["sat"].read(), "Hash_Transaccion").drop("Hash_Transaccion")
 
 
+_STREAM_RULES = {"drop": {"positive_amount": "o_totalprice > 50000"}, "warn": {"known_priority": "o_orderpriority IN ('1-URGENT', '2-HIGH')"}, "fail": {"key_set": "o_orderkey IS NOT NULL"}}
+
+
+@query("""WITH b AS (SELECT CAST(o_orderkey % 3 AS BIGINT) AS batch, count(*) AS n, count(*) FILTER (NOT o_totalprice > 50000) AS dropped, count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS warned FROM orders GROUP BY 1)
+SELECT batch, n, unnest(['drop positive_amount', 'warn known_priority', 'fail key_set']) AS rule, unnest([dropped, warned, 0]) AS broken, (SELECT sum(n - dropped)::BIGINT FROM b) AS kept, true AS stopped FROM b""")
+def stream_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stream into a table under rules in three drops: what each batch breaks, and what the table keeps. A fourth drop has a row without
+    key: it stops the query, and the table stays as it was."""
+    orders, path = table(spark, sf_dir, "orders"), scratch_path(spark, "ruled")
+    counts, stopped = RuleCounts(spark), False
+    drops = [orders.filter(F.col("o_orderkey") % 3 == b) for b in range(3)] + [orders.withColumn("o_orderkey", F.nullif("o_orderkey", F.lit(orders.agg(F.min("o_orderkey")).first()[0])))]
+    for b, drop in enumerate(drops):
+        drop.write.parquet(f"{path}/landing/{b}")
+        try:
+            sinking(ruled(file_stream(spark, f"{path}/landing/*", orders.schema), _STREAM_RULES, "orders"), f"{path}/bronze", f"{path}/checkpoint")
+        except StreamingQueryException as e:
+            stopped = b == 3 and "a row violates key_set" in str(e)
+    seen = counts.settled()["orders"]
+    kept = spark.read.parquet(f"{path}/bronze").count()
+    told = [(b, row["rows"], rule, row[rule], kept, stopped) for b, row in seen.items() for rule in row if rule != "rows"]
+    return spark.createDataFrame(told, "batch long, n long, rule string, broken long, kept long, stopped boolean")
+
+
 INCOME = THRESHOLDS["CATEGORIA_INGRESOS"]
 
 def _master() -> dict:

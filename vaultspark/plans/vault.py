@@ -17,7 +17,7 @@ from vaultspark.operators.cdc import arrivals, snapshot_changes
 from vaultspark.operators.layout import renamed, write_sorted
 from vaultspark.operators.loaders import changed_rows, load_time, new_by_key, new_by_key_pruned
 from vaultspark.plans.registry import query, table
-from vaultspark.sources.ingest import file_stream, ingest_drop, with_load_columns, with_parts
+from vaultspark.sources.ingest import SchemaHistory, file_stream, ingest_drop, with_load_columns, with_parts
 from vaultspark.sources.scratch import scratch_path, stored
 from vaultspark.sources.store import VersionedTable
 from vaultspark.streaming.flows import appending, detecting_changes, fanning_out, run_available, upserting
@@ -78,6 +78,20 @@ def schema_evolution_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read().select("c_custkey", "c_acctbal", "c_mktsegment", F.col("_rescued_data").alias("rescued"))
 
 
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN CAST(o_orderkey + 0.5 AS DOUBLE)::VARCHAR WHEN 3 THEN 'n/a' ELSE CAST(o_custkey AS VARCHAR) END AS v, CAST(NULL AS VARCHAR) AS rescued,
+  'string' AS type, CAST(4 AS BIGINT) AS schemas FROM orders""")
+def schema_lattice_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four drops bring one column as int, long, double and string: it ends as a string, nothing is rescued, and each schema is on record."""
+    orders, bronze = table(spark, sf_dir, "orders"), scratch_path(spark, "bronze")
+    target = VersionedTable(spark, bronze)
+    values = [F.col("o_custkey").cast("int"), F.col("o_custkey"), F.col("o_orderkey") + F.lit(0.5).cast("double"), F.lit("n/a")]
+    for number, value in enumerate(values):
+        drop = orders.filter(F.col("o_orderkey") % 4 == number).select("o_orderkey", value.alias("v"))
+        ingest_drop(drop, target, f"{bronze}-schema", number, widen=True)
+    rows, (last, _) = target.read(), SchemaHistory(spark, f"{bronze}-schema").last()
+    return rows.select("o_orderkey", "v", F.col("_rescued_data").alias("rescued"), F.lit(rows.schema["v"].dataType.simpleString()).alias("type"), F.lit(last + 1).cast("long").alias("schemas"))
+
+
 @query("SELECT sha256(CAST(c_custkey AS VARCHAR)) AS Hash_Cliente, c_custkey AS IdentificadorCliente, 'bronze.customer' AS FuenteDatos FROM customer WHERE c_custkey > 0")
 def hub_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = new_by_key(hub_customer_rows(table(spark, sf_dir, "customer")), None, ["Hash_Cliente"])

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from vaultspark.functions.dates import partition_date
+from vaultspark.functions.types import merged
+from vaultspark.sources.files import NumberedFiles
 
 PARTS = ("año", "mes", "dia")
 
@@ -28,10 +30,12 @@ def with_load_columns(df: DataFrame, time: Column) -> DataFrame:
     return df.withColumn("FechaRegistroParquet", partition_date()).withColumn("FechaCargaBronce", time)
 
 
-def evolved(known: StructType | None, found: StructType) -> StructType:
-    """The known columns with their types, then those that are new."""
+def evolved(known: StructType | None, found: StructType, widen: bool = False) -> StructType:
+    """The known columns, then those that are new. Known columns keep their types, or with widen get the least type that holds both."""
     if known is None:
         return found
+    if widen:
+        return merged(known, found)
     names = set(known.fieldNames())
     return StructType([*known.fields, *[f for f in found.fields if f.name not in names]])
 
@@ -54,21 +58,30 @@ def fitted(df: DataFrame, schema: StructType, column: str = "_rescued_data") ->
     return df.select(*fit, rescued.alias(column))
 
 
-def bronze_schema(df: DataFrame, path: str) -> StructType:
-    """The schema remembered beside a bronze table, evolved by df's and remembered again."""
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    known = None
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        import json
+class SchemaHistory(NumberedFiles):
+    """The schemas that a bronze table has had, each under a number of its own: a crash leaves the last one in force."""
 
-        known = StructType.fromJson(json.loads(spark.read.text(path, wholetext=True).first()["value"]))
-    now = evolved(known, df.schema)
+    prefix = "_SCHEMA-"
+
+    def last(self) -> tuple[int, StructType | None]:
+        """The newest schema's number and the schema; -1 and None if there is none."""
+        files = self._states()
+        if not files:
+            return -1, None
+        return int(files[-1].getName().removeprefix(self.prefix)), StructType.fromJson(self._load(files[-1])["schema"])
+
+
+def bronze_schema(df: DataFrame, path: str, widen: bool = False) -> StructType:
+    """The schema remembered beside a bronze table, evolved by df's and remembered again if that changed it."""
+    history = SchemaHistory(df.sparkSession, path)
+    number, known = history.last()
+    now = evolved(known, df.schema, widen)
     if now != known:
-        spark.createDataFrame([(now.json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        history.put({"schema": now.jsonValue()}, number + 1)
     return now
 
 
-def ingest_drop(drop: DataFrame, table, schema_path: str, batch_id: int | None = None) -> None:
-    """Appends one drop to a bronze table (a VersionedTable) in the evolved schema."""
-    table.append(fitted(drop, bronze_schema(drop, schema_path)), batch_id)
+def ingest_drop(drop: DataFrame, table, schema_path: str, batch_id: int | None = None, widen: bool = False) -> None:
+    """Appends one drop to a bronze table (a VersionedTable) in the evolved schema. With widen, a drop of a wider type widens the column, so
+    drops in any order give one schema; without, values that don't fit the known type are rescued."""
+    table.append(fitted(drop, bronze_schema(drop, schema_path, widen)), batch_id)

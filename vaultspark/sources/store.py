@@ -5,9 +5,8 @@ a write, never between, and a writer that dies leaves the last state in force. A
 read: if any other has been committed since, however many, it fails and has to begin anew. A batch id at or below the last
 one recorded is skipped, so a stream's replays change nothing.
 
-File operations go through Hadoop. That two writers who commit in the same instant can't both succeed rests on a rename that
-refuses an existing target, which HDFS does in one step; elsewhere the state is read again after the rename, and one who finds another's
-fails. Object stores that copy on rename leave a gap there: use one writer per table, as the flows do.
+The state also has the schema of every part, so a read needs no look into files, and parts of several schemas, with columns or types that
+have changed since, are read in the least schema that holds them all.
 """
 
 from __future__ import annotations
@@ -18,72 +17,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vaultspark.functions.keys import bucket
+from vaultspark.functions.types import unified
 from vaultspark.operators.cdc import upsert_latest
 from vaultspark.operators.layout import keys_first
+from vaultspark.sources.files import NumberedFiles
 
 #: State files that stay behind the newest, for readers that have just listed them.
 KEPT = 2
-NOTHING = {"parts": {}, "version": -1, "last_batch": -1}
+NOTHING = {"parts": {}, "schemas": [], "of": {}, "version": -1, "last_batch": -1}
 
 
-class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, layout_keys: list[str] = ()):
-        self.spark, self.path, self.layout_keys = spark, path.rstrip("/"), list(layout_keys)
-
-    def _file(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+class VersionedTable(NumberedFiles):
+    prefix = "_STATE-"
 
-    def _states(self) -> list:
-        """The state files, oldest first."""
-        fs, pattern = self._file("_STATE-*")
-        return sorted((s.getPath() for s in fs.globStatus(pattern) or []), key=lambda p: p.getName())
+    def __init__(self, spark: SparkSession, path: str, layout_keys: list[str] = ()):
+        super().__init__(spark, path)
+        self.layout_keys = list(layout_keys)
 
     def _state(self) -> dict:
-        """parts (name to folder), version and last_batch."""
+        """parts (name to folder), schemas, of (folder to the number of its schema), version and last_batch."""
         states = self._states()
         return self._load(states[-1]) if states else NOTHING
 
-    def _load(self, path) -> dict:
-        stream = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).open(path)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _publish(self, from_, to) -> None:
-        """Renames a file; an existing target is never overwritten."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        options = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
-        hadoop.FileContext.getFileContext(to.toUri(), self.spark._jsc.hadoopConfiguration()).rename(from_, to, options)
-
-    def _commit(self, state: dict, parts: dict[str, str], batch_id: int | None) -> None:
-        """The state after `state`, unless another one has come after it."""
-        version, writer = state["version"] + 1, uuid.uuid4().hex
-        new = {"parts": parts, "version": version, "last_batch": state["last_batch"] if batch_id is None else batch_id, "writer": writer}
-        fs, next_ = self._file(f"_NEXT-{writer}")
-        out = fs.create(next_, False)
-        out.write(bytearray(json.dumps(new).encode()))
-        out.close()
-        _, path = self._file(f"_STATE-{version:012d}")
-        states = self._states()
-        newest = int(states[-1].getName().removeprefix("_STATE-")) if states else -1
-        stale = RuntimeError(f"{self.path}: another writer has committed since version {state['version']} was read")
-        if newest != version - 1:
-            fs.delete(next_, False)
-            raise stale
-        try:
-            self._publish(next_, path)
-        except Exception as e:  # py4j wraps the store's FileAlreadyExistsException
-            if not fs.exists(path):
-                raise
-            raise stale from e
-        if self._load(path)["writer"] != writer:
-            raise stale
-        for old in states[: -KEPT]:
-            fs.delete(old, False)
+    def _commit(self, state: dict, parts: dict[str, str], batch_id: int | None, schema: StructType) -> None:
+        """The state after `state`, unless another one has come after it. Parts that are new have the schema."""
+        schemas = state["schemas"] if schema.json() in state["schemas"] else [*state["schemas"], schema.json()]
+        of = {p: state["of"].get(p, schemas.index(schema.json())) for p in parts.values()}
+        last = state["last_batch"] if batch_id is None else batch_id
+        before = self.put({"parts": parts, "schemas": schemas, "of": of, "version": state["version"] + 1, "last_batch": last}, state["version"] + 1)
+        for old in before[:-KEPT]:
+            self._file(old.getName())[0].delete(old, False)
 
     @property
     def version(self) -> int:
@@ -97,17 +63,22 @@ class VersionedTable:
         """Whether anything has been written; asked first, so that real analysis errors of a read are not taken for it."""
         return bool(self._state()["parts"])
 
-    def _rows(self, parts: list[str]) -> DataFrame | None:
-        return self.spark.read.option("mergeSchema", True).parquet(*sorted(parts)) if parts else None
+    def _rows(self, state: dict, parts: list[str]) -> DataFrame | None:
+        by_schema: dict[int, list[str]] = {}
+        for part in sorted(set(parts)):
+            by_schema.setdefault(state["of"][part], []).append(part)
+        frames = [self.spark.read.schema(StructType.fromJson(json.loads(state["schemas"][i]))).parquet(*some) for i, some in sorted(by_schema.items())]
+        return unified(frames) if frames else None
 
     def read(self) -> DataFrame | None:
         """All rows, or None on the first run."""
-        return self._rows(list({*self._state()["parts"].values()}))
+        state = self._state()
+        return self._rows(state, [*state["parts"].values()])
 
     def read_buckets(self, numbers: list[int]) -> DataFrame | None:
         """Of a table that upsert() or merge() keeps, the rows of some buckets, or None if there are none."""
-        parts = self._state()["parts"]
-        return self._rows([parts[str(b)] for b in numbers if str(b) in parts])
+        state = self._state()
+        return self._rows(state, [state["parts"][str(b)] for b in numbers if str(b) in state["parts"]])
 
     def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.path}/{name}-{uuid.uuid4().hex}"
@@ -122,14 +93,14 @@ class VersionedTable:
         state = self._state()
         if not self._seen(state, batch_id):
             part = self._write(df, "part")
-            self._commit(state, state["parts"] | {part: part}, batch_id)
+            self._commit(state, state["parts"] | {part: part}, batch_id, df.schema)
 
     def replace(self, df: DataFrame, batch_id: int | None = None) -> None:
         """Full refresh; df may be computed from the table itself."""
         state = self._state()
         if not self._seen(state, batch_id):
             part = self._write(df, "full")
-            self._commit(state, {part: part}, batch_id)
+            self._commit(state, {part: part}, batch_id, df.schema)
 
     def merge(self, batch: DataFrame, keys: list[str], how: Callable[[DataFrame | None, DataFrame], DataFrame], batch_id: int | None = None, buckets: int = 1) -> None:
         """Replaces rows by how(old, batch): of a table in buckets of the keys' hash, only those that the batch touches are read and
@@ -141,9 +112,9 @@ class VersionedTable:
         touched = touched_buckets(batch, keys, buckets)
         old = [state["parts"][str(b)] for b in touched if str(b) in state["parts"]]
         part = f"{self.path}/upsert-{uuid.uuid4().hex}"
-        merged = how(self._rows(old), batch).withColumn("_bucket", bucket(buckets, *keys))
-        merged.write.option("compression", "zstd").partitionBy("_bucket").parquet(part)  # one folder per bucket
-        self._commit(state, state["parts"] | {str(b): f"{part}/_bucket={b}" for b in touched}, batch_id)
+        merged = how(self._rows(state, old), batch)
+        merged.withColumn("_bucket", bucket(buckets, *keys)).write.option("compression", "zstd").partitionBy("_bucket").parquet(part)  # one folder per bucket
+        self._commit(state, state["parts"] | {str(b): f"{part}/_bucket={b}" for b in touched}, batch_id, merged.schema)
 
     def upsert(self, batch: DataFrame, keys: list[str], sequence: list[str], batch_id: int | None = None, buckets: int = 1) -> None:
         """merge() where the latest row per key stays. A column that only the batch or only the table has is null in the other's rows."""

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from vaultspark.config import Settings
+from vaultspark.operators import quality
 from vaultspark.operators.analytics import merged_states
 from vaultspark.operators.loaders import changed_rows, load_time
 from vaultspark.sources.ingest import file_stream, ingest_drop, with_load_columns, with_parts
@@ -37,6 +39,57 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
     return file_stream(spark, path, spark.read.parquet(path).schema)
 
 
+class RuleCounts(StreamingQueryListener):
+    """How many rows of each micro-batch break each rule, by the name of the stream's observation: {name: {batch: {rule: rows}}}. Filled by
+    the query's progress events; settled() waits for those that are under way."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.counts = spark, {}
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        for name, row in event.progress.observedMetrics.items():
+            self.counts.setdefault(name, {}).setdefault(event.progress.batchId, row.asDict())
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def settled(self) -> dict:
+        """The counts; listens no longer."""
+        self.spark._jsc.sc().listenerBus().waitUntilEmpty()
+        self.spark.streams.removeListener(self)
+        return self.counts
+
+
+def ruled(stream: DataFrame, rules: dict[str, dict[str, str]], name: str) -> DataFrame:
+    """A stream under rules, {action: {rule name: SQL}}, while it runs: broken rules are counted per micro-batch under the stream's name, for
+    RuleCounts; rows that break a drop rule are left out; a row that breaks a fail rule stops the query before the batch is
+    committed, so the target stays as it was."""
+    every = {f"{action} {rule}": sql for action, some in rules.items() for rule, sql in some.items()}
+    watched = stream.observe(name, F.count("*").alias("rows"), *[F.count_if(quality.broken(sql)).alias(n) for n, sql in every.items()])
+    for rule, sql in rules.get("fail", {}).items():
+        watched = watched.filter(F.when(quality.broken(sql), F.raise_error(F.lit(f"{name}: a row violates {rule}")).cast("boolean")).otherwise(True))
+    return quality.drop(watched, rules.get("drop", {}))
+
+
+def governing(handle: Callable[[DataFrame, int], None], rules: dict[str, dict[str, str]], entity: str, told: Callable[[int, dict], None] = lambda batch, counts: None) -> Callable[[DataFrame, int], None]:
+    """A batch function under rules, for the flows that have one: told() gets a batch's counts, {action: {rule: rows}}; what drop rules leave
+    goes on; a broken fail rule raises QualityError before anything of the batch is handled."""
+
+    def run(rows: DataFrame, batch: int) -> None:
+        kept, counts = quality.governed(rows, rules, entity)
+        told(batch, counts)
+        handle(kept, batch)
+
+    return run
+
+
 def appending(table: VersionedTable) -> Callable[[DataFrame, int], None]:
     return lambda rows, batch: table.append(rows, batch)
 
