@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +39,15 @@ def bucket(n: int, *columns) -> Column:
     return F.pmod(F.hash(*columns).cast("long"), F.lit(n)).cast("int")
 
 
-def keyed_sample(df: DataFrame, percent: float, *keys) -> DataFrame:
+def portable_bucket(n: int, *columns) -> Column:
+    """As bucket(), from the MD5 of the columns as texts, which any engine can recompute; dearer than bucket(). A null counts as no text."""
+    digits = F.substring(F.md5(F.concat_ws(SEPARATOR, *_texts(columns, None))), 1, 13)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(n)).cast("int")
+
+
+def keyed_sample(df: DataFrame, percent: float, *keys, by: Callable[..., Column] = bucket) -> DataFrame:
     """A reproducible share of keys: the same key is in or out in every table and run, and smaller shares are subsets."""
-    return df.filter(bucket(1_000_000, *keys) < int(percent * 10_000))
+    return df.filter(by(1_000_000, *keys) < int(percent * 10_000))
 
 
 def dense_index(df: DataFrame, order: list[str], name: str = "row_index", start: int = 0) -> DataFrame:

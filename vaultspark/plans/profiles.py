@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.operators import profile
 from vaultspark.operators.cdc import snapshot_differences, write_leaves
-from vaultspark.plans.registry import query, table
+from vaultspark.plans.registry import also, query, table
 from vaultspark.plans.vault import DAY_1, DAY_2, SQL_DAY_2, day_2
 from vaultspark.sources.scratch import scratch_path
 
@@ -33,16 +33,6 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.column_profile(table(spark, sf_dir, "lineitem"), list(_NUMBERS))
 
 
-@query("""WITH n AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey % 97 <> 5 GROUP BY 1), p AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 97 <> 1),
-b AS (SELECT p.k AS p, n.n FROM p FULL OUTER JOIN n ON p.k = n.k)
-SELECT count(p) AS parents, count(*) FILTER (p IS NOT NULL AND n IS NOT NULL) AS covered, CAST(coalesce(sum(n) FILTER (p IS NULL), 0) AS BIGINT) AS orphans, min(n) FILTER (p IS NOT NULL) AS least,
-  max(n) FILTER (p IS NOT NULL) AS most, round(avg(n) FILTER (p IS NOT NULL), 4) AS mean, quantile_cont(n, 0.95) FILTER (p IS NOT NULL AND n IS NOT NULL) AS p95 FROM b""")
-def referential_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders against customers; some of either are left out, so that there are orphans and parents without children."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).filter("k % 97 <> 5")
-    return profile.coverage(orders, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).filter("k % 97 <> 1"), "k")
-
-
 _COVERAGE = """b AS (SELECT p.k AS p, n.n FROM p FULL OUTER JOIN n ON p.k = n.k)
 SELECT count(p) AS parents, count(*) FILTER (p IS NOT NULL AND n IS NOT NULL) AS covered, CAST(coalesce(sum(n) FILTER (p IS NULL), 0) AS BIGINT) AS orphans, min(n) FILTER (p IS NOT NULL) AS least,
   max(n) FILTER (p IS NOT NULL) AS most, round(avg(n) FILTER (p IS NOT NULL), 4) AS mean, quantile_cont(n, 0.95) FILTER (p IS NOT NULL AND n IS NOT NULL) AS p95 FROM b"""
@@ -54,6 +44,9 @@ def referential_coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.coverage(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
 
 
+also(referential_coverage="referential_coverage_whole")
+
+
 @query(f"WITH {SQL_DAY_2}, n AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT DISTINCT c_custkey AS k FROM day_2), {_COVERAGE}")
 def referential_coverage_day_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders against the customers of the second snapshot, which lacks some and adds some without orders."""

@@ -18,5 +18,11 @@ def query(sql: str | None):
     return register
 
 
+def also(**names: str) -> None:
+    """Other names of registered queries, with their SQL."""
+    for name, of in names.items():
+        QUERIES[name], ORACLES[name] = QUERIES[of], ORACLES[of]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

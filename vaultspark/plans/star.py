@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from vaultspark.config import THRESHOLDS, UNKNOWN
 from vaultspark.functions.classify import channel_class, share_class, threshold_class
 from vaultspark.functions.dates import DAYS, MONTHS, calendar
-from vaultspark.functions.keys import bucket, business_key, change_hash, dense_index, index_join, keyed_sample, persistent_keys, surrogate_key
+from vaultspark.functions.keys import bucket, business_key, change_hash, dense_index, index_join, keyed_sample, persistent_keys, portable_bucket, surrogate_key
 from vaultspark.operators import analytics, gold, quality
 from vaultspark.operators.loaders import changed_rows, first_per_key, new_by_key
-from vaultspark.plans.registry import query, table
+from vaultspark.plans.registry import also, query, table
 from vaultspark.plans.vault import DAY_1, DAY_2, SQL_DAY_2, customer_order_link, customer_satellite, day_2, hub_customer_rows
 from vaultspark.sources.ingest import file_stream
 from vaultspark.sources.scratch import scratch_path, stored
@@ -97,12 +97,16 @@ def dense_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("c_custkey").agg(F.count("*").alias("n"))
 
 
-@query(None)
+SQL_PART = "CAST('0x' || md5(CAST(o_orderkey AS VARCHAR))[1:13] AS BIGINT)"
+
+
+@query(f"SELECT o_orderkey, {SQL_PART} % 1000000 < 100000 AS in_small, {SQL_PART} % 16 AS bucket FROM orders WHERE {SQL_PART} % 1000000 < 250000")
 def keyed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth and a quarter of the orders by key: every key of the smaller is in the larger."""
     orders = table(spark, sf_dir, "orders")
-    small, large = (keyed_sample(orders, p, "o_orderkey").select("o_orderkey") for p in (10, 25))
-    return large.join(small.withColumn("in_small", F.lit(True)), "o_orderkey", "left").select("o_orderkey", F.coalesce("in_small", F.lit(False)).alias("in_small"), bucket(16, "o_orderkey").alias("bucket"))
+    small, large = (keyed_sample(orders, p, "o_orderkey", by=portable_bucket).select("o_orderkey") for p in (10, 25))
+    rows = large.join(small.distinct().withColumn("in_small", F.lit(True)), "o_orderkey", "left")
+    return rows.select("o_orderkey", F.coalesce("in_small", F.lit(False)).alias("in_small"), portable_bucket(16, "o_orderkey").cast("long").alias("bucket"))
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,37 +211,9 @@ def fact_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact(spark, sf_dir).select("IdentificadorTransaccion", "IdentificadorCliente", "Hash_Operacion", "FechaClave", "TipoTransaccion", "MontoPrincipal", "EsRetiro", "EsDeposito")
 
 
-def light_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order of the fact's kinds with its measures and date, no join made: also orders that fact() leaves out because their
-    customer is not in the hub or has no operation. The *_fact queries ask the same of the fact."""
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin(WITHDRAWAL, DEPOSIT))
-    return orders.select(F.col("o_custkey").alias("IdentificadorCliente"), surrogate_key(business_key("o_custkey")).alias("DimIdCliente"), F.col("o_orderdate").cast("date").alias("FechaClave"),
-                         F.col("o_totalprice").alias("MontoPrincipal"), *gold.atm_flags("o_orderstatus", WITHDRAWAL, DEPOSIT))
-
-
-@query(f"""SELECT CAST(year(o_orderdate) AS INT) AS Anio, CAST(month(o_orderdate) AS INT) AS Mes, {_names(MONTHS, "month(o_orderdate)")} AS NombreMes, count(*) AS transacciones,
-  round(sum(o_totalprice), 2) AS monto_total, count(DISTINCT o_custkey) AS clientes FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL ORDER BY 1, 2""")
-def monthly_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and calendar joined: transactions, amount and unique customers per month, as the SQL has them; of the fact see monthly_star_fact."""
-    return analytics.monthly(light_fact(spark, sf_dir), calendar(table(spark, sf_dir, "orders"), "o_orderdate"), "MontoPrincipal", "DimIdCliente")
-
-
 SQL_METRICS = ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS n_{n}, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = '{s}'), 0), 2) AS total_{n}, round(avg(o_totalprice) FILTER (o_orderstatus = '{s}'), 6) AS promedio_{n}" for s, n in (("F", "retiros"), ("O", "depositos")))
 
 
-@query(f"SELECT o_custkey AS IdentificadorCliente, {SQL_METRICS} FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey")
-def deposit_withdrawal_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.movement_metrics(light_fact(spark, sf_dir), ["IdentificadorCliente"], "MontoPrincipal")
-
-
-@query(f"""SELECT c_mktsegment AS segmento, r_name AS region, {SQL_METRICS} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL""")
-def segment_region_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("region"))
-    customers = table(spark, sf_dir, "customer").join(places, "c_nationkey").select(F.col("c_custkey").alias("IdentificadorCliente"), F.col("c_mktsegment").alias("segmento"), "region")
-    return analytics.movement_metrics(light_fact(spark, sf_dir).join(customers, "IdentificadorCliente"), ["segmento", "region"], "MontoPrincipal")
-
-
 @query(f"""WITH {SQL_HISTORY} SELECT c_custkey AS IdentificadorCliente, CAST(c_acctbal AS DECIMAL(18,2)) AS saldo, since AS valid_from,
   lead(since) OVER (PARTITION BY c_custkey ORDER BY since) AS valid_to FROM history""")
 def balance_history_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,12 +221,28 @@ def balance_history_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("IdentificadorCliente", "saldo", F.col("FechaRegistro").cast("date").alias("valid_from"), F.col("valid_to").cast("date").alias("valid_to"))
 
 
-@query("""WITH t AS (SELECT o_custkey AS IdentificadorCliente, c_mktsegment AS segmento, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL)
-SELECT * FROM (SELECT t.*, round((total - m) / nullif(s, 0), 4) AS z FROM t JOIN (SELECT segmento, avg(total) AS m, stddev_samp(total) AS s FROM t GROUP BY 1) USING (segmento)) WHERE abs(z) > 2""")
-def outlier_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = light_fact(spark, sf_dir).groupBy("IdentificadorCliente").agg(F.round(F.sum("MontoPrincipal"), 2).alias("total"))
-    segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("IdentificadorCliente"), F.col("c_mktsegment").alias("segmento"))
-    return analytics.outliers(totals.join(segments, "IdentificadorCliente"), "segmento", "total")
+@query("""WITH v AS (SELECT c_mktsegment AS segmento, CAST(o_totalprice AS DECIMAL(18,2)) AS saldo, o_orderdate AS since, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS until
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+m AS (SELECT segmento, unnest(generate_series(date_trunc('month', min(since)), (SELECT date_trunc('month', max(since)) FROM v), INTERVAL 1 MONTH))::DATE AS month FROM v GROUP BY 1)
+SELECT m.segmento, m.month, CAST(sum(saldo) AS DECIMAL(28,2)) AS level FROM m JOIN v ON v.segmento = m.segmento AND since < m.month + INTERVAL 1 MONTH AND (until IS NULL OR until >= m.month + INTERVAL 1 MONTH) GROUP BY ALL""")
+def balance_by_segment_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance evolution: what the customers of a segment had at the end of each month, where an order's price is its customer's balance until
+    the next order."""
+    segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segmento"))
+    history = table(spark, sf_dir, "orders").join(segments, "o_custkey").select("o_custkey", "o_orderkey", "o_orderdate", "segmento", "o_totalprice")
+    return analytics.levels_over_time(history, "o_custkey", ["o_orderdate", "o_orderkey"], "segmento", "o_totalprice", "o_orderdate")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type, value FROM events), types AS (SELECT min(event_type) AS t FROM events), h AS (SELECT user_id, ts, event_id AS since, value AS held FROM e, types WHERE event_type = t)
+SELECT a.event_id, a.user_id, h.since, h.held FROM (SELECT e.* FROM e, types WHERE event_type <> t) a ASOF LEFT JOIN (SELECT *, CAST(epoch_us(ts) AS HUGEINT) * 1000000000 + since AS at FROM h) h
+  ON a.user_id = h.user_id AND CAST(epoch_us(a.ts) AS HUGEINT) * 1000000000 + a.event_id >= h.at""")
+def event_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the user's last event of the first type before it."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    first = events.agg(F.min("event_type")).first()[0]
+    history = events.filter(F.col("event_type") == first).select("user_id", "ts", "event_id", F.col("event_id").alias("since"), F.col("value").alias("held"))
+    asked = events.filter(F.col("event_type") != first).select("event_id", "user_id", "ts")
+    return analytics.as_of(asked, history, ["user_id"], ["ts", "event_id"], ["since", "held"]).select("event_id", "user_id", "since", "held")
 
 
 #: Rows of fact(): orders of its kinds whose customer is in the hub and has an operation.
@@ -317,6 +309,9 @@ def outlier_customers_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.outliers(totals, "segmento", "total")
 
 
+also(monthly_star="monthly_star_fact", deposit_withdrawal_metrics="deposit_withdrawal_metrics_fact", segment_region_metrics="segment_region_metrics_fact", outlier_customers="outlier_customers_fact")
+
+
 # Operations as accounts: what of a line item stands for an attribute of an account.
 _ACCOUNT = {
     "Sat_Operacion_DatosEstables": {"tipo_cuenta": "l_returnflag", "estado_cuenta": "l_linestatus"},
@@ -394,16 +389,15 @@ def enriched_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("IdentificadorTransaccion", "Hash_Operacion", "run")
 
 
-@query("SELECT true AS nested, true AS tenth, true AS quarter, true AS buckets_in_range, 16 AS buckets FROM orders HAVING count(*) > 0")
+@query(f"""SELECT {SQL_PART} % 16 AS bucket, count(*) AS n, count(*) FILTER ({SQL_PART} % 1000000 < 100000) AS tenth, count(*) FILTER ({SQL_PART} % 1000000 < 250000) AS quarter, 0 AS only_in_tenth
+FROM orders GROUP BY 1""")
 def keyed_sample_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """That keyed samples of all orders are nested and of about their size, and that buckets fill their range."""
-    tenth, quarter, b = bucket(1_000_000, "o_orderkey") < 100_000, bucket(1_000_000, "o_orderkey") < 250_000, bucket(16, "o_orderkey")
-    orders = table(spark, sf_dir, "orders")
-    small, large = (keyed_sample(orders, p, "o_orderkey").select("o_orderkey").withColumn(n, F.lit(True)) for p, n in ((10, "small"), (25, "large")))
-    rows = orders.select("o_orderkey", b.alias("b"), tenth.alias("t"), quarter.alias("q")).distinct().join(small.distinct(), "o_orderkey", "left").join(large.distinct(), "o_orderkey", "left")
-    s, g = F.col("small").isNotNull(), F.col("large").isNotNull()
-    share = lambda c: F.avg(c.cast("int"))
-    return rows.agg((F.count_if(s & ~g) == 0).alias("nested"), share(s).between(0.08, 0.12).alias("tenth"), share(g).between(0.22, 0.28).alias("quarter"), (F.min("b") >= 0).alias("buckets_in_range"), F.countDistinct("b").cast("int").alias("buckets"))
+    """How many orders each of 16 buckets has, how many of them are in samples of a tenth and a quarter, and how many in the tenth alone."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    tag = lambda percent, name: keyed_sample(orders, percent, "o_orderkey", by=portable_bucket).distinct().withColumn(name, F.lit(True))
+    rows = orders.join(tag(10, "t"), "o_orderkey", "left").join(tag(25, "q"), "o_orderkey", "left")
+    t, q = F.col("t").isNotNull(), F.col("q").isNotNull()
+    return rows.groupBy(portable_bucket(16, "o_orderkey").cast("long").alias("bucket")).agg(F.count("*").alias("n"), F.count_if(t).alias("tenth"), F.count_if(q).alias("quarter"), F.count_if(t & ~q).alias("only_in_tenth"))
 
 
 @query("""SELECT 'fact' AS entity, count(*) AS n, 0 AS broken, CAST(min(o_orderdate) AS DATE) AS first_date, CAST(max(o_orderdate) AS DATE) AS last_date FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey > 0
