@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,44 @@ def value_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.join(total, "column").select("column", "value", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))
 
 
+def _measures(df: DataFrame, columns: list[str]) -> DataFrame:
+    parts = [F.struct(F.lit(c).alias("column"), F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"), F.round(F.avg(F.col(c).cast("double")), 4).alias("mean"), F.count_if(F.col(c).isNull()).alias("nulls")) for c in columns]
+    return df.agg(F.array(*parts).alias("_p")).select(F.explode("_p").alias("_e")).select("_e.*")
+
+
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Minimum, maximum, mean, nulls and distinct values of numeric columns, from one aggregation."""
-    parts = [F.struct(F.lit(c).alias("column"), F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"), F.round(F.avg(F.col(c).cast("double")), 4).alias("mean"), F.count_if(F.col(c).isNull()).alias("nulls"), F.countDistinct(c).alias("distinct")) for c in columns]
+    """Minimum, maximum, mean, nulls and distinct values of numeric columns: one aggregation for all but the distinct values, and for these
+    one per column, which reads that column only and combines equal values before its shuffle; no row is copied."""
+    distinct = [df.select(c).distinct().agg(F.lit(c).alias("column"), F.count(c).alias("distinct")) for c in columns]
+    return _measures(df, columns).join(reduce(DataFrame.unionByName, distinct), "column")
+
+
+def profile_states(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Mergeable profiles of numeric columns, a row each, from one pass: column, n, nulls, min, max, total, a sketch of the distinct values and one of
+    the ranks. A snapshot's states are a few kilobytes a column, whatever its rows."""
+    value = lambda c: F.col(c).cast("double")
+    parts = [
+        F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.min(value(c)).alias("min"), F.max(value(c)).alias("max"), F.sum(value(c)).alias("total"),
+                 F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)), 14).alias("distinct"), F.kll_sketch_agg_double(value(c), 400).alias("ranks"))
+        for c in columns
+    ]
     return df.agg(F.array(*parts).alias("_p")).select(F.explode("_p").alias("_e")).select("_e.*")
 
 
+def merged_profiles(states: DataFrame) -> DataFrame:
+    """The states of all rows that the states of several snapshots or drops stand for."""
+    sums = [F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("total").alias("total")]
+    return states.groupBy("column").agg(*sums, F.hll_union_agg("distinct").alias("distinct"), F.kll_merge_agg_double("ranks").alias("ranks"))
+
+
+def finished_profiles(states: DataFrame, quantiles: list[float]) -> DataFrame:
+    """column, min, max, mean, nulls; distinct, estimated with a relative standard error of about 1.04 / sqrt(2^14) = 0.8 %; and quantiles, whose
+    ranks are off by less than 1 % with a chance of 99 %. Quantiles are null where a column has nothing but nulls."""
+    some = F.col("n") > F.col("nulls")
+    ranks = F.when(some, F.kll_sketch_get_quantile_double("ranks", F.array(*map(F.lit, quantiles))))
+    return states.select("column", "min", "max", F.round(F.try_divide("total", F.col("n") - F.col("nulls")), 4).alias("mean"), "nulls", F.hll_sketch_estimate("distinct").alias("distinct"), ranks.alias("quantiles"))
+
+
 def coverage(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Share of parents with children, orphans, and children per parent: min, max, mean, 95th percentile."""
     per = children.groupBy(key).agg(F.count("*").alias("_n"))

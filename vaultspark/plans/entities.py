@@ -11,7 +11,7 @@ from vaultspark.functions.classify import threshold_class
 from vaultspark.functions.keys import business_key, change_hash, surrogate_key
 from vaultspark.operators import quality
 from vaultspark.operators.cdc import arrivals, snapshot_changes
-from vaultspark.operators.layout import write_sorted
+from vaultspark.operators.layout import files_to_read, write_curve, write_sorted
 from vaultspark.operators.loaders import changed_rows, load_time, new_by_key
 from vaultspark.plans.registry import query, table
 from vaultspark.plans.star import DEPOSIT, SQL_FACT, WITHDRAWAL, _case, _dim_operation, fact
@@ -203,3 +203,17 @@ def layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = rows.withColumn("back", before > F.col("k")).groupBy("file").agg(F.count("*").alias("n"), F.count_if("back").alias("back"), F.min("k").alias("low"), F.max("k").alias("high"))
     files = files.withColumn("over", F.lag("high").over(Window.orderBy("low", "high")) > F.col("low"))  # one row per file
     return files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("back"), F.lit(0)).alias("rows_out_of_order"), F.count_if("over").alias("files_that_overlap"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (l_partkey BETWEEN q[1] AND q[2]) AS asked, true AS fewer_files FROM lineitem, (SELECT [quantile_disc(l_partkey, 0.4), quantile_disc(l_partkey, 0.42)] AS q FROM lineitem)")
+def layout_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table laid out along a curve through two keys: the rows of a fiftieth of the second key, and whether fewer than half as many files have to be
+    read for them as of the same table in order of the first key, then the second."""
+    lines, path, keys = table(spark, sf_dir, "lineitem").select("l_quantity", "l_shipdate", "l_partkey"), scratch_path(spark, "curve"), ["l_shipdate", "l_partkey"]
+    n = lines.count()
+    low, high = lines.selectExpr("percentile_disc(0.4) WITHIN GROUP (ORDER BY l_partkey) AS low", "percentile_disc(0.42) WITHIN GROUP (ORDER BY l_partkey) AS high").first()
+    write_curve(lines, f"{path}-curve", keys, max(1, n // 256))
+    write_sorted(lines, f"{path}-sorted", keys, rows_per_file=max(1, n // 256))
+    curve, ordered = spark.read.parquet(f"{path}-curve"), spark.read.parquet(f"{path}-sorted")
+    (few, _), (many, _) = (files_to_read(d, "l_partkey", low, high) for d in (curve, ordered))
+    return curve.agg(F.count("*").alias("n"), F.count_if(F.col("l_partkey").between(low, high)).alias("asked"), F.lit(2 * few < many).alias("fewer_files"))

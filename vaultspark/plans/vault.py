@@ -17,6 +17,7 @@ from vaultspark.operators.cdc import arrivals, snapshot_changes
 from vaultspark.operators.layout import renamed, write_sorted
 from vaultspark.operators.loaders import changed_rows, load_time, new_by_key, new_by_key_pruned
 from vaultspark.plans.registry import query, table
+from vaultspark.sources.bucketed import BucketedTable
 from vaultspark.sources.ingest import SchemaHistory, file_stream, ingest_drop, with_load_columns, with_parts
 from vaultspark.sources.scratch import scratch_path, stored
 from vaultspark.sources.store import VersionedTable
@@ -153,6 +154,16 @@ def scd1_upsert_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read().select("user_id", "event_id", "event_type", "value")
 
 
+@query("""SELECT user_id, event_id, event_type, value, CASE WHEN third = 2 THEN event_type END AS only_late FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, CAST(floor(event_id * 3 / ((SELECT max(event_id) FROM events) + 1)) AS INT) AS third FROM events) WHERE r = 1""")
+def scd1_bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scd1_upsert_last_seen into a table in Spark's own buckets, whose rows are not shuffled by a merge; the last batch has a column more."""
+    target = BucketedTable(spark, scratch_path(spark, "bucketed"), ["user_id"], ["ts", "event_id"])
+    late = lambda rows, batch: rows if batch < 2 else rows.withColumn("only_late", F.col("event_type"))
+    _event_batches(spark, sf_dir, 3, lambda rows, batch: target.upsert(late(rows, batch), batch), "user_id", "ts", "event_id", "event_type", "value")
+    return target.read().select("user_id", "event_id", "event_type", "value", "only_late")
+
+
 @query("SELECT c_custkey AS IdentificadorCliente, c_name AS nombre_cliente, c_mktsegment AS segmento_cliente, CAST(c_acctbal AS DECIMAL(18,2)) AS saldo, DATE '2026-01-01' AS fecha, 128 AS ancho FROM customer")
 def satellite_first_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changed_rows(customer_satellite(table(spark, sf_dir, "customer"), DAY_1), None, "Hash_Cliente")
