@@ -17,9 +17,22 @@ from vaultspark.llm.common import stored, table
 MOST_BITS = 13.0
 
 
+#: Bytes of an Arrow batch at most. A worker holds a few batches at once, and the five stages share their workers' memory.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to BATCH_BYTES; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:  # a value with a unit is replaced
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that are null or letterless, and texts that are little else than bytes in no language that the labels teach:
     noise or another script. A text in another language of a known script stays."""
+    bounded_batches(spark)
     model = language.train(docs.filter(~language.held_out()))
     found = language.scored(docs, model)
     return found.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS)).select("row.*")
@@ -27,6 +40,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
+    bounded_batches(spark)
     return minhash.deduplicated(docs)
 
 
@@ -44,6 +58,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token ids in sequences of at most 1024, a row per piece."""
     import public_tokenizers
 
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 0)
 
 
