@@ -188,6 +188,13 @@ def test_mixing_awkward_rows(spark, docs):
     assert {r["target"] for r in mixing.mix(own).collect()} == {"own"}
 
 
+def test_mixing_plans_chosen_columns_alike(docs):
+    columns = ["doc_id", "size", "source_size", "target", "copies"]
+    narrow = mixing.mixing_plan(docs, columns=["doc_id"])
+    assert narrow.columns == columns and sorted(map(str, narrow.collect())) == sorted(map(str, mixing.mixing_plan(docs).select(*columns).collect()))
+    assert mixing.mixing_plan(docs, columns=["doc_id", "text"]).columns == ["doc_id", "text", *columns[1:]]
+
+
 def test_mixing_comes_near_its_targets(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") % 3 == 0, "x").when(F.col("id") % 7 == 0, "y").otherwise("z").alias("source"))
     for r in mixing.mixing_plan(df).groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).collect():

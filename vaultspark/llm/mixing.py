@@ -46,11 +46,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return level.select("source", "source_size", target.alias("target"))
 
 
-def _planned(docs: DataFrame, seed: int, weights: tuple[int, ...], most: int) -> DataFrame:
-    """row (the caller's), size, source_size, target and copies."""
+def _planned(docs: DataFrame, seed: int, weights: tuple[int, ...], most: int, columns: list[str] | None = None) -> DataFrame:
+    """row (the caller's, or only these columns of it), size, source_size, target and copies. Rows without text are small
+    enough to be written once counted and drawn; rows with it are counted again where they are joined, as they are not moved."""
     drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
     unit = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / float(1 << 52)
-    sized = docs.select("source", word_count(F.col("text")).alias("size"), unit.alias("unit"), F.struct("*").alias("row"))
+    sized = docs.select("source", word_count(F.col("text")).alias("size"), unit.alias("unit"), F.struct(*(columns or "*")).alias("row"))
+    if columns and "text" not in columns:
+        sized = stored(sized, "mix-sizes")
     targets = stored(source_targets(sized.select("source", "size"), weights, most), "mix-targets")
     targets = targets.select(F.col("source").alias("of"), "source_size", "target")
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of")))
@@ -60,15 +63,15 @@ def _planned(docs: DataFrame, seed: int, weights: tuple[int, ...], most: int) ->
     return joined.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
-def mixing_plan(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """docs with size, source_size, target and copies (int), whatever other columns it has.
+def mixing_plan(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, columns: list[str] | None = None) -> DataFrame:
+    """docs, or only these columns of it, with size, source_size, target and copies (int).
 
     docs needs doc_id, text and source; columns of its own called size, source_size, target or copies are replaced. Null
     text has size 0. A row of size 0 is copied by its source's rate like any other (rate 0 where the source has no words).
     Rows that are equal in doc_id and text are drawn alike. An empty table gives an empty result.
     """
     own = docs.drop("size", "source_size", "target", "copies")
-    return _planned(own, seed, weights, most).select("row.*", "size", "source_size", "target", "copies")
+    return _planned(own, seed, weights, most, columns).select("row.*", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -80,4 +83,4 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, m
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     taken = (F.col("copies") * F.col("size")).alias("taken")
-    return mixing_plan(docs).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return mixing_plan(docs, columns=["doc_id"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
