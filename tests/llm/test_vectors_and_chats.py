@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,28 @@ def test_escaping_is_reversible():
     for text in ("<|", "<\\|", "<\\\\|a<||>", "<<|<\\<|", "\\<|", "plain"):
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
         assert chat.unescape_role(chat.escape_role(text + "\n%0A%")) == text + "\n%0A%"
+
+
+def test_a_block_is_sorted_once_for_all_its_queries(monkeypatch):
+    r = np.random.default_rng(5)
+    blocks = [(np.arange(b, b + 40, dtype="i8"), r.normal(size=(40, 3))) for b in (0, 100)]
+    asks = [(np.array([7 + a, 500 + a], "i8"), r.normal(size=(2, 3)), np.full(2, -np.inf)) for a in range(3)]
+    built = []
+
+    class Counted(topk.SortedLists):
+        def __init__(self, ids, rows):
+            built.append(ids[0])
+            super().__init__(ids, rows)
+
+    monkeypatch.setattr(topk, "SortedLists", Counted)
+    rows = [[c.tobytes() for c in (*block, *ask)] for block in blocks for ask in asks]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*part)], ["ids", "data", "q_ids", "q_data", "q_least"]) for part in (rows[:2], rows[2:4], rows[4:])]
+    got = {}
+    for batch in topk.searched(batches, 3, 2):
+        for q, i, s in zip(*(c.to_pylist() for c in batch.columns)):
+            got.setdefault(q, []).append((-s, i))
+    assert built == [0, 100]
+    for ids, q, _ in asks:
+        for own, vector in zip(ids.tolist(), q):
+            want = [sorted((-int(topk.quantise(x) @ topk.quantise(vector)), int(i)) for i, x in zip(*block) if i != own)[:2] for block in blocks]
+            assert sorted(got[own]) == sorted(want[0] + want[1])

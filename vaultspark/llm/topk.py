@@ -6,7 +6,8 @@ each row met is scored in full at once, and reading stops when the sum of the pr
 unmet row exceeds, is below the k-th score so far (or below the query's k-th score within the sample), or when no row is
 unmet. At equality it reads on, as an unmet row could tie with a smaller id.
 
-A query goes once to each group of blocks, in which it meets them one by one.
+A query goes once to each group of blocks, in which it meets them one by one. The join hands over a block with one block of
+queries after the other, so a task sorts each block's lists once and holds one block at a time.
 """
 
 from __future__ import annotations
@@ -77,6 +78,22 @@ class SortedLists:
             depth, step = end, 2 * step
 
 
+def searched(batches, dim: int, k: int):
+    """Batches of (query_id, vec_id, score) from batches of (ids, data, q_ids, q_data, q_least), a block and a block of queries
+    a row. Lists are sorted anew only where the block is not that of the row before."""
+    held, lists = (b"", b""), None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = tuple(batch.column(c)[i].as_buffer().to_pybytes() for c in ("ids", "data"))
+            if lists is None or block != held:
+                held, lists = block, SortedLists(np.frombuffer(block[0], "i8"), quantise(np.frombuffer(block[1], "f8").reshape(-1, dim)))
+            q_ids, q_data, least = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("q_ids", "i8"), ("q_data", "f8"), ("q_least", "f8")))
+            asks = quantise(q_data.reshape(-1, dim))
+            out = [(own, *lists.top(asks[j], own, k, least[j])) for j, own in enumerate(q_ids)]
+            cols = [np.concatenate([np.full(len(f), own) for own, f, *_ in out]), np.concatenate([f for _, f, *_ in out]), np.concatenate([s for _, _, s, _ in out])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
+
+
 def top_k(df: DataFrame, k: int = 10, every: int = 100, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (integer inner product of the quantised vectors): the k best of every row whose id is
     divisible by every, among all other rows; all candidates if fewer, ties to the smaller id.
@@ -116,13 +133,7 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, id_: str = "vec_id", vec
     asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // per))))
 
     def search(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, data, q_ids, q_data, least = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("ids", "i8"), ("data", "f8"), ("q_ids", "i8"), ("q_data", "f8"), ("q_least", "f8")))
-                lists, asks = SortedLists(ids, quantise(data.reshape(-1, dim))), quantise(q_data.reshape(-1, dim))
-                out = [(own, *lists.top(asks[j], own, k, least[j])) for j, own in enumerate(q_ids)]
-                cols = [np.concatenate([np.full(len(f), own) for own, f, *_ in out]), np.concatenate([f for _, f, *_ in out]), np.concatenate([s for _, _, s, _ in out])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
+        return searched(batches, dim, k)
 
     # queries grow with the table, so they are never broadcast
     met = stored.join(asked.hint("merge"), "group").select("ids", "data", "q_ids", "q_data", "q_least")
