@@ -217,11 +217,12 @@ def test_matching_statistics_against_counting():
                 assert got[j] == max([n for n in range(1, len(t) - j + 1) if count(t[j : j + n]) >= 2], default=0)
 
 
-@pytest.mark.parametrize("words, stream", [(substring.SHARD_WORDS, substring.STREAM), (100, 2)])
-def test_repeats_are_removed(spark, docs, small, monkeypatch, words, stream):
-    """Also with most minimizers split over several shards, as very large ones are."""
+@pytest.mark.parametrize("words, stream, heavy", [(substring.SHARD_WORDS, substring.STREAM, substring.HEAVY), (100, 2, 3)])
+def test_repeats_are_removed(spark, docs, small, monkeypatch, words, stream, heavy):
+    """Also with most minimizers split over several shards, as very large ones are, and with few keys joined by broadcast."""
     monkeypatch.setattr(substring, "SHARD_WORDS", words)
     monkeypatch.setattr(substring, "STREAM", stream)
+    monkeypatch.setattr(substring, "HEAVY", heavy)
     for df, window in ((docs, 35), (docs, 4), (small, 35), (docs.limit(0), 35)):
         rows = pairs(df)
         want = sorted((-1 if i is None else i, n, n - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest(), " ".join(kept)) for (i, _), (n, kept) in zip(rows, brute.without_repeats([t for _, t in rows], window)))
@@ -229,6 +230,42 @@ def test_repeats_are_removed(spark, docs, small, monkeypatch, words, stream):
         assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == want
 
 
+def test_heavy_keys_are_few_and_their_join_is_whole(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("k"), "id")
+    counted = rows.groupBy("k").count()
+    heavy = substring.heavy_keys(counted, "count", ["k"])
+    assert 0 in {r["k"] for r in heavy.collect()} and heavy.count() <= substring.HEAVY
+    side = spark.range(0, 500, 2).select(F.col("id").alias("k"), (F.col("id") * 7).alias("v"))
+    plain = sorted(map(tuple, rows.join(side, "k").collect()))
+    for few in (heavy, heavy.limit(0), counted.filter("k IN (0, 1, 2)").select("k")):
+        assert sorted(map(tuple, substring.joined_by(rows, side, ["k"], few).collect())) == plain
+
+
+def test_a_text_of_a_million_words(spark):
+    """Two texts of 1.2 million words that differ in every hundredth: all windows between the differences repeat."""
+    n = 1_200_000
+    words = [f"w{i * 7919 % 1_000_003}" for i in range(n)]
+    other = [f"x{i}" if i % 100 == 0 else w for i, w in enumerate(words)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_repeats(df, keep_text=False).collect()}
+    assert got[3] == (0, 0) and got[2] == (n, n - n // 100)
+    again = set(words[: n - 1_000_003])  # the words begin again after that many
+    assert got[1][0] == n and n - n // 100 <= got[1][1] <= n - n // 100 + len(again)
+
+
+@pytest.mark.parametrize("n", [35, 99, 300_000])
+def test_bits_of_windows_cover_their_words(n):
+    rng = np.random.default_rng(n)
+    starts = np.arange(0, n - 34, 64)
+    bits = rng.random((len(starts), 64)) < 0.02
+    bits[:, :] &= starts[:, None] + np.arange(64) <= n - 35
+    masks = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+    want = np.zeros(n, bool)
+    for w in (starts[:, None] + np.arange(64))[bits]:
+        want[w : w + 35] = True
+    assert (substring._covered(starts, masks, n, 35) == want).all()
+
+
 # 5 packing
 
 

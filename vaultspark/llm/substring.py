@@ -12,9 +12,11 @@ matching statistics give the intervals above the threshold. What makes this scal
    streamed against the index. A minimizer with more than SHARD_WORDS words, such as the edge of a very common passage, is split
    by content over as many shards as it needs: each of its segments is part of one index and streamed against all of them (one
    that occurs twice, against its own). A window repeats if it occurs twice in its own shard or once in another.
-4. Intervals go back to all occurrences of a segment and are joined with their documents.
+4. Intervals go back to all occurrences of a segment, as bits of its windows, and are joined with their documents.
 
-Texts are compressed before they are shuffled. Words are compared by 64-bit hashes.
+Only documents with a segment to fetch, or with a window that repeats, are moved, their texts compressed; a table of fixed size
+tells most of the others, which are read where they lie. The minimizers and segments that hold most of all rows, at most HEAVY of
+them, meet their few rows by broadcast, so a very common passage is not gathered in one task. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ from pyspark.sql import functions as F
 from vaultspark.llm.common import row_hash, stored, table
 from vaultspark.llm.fmindex import FMIndex
 from vaultspark.llm.minhash import _mix, _words
+from vaultspark.llm.secrets import marked
 
 WINDOW, SEED_WORDS, SEED = 35, 6, 3
-#: Windows of a segment at most; words of a shard's index after which the next shard begins; segments streamed at once.
+#: Windows of a segment at most (bits of a long); words of a shard's index after which the next shard begins; segments streamed at once.
 LONGEST, SHARD_WORDS, STREAM = 64, 150_000, 512
+#: Keys that are joined by broadcast, at most: those with a share of 1 / HEAVY of all rows or more.
+HEAVY = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -203,21 +208,41 @@ def _index_shards(texts: DataFrame, window: int) -> DataFrame:
     return ordered.mapInArrow(run, "mini long, content long, a int, b int")
 
 
-def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(_key, a, b): the windows a to b - 1 of a document repeat. docs has _key and text."""
+def heavy_keys(counted: DataFrame, weight: str, keys: list[str]) -> DataFrame:
+    """The keys of counted, which has one row per key, that weigh 1 / HEAVY of all or more: at most HEAVY."""
+    total = counted.agg(F.sum(weight)).first()[0] or 0
+    return counted.filter(F.col(weight) * HEAVY >= total).select(*keys)
+
+
+def joined_by(rows: DataFrame, side: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    """rows joined with side, which has one row per key at most. The rows of heavy keys stay where they are."""
+    few = side.join(F.broadcast(heavy), keys)  # at most HEAVY rows
+    stay = rows.join(F.broadcast(few), keys)
+    return stay.unionByName(rows.join(F.broadcast(heavy), keys, "left_anti").join(side.hint("merge"), keys))
+
+
+def _some(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with `maybe`, false only if found has no such _key."""
+    return marked(docs.withColumnRenamed("_key", "key"), found.select(F.col("_key").alias("key"))).withColumnRenamed("key", "_key")
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(_key, start, mask): the window start + i of a document repeats if bit i of mask is set. docs has _key and text."""
     all_ = stored(document_segments(docs, window), "sub-segments")
-    known = all_.groupBy("mini").agg(F.sum(F.when(F.col("repeats"), 2).otherwise(1)).alias("_n")).filter("_n > 1").select("mini")
+    known = all_.groupBy("mini").agg(F.sum(F.when(F.col("repeats"), 2).otherwise(1)).alias("_n")).filter("_n > 1")
     known = stored(known, "sub-minimizers")
-    found = stored(all_.join(known.hint("merge"), "mini").select("_key", "start", "n", "mini", "content"), "sub-candidates")
+    found = joined_by(all_.select("_key", "start", "n", "mini", "content"), known.select("mini"), ["mini"], heavy_keys(known, "_n", ["mini"]))
+    found = stored(found, "sub-candidates")
     distinct = found.groupBy("mini", "content").agg(F.count("*").alias("weight"), F.min(F.struct("_key", "start", "n")).alias("at"))
     distinct = stored(distinct.select("mini", "content", "weight", "at.*"), "sub-distinct")
-    words = F.sum(F.col("n") + window)
-    sizes = stored(distinct.groupBy("mini").agg(F.ceil(words / SHARD_WORDS).cast("int").alias("shards")), "sub-groups")
+    sizes = stored(distinct.groupBy("mini").agg(F.sum(F.col("n") + window).alias("words")), "sub-groups")
+    shards = sizes.select("mini", F.ceil(F.col("words") / SHARD_WORDS).cast("int").alias("shards"))
 
     # fetch the texts of the segments, once per document
     entry = F.struct("mini", "content", "weight", "start", "n", "shards")
-    wanted = distinct.join(sizes, "mini").groupBy("_key").agg(F.collect_list(entry).alias("entries"))
-    packed = _compressed(docs.select("_key", "text")).join(wanted.hint("merge"), "_key").select("_key", "zip", "entries")
+    wanted = joined_by(distinct, shards, ["mini"], heavy_keys(sizes, "words", ["mini"])).groupBy("_key").agg(F.collect_list(entry).alias("entries"))
+    held = _some(docs.select("_key", "text"), distinct).filter("maybe").drop("maybe")
+    packed = _compressed(held).join(wanted.hint("merge"), "_key").select("_key", "zip", "entries")
     names = ["mini", "content", "weight", "n", "shards", "words"]
 
     def fetch(batches):
@@ -252,8 +277,21 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield emit(entries, kept, found)
 
     texts = packed.mapInArrow(fetch, "mini long, content long, weight long, n short, shards int, words binary")
-    intervals = stored(_index_shards(texts, window), "sub-intervals")
-    return found.join(intervals.hint("merge"), ["mini", "content"]).select("_key", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    bits = F.expr("shiftleft(shiftrightunsigned(-1L, 64 - (b - a)), a)")  # a to b - 1
+    masks = _index_shards(texts, window).groupBy("mini", "content").agg(F.bit_or(bits).alias("mask"))
+    masks = stored(masks, "sub-masks")
+    heavy = heavy_keys(distinct, "weight", ["mini", "content"])
+    return joined_by(found, masks, ["mini", "content"], heavy).select("_key", "start", "mask")
+
+
+def _covered(starts: np.ndarray, masks: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Which of n words lie in a window that repeats."""
+    edge = np.zeros(n + 1, np.int64)
+    for a in range(0, len(starts), HEAVY):
+        at, bit = np.nonzero(np.unpackbits(masks[a : a + HEAVY].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        edge[starts[a : a + HEAVY][at] + bit] = 1  # a window belongs to one segment
+    edge[window:] -= edge[: n + 1 - window].copy()
+    return np.cumsum(edge[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
@@ -264,33 +302,34 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     A row that occurs twice (the same doc_id, null included, and text) repeats itself. An empty table gives an empty result.
     """
     docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = stored(repeated_intervals(docs, window), "sub-found")
-    covered = found.distinct().groupBy("_key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    joined = _compressed(docs).join(covered.hint("merge"), "_key", "left").select("doc_id", "zip", "runs")
+    found = stored(repeated_windows(docs, window), "sub-found")
+    covered = found.distinct().groupBy("_key").agg(F.collect_list(F.struct("start", "mask")).alias("runs"))
+    some = _some(docs, found)
+    moved = _compressed(some.filter("maybe").drop("maybe")).join(covered.hint("merge"), "_key", "left").select("doc_id", "zip", "runs")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def run(batches):
+    def kept(batches, zipped: bool):
         import zstandard
 
         zd = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
+                ids, texts, *runs = (batch.column(c).slice(at, 256) for c in range(batch.num_columns))
                 out = []
-                for doc_id, packed, runs in zip(*(batch.column(c).slice(at, 256).to_pylist() for c in range(3))):
-                    words = zd.decompress(packed).split()
-                    kept = words
-                    if runs:
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(edge, [r["a"] for r in runs], 1)
-                        np.add.at(edge, [r["b"] + window - 1 for r in runs], -1)
-                        kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                    text = b" ".join(kept)
-                    out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if keep_text else None))
+                for i, (doc_id, text) in enumerate(zip(ids.to_pylist(), (texts if zipped else texts.cast(pa.large_binary())).to_pylist())):
+                    words = (zd.decompress(text) if zipped else text or b"").split()
+                    n = len(words)
+                    if runs and runs[0][i].is_valid:
+                        starts, masks = (runs[0][i].values.field(c).to_numpy() for c in ("start", "mask"))
+                        words = [words[j] for j in np.flatnonzero(~_covered(starts, masks, n, window))]
+                    text = b" ".join(words)
+                    out.append((doc_id, n, n - len(words), hashlib.sha256(text).hexdigest(), text.decode() if keep_text else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(zip(*out), types))[: len(names)]], names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return joined.mapInArrow(run, schema)
+    there = some.filter("NOT maybe").select("doc_id", "text").mapInArrow(lambda batches: kept(batches, False), schema)
+    return there.unionByName(moved.mapInArrow(lambda batches: kept(batches, True), schema))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
