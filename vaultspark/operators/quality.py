@@ -53,7 +53,9 @@ def enforce(df: DataFrame, rules: dict[str, str], entity: str = "") -> DataFrame
 
 def governed(df: DataFrame, rules: dict[str, dict[str, str]], entity: str = "") -> tuple[DataFrame, dict[str, dict[str, int]]]:
     """df under an entity's rules, {action: {name: rule}}: the rows that no drop rule drops, and by action and name how many rows of df
-    break a rule. Computed once, as in enforce(); a broken fail rule raises QualityError."""
+    break a rule. Computed once, as in enforce(); a broken fail rule raises QualityError. Without rules, df as it is."""
+    if not any(rules.values()):
+        return df, {}
     watched, seen = warn(df, {f"{action} {name}": rule for action, some in rules.items() for name, rule in some.items()}, f"governed {entity}")
     rows = stored(drop(watched, rules.get("drop", {})), "governed")
     counts = {action: {name: seen.get[f"{action} {name}"] for name in some} for action, some in rules.items()}

@@ -101,6 +101,9 @@ KEYS = {
     "Sat_Transaccion": ("Hash_Transaccion", ("TRXID",), "TRXPFL"),
 }
 
+# What hubs call their business keys.
+KEY_NAMES = {"CUSTID": "IdentificadorCliente", "BLSQ": "SecuenciaSaldo", "TRXID": "IdentificadorTransaccion"}
+
 
 @dataclass(frozen=True)
 class Satellite:
@@ -114,6 +117,10 @@ class Satellite:
     def names(self) -> dict[str, str]:
         return COLUMNS[self.name]
 
+    @property
+    def class_names(self) -> list[str]:
+        return [target for target, _, _ in CLASSES.get(self.name, ())] + ["ClasificacionCanalATM"] * (self.name == "Sat_Transaccion_DatosEstables")
+
     @property
     def classified(self) -> dict[str, Column]:
         out = {target: threshold_class(F.col(source), THRESHOLDS[bands]) for target, source, bands in CLASSES.get(self.name, ())}
