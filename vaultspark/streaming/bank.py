@@ -47,7 +47,7 @@ def rules_of(entity: str) -> dict[str, dict[str, str]]:
 
 @dataclass(frozen=True)
 class BankVault:
-    """The vault in the layers of the settings. time: a fixed load time, for reproducible runs. buckets: of tables that are merged; told: gets
+    """The vault in the layers of the settings. time: a fixed load time, for reproducible runs. buckets: of tables that are merged, which should grow with them; told: gets
     (entity, batch, {action: {rule: broken rows}}) of each batch."""
 
     spark: SparkSession
