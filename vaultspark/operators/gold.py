@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions.keys import surrogate_key
 from vaultspark.operators.layout import closed
-from vaultspark.operators.loaders import first_per_key, latest_per_key
+from vaultspark.operators.loaders import first_per_key, growing, latest_per_key
 
 
 def current_rows(satellite: DataFrame, key: str, order: str = "FechaRegistro", tie: str = "Hash_Diferenciador") -> DataFrame:
@@ -20,7 +20,7 @@ def type1_dimension(hub: DataFrame, key: str, hub_columns: list, satellites: lis
     joins are on the hub hash, so the rows are shuffled by it once."""
     out = hub.select(key, *hub_columns)
     for satellite, chosen in satellites:
-        out = out.join(current_rows(satellite, key).select(key, *chosen), key, "left")
+        out = out.join(growing(current_rows(satellite, key).select(key, *chosen)), key, "left")
     return closed(out.withColumn(id_column, surrogate_key(key)), columns, entity)
 
 

@@ -17,6 +17,12 @@ def load_time(fixed=None) -> Column:
     return F.current_timestamp() if fixed is None else F.lit(fixed).cast("timestamp")
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input, so that it is never broadcast: the optimizer goes by the size of compressed files and
+    counts a hash of 64 or 128 characters as 20 bytes, and what it takes for 10 MB may be some hundred in the driver."""
+    return df.hint("merge")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """One row per key: the first by order, then by all other columns. Aggregated, not windowed, so partial results are
     combined before the shuffle and a hot key is no burden."""
@@ -33,7 +39,7 @@ def new_by_key(batch: DataFrame, target: DataFrame | None, keys: list[str], orde
     transaction satellites, where the first write wins. Rows with a null key are dropped from no side: a null key is never
     found in the target, as in any equality."""
     one = first_per_key(batch, keys, order)
-    return one if target is None else one.join(target.select(*keys), keys, "left_anti")
+    return one if target is None else one.join(growing(target.select(*keys)), keys, "left_anti")
 
 
 #: Words of 64 bits in the table of a batch's keys: 16 MB as rows, whatever the batch holds.
@@ -100,10 +106,10 @@ def changed_rows(batch: DataFrame, target: DataFrame | None, key: str, change: s
     differs = F.col("_now").isNull() | (F.col("_now") != F.col(change))
     if sequence is None:
         rows = first_per_key(batch, [key, change])
-        return rows if now is None else rows.join(now, key, "left").filter(differs).drop("_now")
+        return rows if now is None else rows.join(growing(now), key, "left").filter(differs).drop("_now")
     rows = preceding(batch, [key], [sequence, change], [change])
     rows = rows.filter(F.col("_before").isNull() | ~F.col(f"_before.{change}").eqNullSafe(F.col(change)))
     if now is None:
         return rows.drop("_before")
-    first = rows.filter(F.col("_before").isNull()).join(now, key, "left").filter(differs).drop("_now")
+    first = rows.filter(F.col("_before").isNull()).join(growing(now), key, "left").filter(differs).drop("_now")
     return rows.filter(F.col("_before").isNotNull()).unionByName(first).drop("_before")
