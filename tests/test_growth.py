@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.operators import gold
 from vaultspark.operators.loaders import changed_rows, new_by_key
+from vaultspark.plans.star import fact
 
 
 def _plan(df) -> str:
@@ -22,3 +23,15 @@ def test_growing_sides_are_not_broadcast(spark):
     for rows in (dimension, changed_rows(one, one, "h"), new_by_key(hub, hub, ["h"])):
         assert "Broadcast" not in _plan(rows)
     assert {(r["h"], r["v"]) for r in dimension.collect()} == {("a", 1), ("b", 2)}
+
+
+def test_fact_moves_rows_by_their_own_keys(spark, sf_dir):
+    plan = _plan(fact(spark, sf_dir))
+    moved = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert moved and not [line for line in moved if "hashpartitioning(Hash_" in line] and "Broadcast" not in plan
+
+
+def test_satellites_beside_their_hub_are_not_joined(spark):
+    one = _satellite(spark)
+    plan = _plan(gold.type1_dimension(one, "h", [], [(one, ["v"]), (one, ["Hash_Diferenciador"])], "key", ["key", "h", "v", "Hash_Diferenciador"], "dim"))
+    assert "Exchange" not in plan and "Join" not in plan

@@ -17,9 +17,10 @@ def current_rows(satellite: DataFrame, key: str, order: str = "FechaRegistro", t
 
 def type1_dimension(hub: DataFrame, key: str, hub_columns: list, satellites: list[tuple[DataFrame, list]], id_column: str, columns: list[str], entity: str) -> DataFrame:
     """Hub rows with the current attributes of each satellite and a surrogate key. Hub rows without satellite rows stay. All
-    joins are on the hub hash, so the rows are shuffled by it once."""
-    out = hub.select(key, *hub_columns)
-    for satellite, chosen in satellites:
+    joins are on the hub hash, so the rows are shuffled by it once. A satellite that is the hub's own frame has one version per key beside
+    the hub's columns, as a first load has: it isn't joined."""
+    out = hub.select(key, *hub_columns, *[c for satellite, chosen in satellites if satellite is hub for c in chosen])
+    for satellite, chosen in [s for s in satellites if s[0] is not hub]:
         out = out.join(growing(current_rows(satellite, key).select(key, *chosen)), key, "left")
     return closed(out.withColumn(id_column, surrogate_key(key)), columns, entity)
 
@@ -46,19 +47,19 @@ def enriched(transactions: DataFrame, kinds: Column, link: DataFrame, mapping: D
     no row fans out: the first by all its columns. Works on batches and streams; on a stream the static sides are those of
     each run, so a row keeps the keys that held when it was appended. Rows without link or map entry are left out, without
     details kept."""
-    out = transactions.filter(kinds).join(first_per_key(link.select(transaction, parent), [transaction]), transaction)
-    out = out.join(first_per_key(mapping, [parent]), parent)
+    out = transactions.filter(kinds).join(growing(first_per_key(link.select(transaction, parent), [transaction])), transaction)
+    out = out.join(growing(first_per_key(mapping, [parent])), parent)
     for detail in details:
-        out = out.join(first_per_key(detail, [transaction]), transaction, "left")
+        out = out.join(growing(first_per_key(detail, [transaction])), transaction, "left")
     return out
 
 
 def resolved(transactions: DataFrame, kinds: Column, link: DataFrame, mapping: DataFrame, transaction: str, parent: str) -> DataFrame:
     """Every transaction of the wanted kinds with its parent's keys and _ready: whether link and map know it. Keys of those that are
     not ready are null. The static sides are reduced as in enriched()."""
-    out = transactions.filter(kinds).join(first_per_key(link.select(transaction, parent), [transaction]), transaction, "left")
+    out = transactions.filter(kinds).join(growing(first_per_key(link.select(transaction, parent), [transaction])), transaction, "left")
     known = first_per_key(mapping, [parent]).withColumn("_known", F.lit(True))
-    return out.join(known, parent, "left").withColumn("_ready", F.coalesce("_known", F.lit(False))).drop("_known")
+    return out.join(growing(known), parent, "left").withColumn("_ready", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
 def atm_flags(kind: str, withdrawal: str, deposit: str) -> list[Column]:
