@@ -17,7 +17,7 @@ from vaultspark.plans.registry import query, table
 from vaultspark.plans.star import DEPOSIT, SQL_FACT, WITHDRAWAL, _case, _dim_operation, fact
 from vaultspark.plans.vault import DAY_1, DAY_2, SQL_DAY_2, day_2, hub_customer_rows
 from vaultspark.sources.ingest import file_stream
-from vaultspark.sources.scratch import scratch_path
+from vaultspark.sources.scratch import scratch_path, stored
 from vaultspark.sources.store import VersionedTable
 from vaultspark.specs import bank
 from vaultspark.streaming.flows import RuleCounts, fanning_out, ruled, run_available, sinking, table_stream
@@ -174,7 +174,7 @@ def entity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     key = business_key("o_orderkey").alias("Hash_Transaccion")
     kind = F.when(F.col("TipoTransaccion") == WITHDRAWAL, "DATM").when(F.col("TipoTransaccion") == DEPOSIT, "CATM")
-    whole = fact(spark, sf_dir).withColumn("TipoTransaccion", kind)
+    whole = stored(fact(spark, sf_dir).withColumn("TipoTransaccion", kind), "fact")  # for two entities
     entities = {
         "hub_transaction": new_by_key(orders.select(key, F.col("o_orderkey").alias("IdentificadorTransaccion")), None, ["Hash_Transaccion"]),
         "sat_transaction_amounts": orders.select(key, F.expr(_AMOUNT).alias("monto_principal"), F.expr(_FRAUD).alias("riesgo_fraude")),
