@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vaultspark.operators import gold
+from vaultspark.operators.layout import exact_quantiles, order_on_disk
 from vaultspark.operators.loaders import changed_rows, new_by_key
 from vaultspark.plans.star import fact
 
@@ -35,3 +36,19 @@ def test_satellites_beside_their_hub_are_not_joined(spark):
     one = _satellite(spark)
     plan = _plan(gold.type1_dimension(one, "h", [], [(one, ["v"]), (one, ["Hash_Diferenciador"])], "key", ["key", "h", "v", "Hash_Diferenciador"], "dim"))
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_exact_quantiles_as_percentile_disc(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 101).alias("v"), F.lit(0).alias("w")).unionByName(spark.createDataFrame([(None, 1)] * 50, "v long, w int"))
+    shares = [0.0, 0.1, 0.4, 0.42, 0.999, 1.0]
+    want = df.selectExpr(*[f"percentile_disc({s}) WITHIN GROUP (ORDER BY v)" for s in shares]).first()
+    assert exact_quantiles(df, "v", shares) == list(want)
+    assert exact_quantiles(df.filter("v < 0"), "v", [0.5]) == [None]
+
+
+def test_order_on_disk_in_blocks(spark, tmp_path):
+    values = [1, 5, 4, 6, 7, 3, 8, 9, 2]  # 4, 3 and 2 come after larger ones
+    spark.createDataFrame([(v,) for v in values], "v int").coalesce(1).write.parquet(str(tmp_path / "t"))
+    for block in (1, 2, 3, 5, 100):
+        files = order_on_disk(spark.read.parquet(str(tmp_path / "t")), ["v"], block)
+        assert [(r["n"], r["back"], r["low"]["v"], r["high"]["v"]) for r in files.collect()] == [(9, 3, 1, 9)]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vaultspark.sources.scratch import stored
+
 
 def keys_first(df: DataFrame, keys: list[str]) -> DataFrame:
     """The layout columns before the others, so that they are among those with statistics."""
@@ -62,3 +66,39 @@ def files_to_read(df: DataFrame, key: str, low, high) -> tuple[int, int]:
     files = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
     row = files.agg(F.count_if((F.col("_low") <= F.lit(high)) & (F.col("_high") >= F.lit(low))), F.count("*")).first()
     return row[0], row[1]
+
+
+def exact_quantiles(df: DataFrame, key: str, shares: list[float]) -> list:
+    """For each share the smallest value that so many of the rows (nulls don't count) are at or below; None without rows. As percentile_disc(), which brings
+    every partition's values to one task; here values are counted in tasks by value, a range of values adds up its own counts, and a
+    range is one row for the others."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_value")).agg(F.count("*").alias("_n"))
+    placed = stored(counts.repartitionByRange("_value").withColumn("_range", F.spark_partition_id()), "quantiles")
+    ranges = placed.groupBy("_range").agg(F.sum("_n").alias("_n")).orderBy("_range").collect()  # one row per range
+    total, out = sum(r["_n"] for r in ranges), []
+    for share in shares:
+        rank, before = max(1, math.ceil(total * share)), 0
+        for r in ranges:
+            if before + r["_n"] >= rank:
+                upto = Window.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one range's values
+                within = placed.filter(F.col("_range") == r["_range"]).withColumn("_upto", F.sum("_n").over(upto))
+                out.append(within.filter(F.col("_upto") >= rank - before).agg(F.min("_value")).first()[0])
+                break
+            before += r["_n"]
+    return out or [None] * len(shares)
+
+
+#: Rows of a file that are compared in one piece.
+BLOCK = 1 << 16
+
+
+def order_on_disk(df: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """Of each file of a table that was read as df: _file (a hash of its path), n, back (rows that come before the one ahead of them), and low and
+    high, the ends of its keys. Rows are compared within blocks of a file, so a task holds no file, and a block's ends stand for it
+    when blocks are compared."""
+    rows = df.select(F.struct(*keys).alias("k"), F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    rows = rows.withColumn("_block", F.floor(F.col("_at") / block))
+    rows = rows.withColumn("_back", F.lag("k").over(Window.partitionBy("_file", "_block").orderBy("_at")) > F.col("k"))
+    blocks = rows.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.count_if("_back").alias("back"), F.min("k").alias("low"), F.max("k").alias("high"), F.min_by("k", "_at").alias("_first"), F.max_by("k", "_at").alias("_last"))
+    blocks = blocks.withColumn("_back", F.lag("_last").over(Window.partitionBy("_file").orderBy("_block")) > F.col("_first"))  # a file's blocks
+    return blocks.groupBy("_file").agg(F.sum("n").alias("n"), (F.sum("back") + F.count_if("_back")).alias("back"), F.min("low").alias("low"), F.max("high").alias("high"))

@@ -11,7 +11,7 @@ from vaultspark.functions.classify import threshold_class
 from vaultspark.functions.keys import business_key, change_hash, surrogate_key
 from vaultspark.operators import quality
 from vaultspark.operators.cdc import arrivals, snapshot_changes
-from vaultspark.operators.layout import files_to_read, write_curve, write_sorted
+from vaultspark.operators.layout import exact_quantiles, files_to_read, order_on_disk, write_curve, write_sorted
 from vaultspark.operators.loaders import changed_rows, load_time, new_by_key
 from vaultspark.plans.registry import query, table
 from vaultspark.plans.star import DEPOSIT, SQL_FACT, WITHDRAWAL, _case, _dim_operation, fact
@@ -198,9 +198,7 @@ def layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "layout")
     keys = ["l_shipdate", "l_orderkey"]
     write_sorted(table(spark, sf_dir, "lineitem").select("l_quantity", *keys), path, keys)
-    rows = spark.read.parquet(path).select(F.struct(*keys).alias("k"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    before = F.lag("k").over(Window.partitionBy("file").orderBy("at"))  # files are bounded in rows
-    files = rows.withColumn("back", before > F.col("k")).groupBy("file").agg(F.count("*").alias("n"), F.count_if("back").alias("back"), F.min("k").alias("low"), F.max("k").alias("high"))
+    files = order_on_disk(spark.read.parquet(path), keys)
     files = files.withColumn("over", F.lag("high").over(Window.orderBy("low", "high")) > F.col("low"))  # one row per file
     return files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("back"), F.lit(0)).alias("rows_out_of_order"), F.count_if("over").alias("files_that_overlap"))
 
@@ -211,7 +209,7 @@ def layout_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     read for them as of the same table in order of the first key, then the second."""
     lines, path, keys = table(spark, sf_dir, "lineitem").select("l_quantity", "l_shipdate", "l_partkey"), scratch_path(spark, "curve"), ["l_shipdate", "l_partkey"]
     n = lines.count()
-    low, high = lines.selectExpr("percentile_disc(0.4) WITHIN GROUP (ORDER BY l_partkey) AS low", "percentile_disc(0.42) WITHIN GROUP (ORDER BY l_partkey) AS high").first()
+    low, high = exact_quantiles(lines, "l_partkey", [0.4, 0.42])
     write_curve(lines, f"{path}-curve", keys, max(1, n // 256))
     write_sorted(lines, f"{path}-sorted", keys, rows_per_file=max(1, n // 256))
     curve, ordered = spark.read.parquet(f"{path}-curve"), spark.read.parquet(f"{path}-sorted")
