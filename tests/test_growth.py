@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.operators import gold
 from vaultspark.operators.layout import exact_quantiles, order_on_disk
-from vaultspark.operators.loaders import changed_rows, new_by_key
+from vaultspark.operators.loaders import changed_rows, changed_rows_pruned, new_by_key
 from vaultspark.plans.star import fact
 
 
@@ -52,3 +52,12 @@ def test_order_on_disk_in_blocks(spark, tmp_path):
     for block in (1, 2, 3, 5, 100):
         files = order_on_disk(spark.read.parquet(str(tmp_path / "t")), ["v"], block)
         assert [(r["n"], r["back"], r["low"]["v"], r["high"]["v"]) for r in files.collect()] == [(9, 3, 1, 9)]
+
+
+def test_pruned_changes_are_the_changes(spark):
+    made = lambda n, day: spark.range(n).select(F.when(F.col("id") % 50 != 7, (F.col("id") * 7 % 400).cast("string")).alias("h"), (F.col("id") * day % 13).cast("string").alias("Hash_Diferenciador"), F.lit(f"2026-01-0{day}").cast("timestamp").alias("FechaRegistro"), F.col("id").alias("wide"))
+    batch, target = made(900, 2), made(300, 1)
+    for held in (None, target):
+        want = sorted(map(str, changed_rows(batch, held, "h").collect()))
+        for words in (1, 4, 1 << 10):
+            assert sorted(map(str, changed_rows_pruned(batch, held, "h", words=words).collect())) == want and want

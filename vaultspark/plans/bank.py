@@ -105,7 +105,8 @@ def bank_vault(spark: SparkSession, sf_dir: str, *sources: str, told=lambda enti
             vault = BankVault(spark, settings, DAYS[day], told=told)
             if rows is not None:
                 year, month, date = DAYS[day].split("-")
-                rows.write.parquet(f"{settings.drops(source)}/año={year}/mes={month}/dia={date}")
+                # dealt by key: a file of the source may be a single row group, and everything after has as many tasks as the files that land
+                rows.repartition(*KEYS[KIND_OF[source]][1]).write.parquet(f"{settings.drops(source)}/año={year}/mes={month}/dia={date}")
                 schema = rows.schema
             vault.ingest(source, schema)
             vault.load(source)

@@ -76,7 +76,7 @@ class BankVault:
         for name, satellite in SATELLITES.items():
             if name.startswith(f"{kind}_"):
                 target = self.table(name)
-                take = appending(target) if once else detecting_changes(target, key, "Hash_Diferenciador", "FechaRegistro", buckets=self.buckets)
+                take = appending(target) if once else detecting_changes(target, key, "Hash_Diferenciador", "FechaRegistro", buckets=self.buckets, settled=True)
                 flows[name] = (lambda rows, s=satellite: s.rows(rows if once else rows.drop(*COMMIT), self.time), take)
         return flows
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from vaultspark.config import Settings
 from vaultspark.operators import quality
 from vaultspark.operators.analytics import merged_states
-from vaultspark.operators.loaders import changed_rows, load_time
+from vaultspark.operators.loaders import changed_rows, changed_rows_pruned, load_time
 from vaultspark.sources.ingest import file_stream, ingest_drop, with_load_columns, with_parts
 from vaultspark.sources.scratch import stored
 from vaultspark.sources.store import VersionedTable, touched_buckets
@@ -107,19 +107,24 @@ def upserting(table: VersionedTable, keys: list[str], sequence: list[str], bucke
     return lambda rows, batch: table.upsert(rows, keys, sequence, batch, buckets)
 
 
-def detecting_changes(table: VersionedTable, key: str, change: str, time: str, sequence: str | None = None, buckets: int = 8) -> Callable[[DataFrame, int], None]:
+def detecting_changes(table: VersionedTable, key: str, change: str, time: str, sequence: str | None = None, buckets: int = 8, settled: bool = False) -> Callable[[DataFrame, int], None]:
     """A state satellite. Duplicates are dropped within a batch and versions compared with the latest, so a value that comes
     back later is a new version. The latest versions are a table of their own beside the history, one row per key in
     buckets of the key's hash: a batch reads and writes the buckets that it touches and never the history. If a batch stops
-    between the two writes, its replay skips the first and does the second."""
+    between the two writes, its replay skips the first and does the second. settled: batches come from a table already, as governing() gives them."""
     latest = VersionedTable(table.spark, f"{table.path}-latest")
 
     def handle(rows: DataFrame, batch: int) -> None:
-        rows = stored(rows, "batch")
+        rows = rows if settled else stored(rows, "batch")
         touched = touched_buckets(rows, [key], buckets)
         if touched:
-            new = stored(changed_rows(rows, latest.read_buckets(touched), key, change, time, sequence), "changed")
-            table.append(new, batch)
+            held = latest.read_buckets(touched)
+            if sequence is None:  # the rows go to the table as they come; what the latest versions need is narrow
+                table.append(changed_rows_pruned(rows, held, key, change, time), batch)
+                new = changed_rows(rows.select(key, change, time), held, key, change, time)
+            else:
+                new = stored(changed_rows(rows, held, key, change, time, sequence), "changed")
+                table.append(new, batch)
             last = new.groupBy(key).agg(F.max_by(change, F.struct(time, change)).alias(change), F.max(time).alias(time))
             latest.upsert(last, [key], [time, change], batch, buckets)
 
