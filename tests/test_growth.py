@@ -1,11 +1,21 @@
 """What a query moves, keeps or broadcasts must not outgrow its input."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from vaultspark.operators import gold
+from vaultspark.operators import gold, quality
+from vaultspark.operators.cdc import upsert_latest
 from vaultspark.operators.layout import exact_quantiles, order_on_disk
 from vaultspark.operators.loaders import changed_rows, changed_rows_pruned, new_by_key
+from vaultspark.plans.bank import _days
 from vaultspark.plans.star import fact
+from vaultspark.sources.store import VersionedTable
+from vaultspark.streaming import flows
+from vaultspark.streaming.bank import BankVault
+from vaultspark.streaming.flows import Governance, detecting_changes
+
+from tests.test_bank import frame
+from tests.test_bank_vault import landed, settings
 
 
 def _plan(df) -> str:
@@ -61,3 +71,49 @@ def test_pruned_changes_are_the_changes(spark):
         want = sorted(map(str, changed_rows(batch, held, "h").collect()))
         for words in (1, 4, 1 << 10):
             assert sorted(map(str, changed_rows_pruned(batch, held, "h", words=words).collect())) == want and want
+
+
+def test_rows_are_dealt_while_they_are_narrow(spark, sf_dir):
+    """Before they have the source's columns, most of which are made from a row's number."""
+    for source, number in (("TRXPFL", "o_orderkey"), ("BLNCFL", "o_orderkey"), ("CMSTFL", "c_custkey")):
+        for rows in _days(spark, sf_dir, source):
+            above, *below = _plan(rows).split("Exchange hashpartitioning")
+            assert below and f"({number}#" in below[0] and " INTERVAL " not in "".join(below) and "Broadcast" not in above and len(rows.columns) >= 60
+
+
+@pytest.mark.parametrize("source, kind, row", [("TRXPFL", "Sat_Transaccion", {"TRXID": "t1", "CUSTID": 1, "TRXAMT": 5.0}), ("BLNCFL", "Sat_Operacion", {"CUSTID": 1, "BLSQ": 2})])
+def test_batches_are_not_copied_on_the_way(spark, tmp_path, monkeypatch, source, kind, row):
+    for module in (quality, flows):
+        monkeypatch.setattr(module, "stored", lambda *a: pytest.fail("rows of a batch are copied"))
+    for day in (1, 2):
+        vault = BankVault(spark, settings(tmp_path), f"2026-01-0{day}")
+        landed(vault, source, frame(spark, kind, [row]), day)
+    assert vault.table(f"{kind}_Montos").read().count() == (2 if source == "TRXPFL" else 1)
+
+
+def test_latest_versions_are_kept_in_short_and_rules_hold_for_all_rows(spark, tmp_path):
+    """Also for rows that change nothing, which no target gets."""
+    told, table = [], VersionedTable(spark, str(tmp_path / "t"))
+    rules = {"drop": {"kept": "v <> 3"}, "warn": {"small": "v < 2"}, "fail": {"set": "v IS NOT NULL"}}
+    handle = detecting_changes(table, "h", "c", "t", under=Governance(rules, "e", lambda batch, counts: told.append((batch, counts))))
+    rows = lambda t, values: spark.createDataFrame([(str(v), f"{v}" * 128, t, v) for v in values], "h string, c string, t long, v int")
+    handle(rows(1, [1, 2, 3, 2]), 0)
+    handle(rows(2, [1, 2, 3]), 1)
+    with pytest.raises(quality.QualityError, match="set"):
+        handle(rows(3, [1, 4, None]), 2)
+    latest = VersionedTable(spark, f"{table.path}-latest")
+    assert table.last_batch == latest.last_batch == 1
+    handle(rows(3, [1, 4]), 2)
+    assert sorted((r["h"], r["t"]) for r in table.read().collect()) == [("1", 1), ("2", 1), ("4", 3)]
+    assert told == [(b, {"drop": {"kept": d}, "warn": {"small": s}, "fail": {"set": 0}}) for b, d, s in ((0, 1, 3), (1, 1, 2), (2, 0, 1))]
+    assert {(len(r["h"]), len(r["c"])) for r in latest.read().collect()} == {(16, 32)}
+
+
+def test_upserts_move_hashes_as_bytes_and_make_derived_columns_again(spark):
+    rows = lambda t, ids: spark.createDataFrame([(i, t) for i in ids], "i long, t long").select("i", F.sha2(F.col("i").cast("string"), 256).alias("h"), F.lit("x").alias("s"), "t")
+    old, new, derived = rows(1, range(50)), rows(2, range(25, 75)).union(rows(0, range(10))), {"h": F.sha2(F.col("i").cast("string"), 256)}
+    want = sorted(map(tuple, upsert_latest(old, new, ["i"], ["t"]).collect()))
+    assert len(want) == 75 and sorted(map(tuple, upsert_latest(old, new, ["i"], ["t"], derived).collect())) == want
+    again = upsert_latest(old, new, ["h"], ["t"], hashes=["h"])
+    assert again.columns == old.columns and sorted(map(tuple, again.collect())) == want
+    assert "unhex" in _plan(again) and "h#" not in _plan(upsert_latest(old, new, ["i"], ["t"], derived)).split("Exchange")[1]

@@ -46,8 +46,8 @@ def new_by_key(batch: DataFrame, target: DataFrame | None, keys: list[str], orde
 KEY_WORDS = 1 << 20
 
 
-def _word_and_bit(keys: list[str], words: int) -> tuple[Column, Column]:
-    h = F.xxhash64(*keys)
+def _word_and_bit(h: Column, words: int) -> tuple[Column, Column]:
+    """Of a hash of 64 bits, its place in the table."""
     return F.pmod(F.shiftright(h, 6), F.lit(words)).alias("_word"), F.pmod(h, F.lit(64)).cast("int").alias("_bit")
 
 
@@ -55,7 +55,7 @@ def may_have_keys(target: DataFrame, batch: DataFrame, keys: list[str], words: i
     """The key columns of target's rows whose key may be in batch: all that are, and few others while batch has fewer keys than a few
     million. The batch's keys become bits of a table of at most `words` rows, which is broadcast, so the target is read past it
     and what is left is all that a join has to move."""
-    word, bit = _word_and_bit(keys, words)
+    word, bit = _word_and_bit(F.xxhash64(*keys), words)
     bits = batch.select(word, bit).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
     held = target.select(*keys, word, bit).join(F.broadcast(bits), "_word")  # at most `words` rows
     return held.filter(F.getbit("_bits", F.col("_bit")) == 1).select(*keys)
@@ -115,25 +115,58 @@ def changed_rows(batch: DataFrame, target: DataFrame | None, key: str, change: s
     return rows.filter(F.col("_before").isNotNull()).unionByName(first).drop("_before")
 
 
-def _bits(rows: DataFrame, word: Column, bit: Column, words: int) -> DataFrame:
-    """A table of the rows' bits, at most `words` rows."""
-    return rows.select(word, bit).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+def _digest(key: str) -> Column:
+    return F.unhex(F.md5(F.col(key).cast("string")))
+
+
+def _version(key: str, change: str) -> tuple[Column, Column]:
+    text = F.col(change).cast("string")
+    return _digest(key), F.concat(F.rpad(text, 16, " ").cast("binary"), F.unhex(F.md5(text)))
+
+
+def version_digests(df: DataFrame, key: str, change: str, *more: str) -> DataFrame:
+    """Versions without their rows, key and change hash in short, under their names: 16 bytes of a key, 32 of a change hash, in the order of the change hashes'
+    first 16 characters. Nulls stay null; different texts are taken for equal with a chance of 2^-128."""
+    return df.select(*[c.alias(n) for c, n in zip(_version(key, change), (key, change))], *more)
 
 
 def changed_rows_pruned(batch: DataFrame, target: DataFrame | None, key: str, change: str = "Hash_Diferenciador", time: str = "FechaRegistro", words: int = KEY_WORDS) -> DataFrame:
-    """As changed_rows() without sequence, for wide rows that lie in a table: only rows that may be one of several of a version, or may be new to the target, are
-    moved whole. Keys that a version repeats or that have changed are found from narrow rows and become bits of a table of at most `words` rows, which is
-    broadcast; it only spares rows the way, those that it lets through are compared as ever."""
-    rows, versions = batch, batch.select(key, change)
-    word, bit = _word_and_bit([key], words)
-    marked = lambda df, found: df.select("*", word, bit).join(F.broadcast(_bits(found, word, bit, words)), "_word", "left")  # noqa: E731  at most `words` rows
-    inside = F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False))
-    if target is not None:
-        now = target.groupBy(key).agg(F.max_by(change, F.struct(time, change)).alias("_now"))
-        found = versions.join(growing(now), key, "left").filter(F.col("_now").isNull() | (F.col("_now") != F.col(change)))
-        rows = marked(batch, found).filter(inside).select(*batch.columns)
-        return changed_rows(rows, target, key, change, time)
-    repeated = versions.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
-    told = marked(batch, repeated)
-    once = told.filter(~inside).select(*batch.columns)
-    return once.unionByName(changed_rows(told.filter(inside).select(*batch.columns), None, key, change, time))
+    """As changed_rows() without sequence, for wide rows that lie in a table: they are decided upon by digests, and nearly all of them stay where they are."""
+    held = None if target is None else version_digests(target, key, change, time).groupBy(key).agg(F.max_by(change, F.struct(time, change)).alias(change))
+    return changed_from_digests(batch, held, key, change, words)
+
+
+def changed_from_digests(batch: DataFrame, held: DataFrame | None, key: str, change: str, words: int = KEY_WORDS, watched: DataFrame | None = None) -> DataFrame:
+    """As changed_rows_pruned(); held: version_digests() of each key's latest version. Digests tell which keys have one row in the batch and a new
+    version, one row and the version that is held, or several rows. They become bits of a table of at most `words` rows, which is broadcast: rows
+    under a bit of the first kind alone are taken, those under one of the second alone left, and only the others are moved whole, with what is held of
+    them, and compared. watched: the batch again, as quality.watching() gives it; it is read once and whole."""
+    one, columns = F.expr("shiftleft(1L, _bit)"), batch.columns
+    if held is None:
+        keys = batch.groupBy(F.xxhash64(_digest(key)).alias("_h")).agg(F.count("*").alias("_n")).filter("_n > 1")
+        bits = keys.select(*_word_and_bit(F.col("_h"), words)).groupBy("_word").agg(F.bit_or(one).alias("_unsure"))
+    else:
+        nothing, plain = F.lit(None).cast("binary"), F.col(key).isNotNull() & F.col(change).isNotNull()
+        rows = version_digests(batch, key, change).select(F.col(key).alias("_k"), F.col(change).alias("_c"), nothing.alias("_o"), F.when(plain, 1).otherwise(2).alias("_n"))
+        keys = rows.unionAll(held.select(key, nothing, change, F.lit(0))).groupBy("_k").agg(F.max("_c").alias("_c"), F.max("_o").alias("_o"), F.sum("_n").alias("_n"))
+        new = F.col("_o").isNull() | (F.col("_o") != F.col("_c"))
+        kinds = {"_new": (F.col("_n") == 1) & new, "_old": (F.col("_n") == 1) & ~new, "_several": F.col("_n") > 1}
+        told = keys.select(*_word_and_bit(F.xxhash64("_k"), words), *[k.alias(n) for n, k in kinds.items()])
+        bits = told.groupBy("_word").agg(*[F.coalesce(F.bit_or(F.when(F.col(n), one)), F.lit(0)).alias(n) for n in kinds])
+        bits = bits.selectExpr("_word", "_several | (_new & _old) AS _unsure", "_new & ~_old & ~_several AS _sure").filter("_unsure <> 0 OR _sure <> 0")
+    bits = stored(bits, "version-bits")
+
+    def under(df: DataFrame, name: str, digest: Column, keep: bool = True) -> DataFrame:
+        """The rows whose key has the bit, or has it not."""
+        told = df.select("*", *_word_and_bit(F.xxhash64(digest), words)).join(F.broadcast(bits), "_word", "left")  # at most `words` rows
+        inside = F.coalesce(F.getbit(name, F.col("_bit")) == 1, F.lit(False))
+        return told.filter(inside if keep else ~inside).select(*df.columns)
+
+    sure = batch if watched is None else watched
+    unsure = first_per_key(under(batch, "_unsure", _digest(key)), [key, change])
+    if held is None:
+        return under(sure, "_unsure", _digest(key), False).unionByName(unsure)
+    near = under(held, "_unsure", F.col(key)).select(F.col(key).alias("_k"), F.col(change).alias("_now"))
+    short = unsure.select("*", *[c.alias(n) for c, n in zip(_version(key, change), ("_k", "_c"))])
+    compared = short.join(growing(near), "_k", "left").filter(F.col("_now").isNull() | (F.col("_now") != F.col("_c")))
+    return under(sure, "_sure", _digest(key)).unionByName(compared.select(*columns))

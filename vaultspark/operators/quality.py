@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -51,17 +53,38 @@ def enforce(df: DataFrame, rules: dict[str, str], entity: str = "") -> DataFrame
     return rows
 
 
-def governed(df: DataFrame, rules: dict[str, dict[str, str]], entity: str = "") -> tuple[DataFrame, dict[str, dict[str, int]]]:
+def _settled(found: dict[str, int], rules: dict[str, dict[str, str]], entity: str) -> dict[str, dict[str, int]]:
+    """The counts by action and name, unless a fail rule is broken."""
+    counts = {action: {name: found[f"{action} {name}"] for name in some} for action, some in rules.items()}
+    if bad := {name: n for name, n in counts.get("fail", {}).items() if n}:
+        raise QualityError(f"{entity}: rows that violate a rule: {bad}")
+    return counts
+
+
+def _every(rules: dict[str, dict[str, str]]) -> dict[str, str]:
+    return {f"{action} {name}": rule for action, some in rules.items() for name, rule in some.items()}
+
+
+def watching(df: DataFrame, rules: dict[str, dict[str, str]], entity: str = "") -> tuple[DataFrame, Callable[[], dict[str, dict[str, int]]]]:
+    """As governed(), without a copy of the rows: they are counted while an action takes them, all of them and once, and after it the function that comes
+    with them gives the counts or raises QualityError. Whoever writes them asks it before what is written counts."""
+    if not any(rules.values()):
+        return df, lambda: {}
+    watched, seen = warn(df, _every(rules), f"governed {entity}")
+    return drop(watched, rules.get("drop", {})), lambda: _settled(seen.get, rules, entity)
+
+
+def governed(df: DataFrame, rules: dict[str, dict[str, str]], entity: str = "", settled: bool = False) -> tuple[DataFrame, dict[str, dict[str, int]]]:
     """df under an entity's rules, {action: {name: rule}}: the rows that no drop rule drops, and by action and name how many rows of df
-    break a rule. Computed once, as in enforce(); a broken fail rule raises QualityError. Without rules, df as it is."""
+    break a rule. Computed once, as in enforce(); a broken fail rule raises QualityError. Without rules, df as it is. settled: df comes from a table and is
+    cheap to compute again, so it is counted in a pass of its own and not copied."""
     if not any(rules.values()):
         return df, {}
-    watched, seen = warn(df, {f"{action} {name}": rule for action, some in rules.items() for name, rule in some.items()}, f"governed {entity}")
-    rows = stored(drop(watched, rules.get("drop", {})), "governed")
-    counts = {action: {name: seen.get[f"{action} {name}"] for name in some} for action, some in rules.items()}
-    if bad := {name: n for name, n in counts.get("fail", {}).items() if n}:
-        raise QualityError(f"{entity}: rows that violate a rule: {bad}")
-    return rows, counts
+    if settled:
+        return drop(df, rules.get("drop", {})), _settled(violations(df, _every(rules)).first().asDict(), rules, entity)
+    watched, settle = watching(df, rules, entity)
+    rows = stored(watched, "governed")
+    return rows, settle()
 
 
 #: What holds where; actions: drop, fail, warn.

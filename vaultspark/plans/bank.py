@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.config import THRESHOLDS, Settings
 from vaultspark.functions.keys import surrogate_key
+from vaultspark.operators.loaders import growing
 from vaultspark.plans.registry import query, table
 from vaultspark.plans.star import _case
 from vaultspark.plans.vault import DAY_1, DAY_2, SQL_DAY_2, day_2
@@ -74,15 +75,17 @@ def _columns(source: str, day: int) -> dict[str, str]:
 
 
 def _days(spark: SparkSession, sf_dir: str, source: str) -> list[DataFrame]:
-    """The rows of a source on each day, as files bring them."""
+    """The rows of a source on each day, as files bring them. They are dealt by key while they are narrow: a file of the source may be a single
+    row group, and everything after has as many tasks as the files that land."""
+    number = GIVEN[source][0]
     if source == "CMSTFL":
-        rows = [table(spark, sf_dir, "customer"), day_2(table(spark, sf_dir, "customer"))]
+        rows = [r.repartition(number) for r in (table(spark, sf_dir, "customer"), day_2(table(spark, sf_dir, "customer")))]
     else:
-        orders = table(spark, sf_dir, "orders")
+        orders = table(spark, sf_dir, "orders").repartition(number)
         if source == "BLNCFL":
             lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
             sums = lines.agg(F.expr("CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total"), F.expr("max(CAST(l_discount AS DECIMAL(18,2))) AS discount"), F.count("*").alias("lines"))
-            orders = orders.join(sums, "o_orderkey", "left")
+            orders = orders.join(growing(sums), "o_orderkey", "left")
             rows = [orders.filter("o_orderkey % 10 <> 3"), orders.filter("o_orderkey % 10 <> 7")]
         else:
             rows = [orders.filter("o_orderkey % 3 <> 0"), orders.filter("o_orderkey % 3 = 0")]
@@ -105,8 +108,7 @@ def bank_vault(spark: SparkSession, sf_dir: str, *sources: str, told=lambda enti
             vault = BankVault(spark, settings, DAYS[day], told=told)
             if rows is not None:
                 year, month, date = DAYS[day].split("-")
-                # dealt by key: a file of the source may be a single row group, and everything after has as many tasks as the files that land
-                rows.repartition(*KEYS[KIND_OF[source]][1]).write.parquet(f"{settings.drops(source)}/año={year}/mes={month}/dia={date}")
+                rows.write.option("compression", "zstd").parquet(f"{settings.drops(source)}/año={year}/mes={month}/dia={date}")
                 schema = rows.schema
             vault.ingest(source, schema)
             vault.load(source)

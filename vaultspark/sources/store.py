@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -89,12 +89,20 @@ class VersionedTable(NumberedFiles):
     def _seen(self, state: dict, batch_id: int | None) -> bool:
         return batch_id is not None and batch_id <= state["last_batch"]
 
-    def append(self, df: DataFrame, batch_id: int | None = None) -> None:
+    def append(self, df: DataFrame, batch_id: int | None = None, settle: Callable[[], object] | None = None) -> None:
+        """settle: called when the files are written and before they count; if it raises, the table stays as it was."""
         state = self._state()
         if not self._seen(state, batch_id):
             part = self._write(df, "part")
+            if settle:
+                settle()
             self._commit(state, state["parts"] | {part: part}, batch_id, df.schema)
 
+    def appended(self, batch_id: int) -> DataFrame | None:
+        """Of a table that only append() writes, the rows that a batch brought, or None unless it is the last one."""
+        state = self._state()
+        return self._rows(state, [*state["parts"].values()][-1:]) if state["last_batch"] == batch_id else None
+
     def replace(self, df: DataFrame, batch_id: int | None = None) -> None:
         """Full refresh; df may be computed from the table itself."""
         state = self._state()
@@ -116,9 +124,10 @@ class VersionedTable(NumberedFiles):
         merged.withColumn("_bucket", bucket(buckets, *keys)).write.option("compression", "zstd").partitionBy("_bucket").parquet(part)  # one folder per bucket
         self._commit(state, state["parts"] | {str(b): f"{part}/_bucket={b}" for b in touched}, batch_id, merged.schema)
 
-    def upsert(self, batch: DataFrame, keys: list[str], sequence: list[str], batch_id: int | None = None, buckets: int = 1) -> None:
-        """merge() where the latest row per key stays. A column that only the batch or only the table has is null in the other's rows."""
-        self.merge(batch, keys, lambda old, new: upsert_latest(old, new, keys, sequence), batch_id, buckets)
+    def upsert(self, batch: DataFrame, keys: list[str], sequence: list[str], batch_id: int | None = None, buckets: int = 1, derived: dict[str, Column] | None = None, hashes: Collection[str] = ()) -> None:
+        """merge() where the latest row per key stays. A column that only the batch or only the table has is null in the other's rows. derived and
+        hashes: as in upsert_latest()."""
+        self.merge(batch, keys, lambda old, new: upsert_latest(old, new, keys, sequence, derived, hashes), batch_id, buckets)
 
 
 def touched_buckets(batch: DataFrame, keys: list[str], buckets: int) -> list[int]:

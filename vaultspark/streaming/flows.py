@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructType
 from vaultspark.config import Settings
 from vaultspark.operators import quality
 from vaultspark.operators.analytics import merged_states
-from vaultspark.operators.loaders import changed_rows, changed_rows_pruned, load_time
+from vaultspark.operators.loaders import changed_from_digests, changed_rows, load_time, version_digests
 from vaultspark.sources.ingest import file_stream, ingest_drop, with_load_columns, with_parts
 from vaultspark.sources.scratch import stored
 from vaultspark.sources.store import VersionedTable, touched_buckets
@@ -31,7 +32,7 @@ def run_continuously(stream: DataFrame, handle: Callable[[DataFrame, int], None]
 def sinking(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Appends what is there now to a table that streams can read: Spark's file sink, which lists the files of finished batches, so
     table_stream() and batch reads see each row once, whatever has failed in between."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").option("compression", "zstd").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -39,6 +40,19 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
     return file_stream(spark, path, spark.read.parquet(path).schema)
 
 
+def run_available_files(spark: SparkSession, path: str, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """run_available() over a table that sinking() keeps, where a batch is a table itself: of its files that have come. So whatever is made of it reads
+    the columns that it needs, as often as it needs them, and nothing is copied for that; the rows that a stream hands over are read whole by each use."""
+    schema = spark.read.parquet(path).schema
+
+    def of_files(rows: DataFrame, batch: int) -> None:
+        files = sorted(r[0] for r in rows.distinct().collect())  # names, as many as files
+        read = rows.sparkSession.read.schema(schema)
+        handle(read.parquet(*files) if files else rows.sparkSession.createDataFrame([], schema), batch)
+
+    run_available(table_stream(spark, path).select("_metadata.file_path"), of_files, checkpoint)
+
+
 class RuleCounts(StreamingQueryListener):
     """How many rows of each micro-batch break each rule, by the name of the stream's observation: {name: {batch: {rule: rows}}}. Filled by
     the query's progress events; settled() waits for those that are under way."""
@@ -78,20 +92,44 @@ def ruled(stream: DataFrame, rules: dict[str, dict[str, str]], name: str) -> Dat
     return quality.drop(watched, rules.get("drop", {}))
 
 
-def governing(handle: Callable[[DataFrame, int], None], rules: dict[str, dict[str, str]], entity: str, told: Callable[[int, dict], None] = lambda batch, counts: None) -> Callable[[DataFrame, int], None]:
+@dataclass(frozen=True)
+class Governance:
+    """What a flow's entity is put under: rules, {action: {rule: SQL}}; told() gets a batch's counts, {action: {rule: rows}}."""
+
+    rules: dict[str, dict[str, str]] = field(default_factory=dict)
+    entity: str = ""
+    told: Callable[[int, dict], None] = lambda batch, counts: None
+
+    def watching(self, rows: DataFrame, batch: int) -> tuple[DataFrame, Callable[[], None]]:
+        """What drop rules leave, counted while it is written, and what has to be called before it counts: it tells, or raises QualityError."""
+        kept, settle = quality.watching(rows, self.rules, self.entity)
+        return kept, lambda: self.told(batch, settle())
+
+    def dropped(self, rows: DataFrame) -> DataFrame:
+        return quality.drop(rows, self.rules.get("drop", {}))
+
+
+def governing(handle: Callable[[DataFrame, int], None], rules: dict[str, dict[str, str]], entity: str, told: Callable[[int, dict], None] = lambda batch, counts: None, settled: bool = False) -> Callable[[DataFrame, int], None]:
     """A batch function under rules, for the flows that have one: told() gets a batch's counts, {action: {rule: rows}}; what drop rules leave
-    goes on; a broken fail rule raises QualityError before anything of the batch is handled."""
+    goes on; a broken fail rule raises QualityError before anything of the batch is handled. settled: batches come from a table, so they are counted in a
+    pass of their own and not copied."""
 
     def run(rows: DataFrame, batch: int) -> None:
-        kept, counts = quality.governed(rows, rules, entity)
+        kept, counts = quality.governed(rows, rules, entity, settled)
         told(batch, counts)
         handle(kept, batch)
 
     return run
 
 
-def appending(table: VersionedTable) -> Callable[[DataFrame, int], None]:
-    return lambda rows, batch: table.append(rows, batch)
+def appending(table: VersionedTable, under: Governance = Governance()) -> Callable[[DataFrame, int], None]:
+    """under: rules that are checked while the rows are written; if one fails, the table stays as it was."""
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        kept, settle = under.watching(rows, batch)
+        table.append(kept, batch, settle)
+
+    return handle
 
 
 def ingesting(spark: SparkSession, settings: Settings, source: str, schema: StructType, time=None) -> VersionedTable:
@@ -103,31 +141,42 @@ def ingesting(spark: SparkSession, settings: Settings, source: str, schema: Stru
     return table
 
 
-def upserting(table: VersionedTable, keys: list[str], sequence: list[str], buckets: int = 1) -> Callable[[DataFrame, int], None]:
-    return lambda rows, batch: table.upsert(rows, keys, sequence, batch, buckets)
+def upserting(table: VersionedTable, keys: list[str], sequence: list[str], buckets: int = 1, derived: dict[str, Column] | None = None, hashes: Collection[str] = ()) -> Callable[[DataFrame, int], None]:
+    return lambda rows, batch: table.upsert(rows, keys, sequence, batch, buckets, derived, hashes)
 
 
-def detecting_changes(table: VersionedTable, key: str, change: str, time: str, sequence: str | None = None, buckets: int = 8, settled: bool = False) -> Callable[[DataFrame, int], None]:
+def detecting_changes(table: VersionedTable, key: str, change: str, time: str, sequence: str | None = None, buckets: int = 8, settled: bool = False, under: Governance = Governance()) -> Callable[[DataFrame, int], None]:
     """A state satellite. Duplicates are dropped within a batch and versions compared with the latest, so a value that comes
     back later is a new version. The latest versions are a table of their own beside the history, one row per key in
     buckets of the key's hash: a batch reads and writes the buckets that it touches and never the history. If a batch stops
-    between the two writes, its replay skips the first and does the second. settled: batches come from a table already, as governing() gives them."""
+    between the two writes, its replay skips the first and does the second. Without sequence the latest versions are kept as version_digests(), taken
+    from what has been appended. settled: batches come from a table already. under: rules, checked while the rows are written; if one fails, the tables
+    stay as they were."""
     latest = VersionedTable(table.spark, f"{table.path}-latest")
 
-    def handle(rows: DataFrame, batch: int) -> None:
-        rows = rows if settled else stored(rows, "batch")
+    def by_digests(rows: DataFrame, batch: int) -> None:
+        kept = under.dropped(rows)
+        touched = touched_buckets(version_digests(kept, key, change), [key], buckets)
+        if not touched:
+            under.told(batch, quality.governed(rows, under.rules, under.entity, True)[1])
+            return
+        watched, settle = under.watching(rows, batch)
+        table.append(changed_from_digests(kept, latest.read_buckets(touched), key, change, watched=watched), batch, settle)
+        new = table.appended(batch)
+        if new is not None:  # else both tables are past the batch
+            latest.upsert(version_digests(new, key, change, time), [key], [time, change], batch, buckets)
+
+    def by_rows(rows: DataFrame, batch: int) -> None:
         touched = touched_buckets(rows, [key], buckets)
         if touched:
-            held = latest.read_buckets(touched)
-            if sequence is None:  # the rows go to the table as they come; what the latest versions need is narrow
-                table.append(changed_rows_pruned(rows, held, key, change, time), batch)
-                new = changed_rows(rows.select(key, change, time), held, key, change, time)
-            else:
-                new = stored(changed_rows(rows, held, key, change, time, sequence), "changed")
-                table.append(new, batch)
+            new = stored(changed_rows(rows, latest.read_buckets(touched), key, change, time, sequence), "changed")
+            table.append(new, batch)
             last = new.groupBy(key).agg(F.max_by(change, F.struct(time, change)).alias(change), F.max(time).alias(time))
             latest.upsert(last, [key], [time, change], batch, buckets)
 
+    def handle(rows: DataFrame, batch: int) -> None:
+        (by_digests if sequence is None else by_rows)(rows if settled else stored(rows, "batch"), batch)
+
     return handle
 
 
