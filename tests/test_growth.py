@@ -117,3 +117,14 @@ def test_upserts_move_hashes_as_bytes_and_make_derived_columns_again(spark):
     again = upsert_latest(old, new, ["h"], ["t"], hashes=["h"])
     assert again.columns == old.columns and sorted(map(tuple, again.collect())) == want
     assert "unhex" in _plan(again) and "h#" not in _plan(upsert_latest(old, new, ["i"], ["t"], derived)).split("Exchange")[1]
+
+
+def test_dimensions_move_the_columns_that_they_show(spark):
+    """Of a satellite's other columns, which the hub's rows don't need, none takes part in a shuffle."""
+    one = _satellite(spark).withColumn("wide", F.lit("w"))
+    later = one.withColumn("FechaRegistro", F.lit("2026-01-02").cast("timestamp")).withColumn("v", F.col("v") + 10).limit(1)
+    tied = one.withColumn("Hash_Diferenciador", F.lit("z" * 128)).withColumn("v", F.lit(7))
+    history = spark.createDataFrame(one.union(later).union(tied.limit(1)).collect(), one.schema)
+    dimension = gold.type1_dimension(one.select("h"), "h", [], [(history, [F.col("v").alias("shown")])], "key", ["key", "h", "shown"], "dim")
+    assert "wide" not in _plan(dimension).split("Exchange", 1)[0] and {(r["h"], r["shown"]) for r in dimension.collect()} == {("a", 11), ("b", 2)}
+    assert [r["v"] for r in gold.current_columns(tied.union(one), "h", ["v"]).collect()] == [7, 7]
