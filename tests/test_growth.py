@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vaultspark.operators import gold, quality
 from vaultspark.operators.cdc import upsert_latest
 from vaultspark.operators.layout import exact_quantiles, order_on_disk
-from vaultspark.operators.loaders import changed_rows, changed_rows_pruned, new_by_key
+from vaultspark.operators.loaders import changed_rows, changed_rows_pruned, new_by_key, split_by_repeats
 from vaultspark.plans.bank import _days
 from vaultspark.plans.star import fact
 from vaultspark.sources.store import VersionedTable
@@ -128,3 +128,23 @@ def test_dimensions_move_the_columns_that_they_show(spark):
     dimension = gold.type1_dimension(one.select("h"), "h", [], [(history, [F.col("v").alias("shown")])], "key", ["key", "h", "shown"], "dim")
     assert "wide" not in _plan(dimension).split("Exchange", 1)[0] and {(r["h"], r["shown"]) for r in dimension.collect()} == {("a", 11), ("b", 2)}
     assert [r["v"] for r in gold.current_columns(tied.union(one), "h", ["v"]).collect()] == [7, 7]
+
+
+def test_rows_whose_key_is_alone_stay_where_they_are(spark):
+    rows = lambda t, ids: spark.createDataFrame([(i, t) for i in ids], "i long, t long")
+    old, new = rows(1, [*range(50), None]), rows(2, [3, 7, 60, 60, None])
+    want = sorted(map(str, upsert_latest(old, new, ["i"], ["t"]).collect()))
+    assert len(want) == 52 and sorted(map(str, upsert_latest(old, new, ["i"], ["t"], sparse=True).collect())) == want
+    assert sorted(map(str, upsert_latest(None, old.union(new), ["i"], ["t"], sparse=True).collect())) == want
+    once, several = split_by_repeats(old.union(new), ["i"])
+    assert once.count() == 48 and several.count() == 8 and "Exchange hashpartitioning" not in _plan(once)
+    for words in (1, 2):  # few bits let more rows through, never fewer
+        once, several = split_by_repeats(old.union(new), ["i"], words)
+        assert once.count() + several.count() == 56 and several.count() >= 8
+
+
+def test_digests_of_long_texts_beyond_ascii_tell_versions_apart(spark):
+    rows = lambda t, ends: spark.createDataFrame([(str(i), "ñ€" * 20 + end, t) for i, end in enumerate(ends)], "h string, c string, t long")
+    held, batch = rows(1, "abc"), rows(2, "axc")
+    for words in (1, 1 << 10):
+        assert [r["h"] for r in changed_rows_pruned(batch, held, "h", "c", "t", words).collect()] == ["1"]

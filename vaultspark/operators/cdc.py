@@ -7,21 +7,25 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vaultspark.operators.loaders import split_by_repeats
 
-def upsert_latest(target: DataFrame | None, batch: DataFrame, keys: list[str], sequence: list[str], derived: dict[str, Column] | None = None, hashes: Collection[str] = ()) -> DataFrame:
+
+def upsert_latest(target: DataFrame | None, batch: DataFrame, keys: list[str], sequence: list[str], derived: dict[str, Column] | None = None, hashes: Collection[str] = (), sparse: bool = False) -> DataFrame:
     """Target with batch merged in: per key the row with the largest sequence, ties to the larger of the other columns. One
     aggregation with partial results; rows with a null key are merged as one key. A column that only one side has is null in the
     other's rows. What needn't be moved: derived columns follow from the keys and are made again; hashes are columns of lower-case hexadecimal
-    digits, which are moved as bytes."""
+    digits, which are moved as bytes; sparse: few keys repeat in the batch or are in both, and only rows of such keys are moved."""
     rows = batch if target is None else target.unionByName(batch, allowMissingColumns=True)
     moved = [c for c in rows.columns if c not in (derived or {})]
     rest = [c for c in moved if c not in keys]
     lead = [F.col(c).alias(f"_s{i}") for i, c in enumerate(sequence)]
-    light = rows.select(*[F.unhex(c).alias(c) if c in hashes else F.col(c) for c in moved])
+    once, several = split_by_repeats(rows, keys) if sparse else (None, rows)
+    light = several.select(*[F.unhex(c).alias(c) if c in hashes else F.col(c) for c in moved])
     best = light.groupBy(*keys).agg(F.max(F.struct(*lead, *rest)).alias("_row"))
     out = best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in moved])
     out = out.select(*[F.lower(F.hex(c)).alias(c) if c in hashes else F.col(c) for c in moved])
-    return out.select(*[derived[c].alias(c) if c not in moved else F.col(c) for c in rows.columns])
+    out = out.select(*[derived[c].alias(c) if c not in moved else F.col(c) for c in rows.columns])
+    return out if once is None else once.unionByName(out)
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

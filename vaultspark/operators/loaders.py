@@ -115,6 +115,17 @@ def changed_rows(batch: DataFrame, target: DataFrame | None, key: str, change: s
     return rows.filter(F.col("_before").isNotNull()).unionByName(first).drop("_before")
 
 
+def split_by_repeats(df: DataFrame, keys: list[str], words: int = KEY_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key no other row has, and those that may share theirs. Only hashes of the keys are moved; those that repeat become bits of a table
+    of at most `words` rows, which is broadcast."""
+    one, h = F.expr("shiftleft(1L, _bit)"), F.xxhash64(*keys)
+    repeated = df.groupBy(h.alias("_h")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    bits = stored(repeated.select(*_word_and_bit(F.col("_h"), words)).groupBy("_word").agg(F.bit_or(one).alias("_bits")), "repeat-bits")
+    told = df.select("*", *_word_and_bit(h, words)).join(F.broadcast(bits), "_word", "left")  # at most `words` rows
+    inside = F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False))
+    return told.filter(~inside).select(*df.columns), told.filter(inside).select(*df.columns)
+
+
 def _digest(key: str) -> Column:
     return F.unhex(F.md5(F.col(key).cast("string")))
 
@@ -147,8 +158,9 @@ def changed_from_digests(batch: DataFrame, held: DataFrame | None, key: str, cha
         bits = keys.select(*_word_and_bit(F.col("_h"), words)).groupBy("_word").agg(F.bit_or(one).alias("_unsure"))
     else:
         nothing, plain = F.lit(None).cast("binary"), F.col(key).isNotNull() & F.col(change).isNotNull()
-        rows = version_digests(batch, key, change).select(F.col(key).alias("_k"), F.col(change).alias("_c"), nothing.alias("_o"), F.when(plain, 1).otherwise(2).alias("_n"))
-        keys = rows.unionAll(held.select(key, nothing, change, F.lit(0))).groupBy("_k").agg(F.max("_c").alias("_c"), F.max("_o").alias("_o"), F.sum("_n").alias("_n"))
+        same = F.substring(change, -16, 16)  # what tells versions apart, without what orders them
+        rows = version_digests(batch, key, change).select(F.col(key).alias("_k"), same.alias("_c"), nothing.alias("_o"), F.when(plain, 1).otherwise(2).alias("_n"))
+        keys = rows.unionAll(held.select(key, nothing, same, F.lit(0))).groupBy("_k").agg(F.max("_c").alias("_c"), F.max("_o").alias("_o"), F.sum("_n").alias("_n"))
         new = F.col("_o").isNull() | (F.col("_o") != F.col("_c"))
         kinds = {"_new": (F.col("_n") == 1) & new, "_old": (F.col("_n") == 1) & ~new, "_several": F.col("_n") > 1}
         told = keys.select(*_word_and_bit(F.xxhash64("_k"), words), *[k.alias(n) for n, k in kinds.items()])

@@ -76,7 +76,8 @@ def _columns(source: str, day: int) -> dict[str, str]:
 
 def _days(spark: SparkSession, sf_dir: str, source: str) -> list[DataFrame]:
     """The rows of a source on each day, as files bring them. They are dealt by key while they are narrow: a file of the source may be a single
-    row group, and everything after has as many tasks as the files that land."""
+    row group, and everything after has as many tasks as the files that land. Within a file they come by date, so that the many dates of a row, here and in
+    all tables that are fed from it, are stored as runs."""
     number = GIVEN[source][0]
     if source == "CMSTFL":
         rows = [r.repartition(number) for r in (table(spark, sf_dir, "customer"), day_2(table(spark, sf_dir, "customer")))]
@@ -89,6 +90,7 @@ def _days(spark: SparkSession, sf_dir: str, source: str) -> list[DataFrame]:
             rows = [orders.filter("o_orderkey % 10 <> 3"), orders.filter("o_orderkey % 10 <> 7")]
         else:
             rows = [orders.filter("o_orderkey % 3 <> 0"), orders.filter("o_orderkey % 3 = 0")]
+        rows = [r.sortWithinPartitions("o_orderdate") for r in rows]
     return [r.selectExpr(*[f"{e} AS {c}" for c, e in _columns(source, day).items()]) for day, r in enumerate(rows)]
 
 

@@ -124,10 +124,10 @@ class VersionedTable(NumberedFiles):
         merged.withColumn("_bucket", bucket(buckets, *keys)).write.option("compression", "zstd").partitionBy("_bucket").parquet(part)  # one folder per bucket
         self._commit(state, state["parts"] | {str(b): f"{part}/_bucket={b}" for b in touched}, batch_id, merged.schema)
 
-    def upsert(self, batch: DataFrame, keys: list[str], sequence: list[str], batch_id: int | None = None, buckets: int = 1, derived: dict[str, Column] | None = None, hashes: Collection[str] = ()) -> None:
-        """merge() where the latest row per key stays. A column that only the batch or only the table has is null in the other's rows. derived and
-        hashes: as in upsert_latest()."""
-        self.merge(batch, keys, lambda old, new: upsert_latest(old, new, keys, sequence, derived, hashes), batch_id, buckets)
+    def upsert(self, batch: DataFrame, keys: list[str], sequence: list[str], batch_id: int | None = None, buckets: int = 1, derived: dict[str, Column] | None = None, hashes: Collection[str] = (), sparse: bool = False) -> None:
+        """merge() where the latest row per key stays. A column that only the batch or only the table has is null in the other's rows. derived,
+        hashes and sparse: as in upsert_latest()."""
+        self.merge(batch, keys, lambda old, new: upsert_latest(old, new, keys, sequence, derived, hashes, sparse), batch_id, buckets)
 
 
 def touched_buckets(batch: DataFrame, keys: list[str], buckets: int) -> list[int]:

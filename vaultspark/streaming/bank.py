@@ -76,7 +76,7 @@ class BankVault:
             if once:
                 return appending(self.table(entity), under(entity))
             g = under(entity)
-            return governing(upserting(self.table(entity), keys, ["FechaRegistro"], self.buckets, derived, hashes), g.rules, entity, g.told, settled=True)
+            return governing(upserting(self.table(entity), keys, ["FechaRegistro"], self.buckets, derived, hashes, unique=True), g.rules, entity, g.told, settled=True)
 
         flows = {HUBS[kind]: (lambda rows: hub(rows, kind, KEY_NAMES, self.time), merged(HUBS[kind], states, {key: business_key(*states)}, []))}
         if kind in LINKS:

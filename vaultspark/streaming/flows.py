@@ -141,8 +141,9 @@ def ingesting(spark: SparkSession, settings: Settings, source: str, schema: Stru
     return table
 
 
-def upserting(table: VersionedTable, keys: list[str], sequence: list[str], buckets: int = 1, derived: dict[str, Column] | None = None, hashes: Collection[str] = ()) -> Callable[[DataFrame, int], None]:
-    return lambda rows, batch: table.upsert(rows, keys, sequence, batch, buckets, derived, hashes)
+def upserting(table: VersionedTable, keys: list[str], sequence: list[str], buckets: int = 1, derived: dict[str, Column] | None = None, hashes: Collection[str] = (), unique: bool = False) -> Callable[[DataFrame, int], None]:
+    """derived and hashes: as in upsert_latest(). unique: keys hardly repeat within a batch, so of a first one few rows are moved."""
+    return lambda rows, batch: table.upsert(rows, keys, sequence, batch, buckets, derived, hashes, unique and not table.exists())
 
 
 def detecting_changes(table: VersionedTable, key: str, change: str, time: str, sequence: str | None = None, buckets: int = 8, settled: bool = False, under: Governance = Governance()) -> Callable[[DataFrame, int], None]:
@@ -164,7 +165,7 @@ def detecting_changes(table: VersionedTable, key: str, change: str, time: str, s
         table.append(changed_from_digests(kept, latest.read_buckets(touched), key, change, watched=watched), batch, settle)
         new = table.appended(batch)
         if new is not None:  # else both tables are past the batch
-            latest.upsert(version_digests(new, key, change, time), [key], [time, change], batch, buckets)
+            latest.upsert(version_digests(new, key, change, time), [key], [time, change], batch, buckets, sparse=True)
 
     def by_rows(rows: DataFrame, batch: int) -> None:
         touched = touched_buckets(rows, [key], buckets)
